@@ -1,0 +1,32 @@
+"""Where intermediate tables of the operators live, and small session helpers."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local one is set only where none is configured (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        kept = spark.sparkContext.getCheckpointDir()
+        folder = kept or tempfile.mkdtemp(prefix="spark-noticelake-")
+        if not kept:
+            spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/noticelake/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def input_partitions(spark: SparkSession, df: DataFrame) -> int:
+    """How many buckets a packed exchange should use: it follows both the session's setting and the scan."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
