@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, licenses, mixing, neardup, sharding, toxicity
+from . import decontamination, language, licenses, mixing, neardup, pii, pivots, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,29 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    plain = F.filter("spans", lambda x: x["plain"])
+
+    def digest(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(spans: Column, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(plain, kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(digest(plain), 256).alias("base_sha256"),
+        digest(F.col("spans")).alias("spans"),
+        *[count(F.col("spans"), kind).alias(f"all_{kind}") for kind in pii.KINDS],
+    )
+
+
+def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
