@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,8 +34,8 @@ from .workspace import stored
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, SAMPLES_PER_BAND = 12, 3
 IDF_BUCKETS, SLICES = 1 << 18, 16
-#: Buckets up to this many texts are compared in full; larger ones in rounds with so many leaders.
-FULL_BUCKET, LEADERS = 32, 8
+#: Buckets up to this many texts are compared in full; larger ones in rounds with so many leaders, four times as many each round.
+FULL_BUCKET, LEADERS = 256, 8
 BLOCK = 1 << 18
 
 
@@ -202,22 +202,26 @@ def links(docs: DataFrame, classes: DataFrame, weights: Weights) -> DataFrame:
 
     # a large bucket that shares its members with another band's bucket is still compared only once per pair
     open_members = members.where(F.col("members") > FULL_BUCKET).withColumn("led", F.lit(False))
-    while True:
+    leading = LEADERS
+    while open_members.limit(1).count():
         labels = components(found)
         labelled = open_members.drop("component").join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
         state = labelled.where("not led").groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
         open_members = stored(labelled.join(state, ["band", "key"]), "dup-open")
         if not open_members.limit(1).count():
-            return found
+            break
         # leaders: the smallest unled member of a component, from the rarest components of the bucket
         own = open_members.where("not led").groupBy("band", "key", "component").agg(F.count("*").alias("size"), F.min("rep").alias("leader"))
-        chosen = own.groupBy("band", "key").agg(F.slice(F.array_sort(F.collect_list(F.struct("size", "leader"))), 1, LEADERS - 1).alias("rare"), F.max_by("leader", F.struct("size", "leader")).alias("largest"))
-        leaders = stored(chosen.select("band", "key", F.explode(F.array_distinct(F.array_append(F.transform("rare", lambda x: x["leader"]), F.col("largest")))).alias("rep")), "dup-leaders")
+        rarest, largest = (Window.partitionBy("band", "key").orderBy(*by) for by in ((F.col("size"), F.col("leader")), (F.desc("size"), F.desc("leader"))))
+        ranked = own.withColumns({"rare": F.row_number().over(rarest), "large": F.row_number().over(largest)})
+        leaders = ranked.where((F.col("rare") < leading) | (F.col("large") == 1)).select("band", "key", F.col("leader").alias("rep"))
         led = open_members.join(leaders.withColumn("leads", F.lit(True)), ["band", "key", "rep"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
         led = stored(led, "dup-led")
         pairs = side(led.where("leads"), "a").join(side(led, "b"), ["band", "key"]).where("a <> b and component_a <> component_b")
         found = stored(found.unionByName(compare(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "mass_a", "mass_b").withColumnsRenamed({"x": "a", "y": "b"}))).distinct(), "dup-found")
         open_members = led.withColumn("led", F.col("led") | F.col("leads")).drop("leads", "component")
+        leading *= 4
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
