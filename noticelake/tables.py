@@ -49,14 +49,14 @@ def observations(t: Tables) -> DataFrame:
     return t.events.select(
         F.concat(F.col("user_id"), F.lit(":"), F.col("event_type")).alias("notice"),
         F.col("event_type").alias("source"),
-        F.col("ts").alias("at"),
+        F.col("ts").alias("seen_at"),
         F.col("ts").cast("date").alias("day"),
         "event_id",
         "value",
     )
 
 
-OBSERVATIONS_SQL = """observations as (select user_id || ':' || event_type as notice, event_type as source, ts as at, cast(ts as date) as day, event_id, value from events)"""
+OBSERVATIONS_SQL = """observations as (select user_id || ':' || event_type as notice, event_type as source, ts as seen_at, cast(ts as date) as day, event_id, value from events)"""
 
 #: Documents with the verdict of their labels: included, excluded, or pending where there is none.
 VERDICTS_SQL = """verdicts as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, case l.quality when 1 then 'included' when 0 then 'excluded' else 'pending' end as verdict
