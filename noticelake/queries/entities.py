@@ -1 +1,55 @@
+"""Entity resolution: guards, keys, groups and what a group shows."""
 
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..operators.grouping import grouped
+from ..tables import NOTICES_SQL, Tables, notices
+
+
+@query("select o_orderkey, cast(year(o_orderdate) as varchar) as years, case when o_orderkey % 2 = 0 then 'track a' else '' end as scope from orders")
+def scope_guard(spark, d):
+    """Years and track named by a title."""
+    title = F.concat(F.lit("Challenge "), F.year("o_orderdate"), F.when(F.col("o_orderkey") % 2 == 0, " Track A").otherwise(""))
+    years = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(title, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), F.lit(1)))), ",")
+    return Tables(spark, d).orders.select("o_orderkey", years.alias("years"), F.lower(F.regexp_extract(title, r"(?i)(track\s*[:：]?\s*[0-9A-Z]+)", 1)).alias("scope"))
+
+
+@query(f"with {NOTICES_SQL} select id, case when id % 7 = 0 then '' else 'challengeorder' || id || '|' || 'owner' || owner_id || '|' || opened || '|' || deadline end as key from notices")
+def title_key(spark, d):
+    """Normalised title, organiser and period; empty without enough of them."""
+    rows = notices(Tables(spark, d))
+    title = F.lower(F.regexp_replace(F.regexp_replace(F.concat(F.lit("[행사] Challenge, "), F.col("title"), F.lit(" 개최")), r"^\s*\[(행사|홍보|공모)\]\s*|\s*(개최 안내|개최)$", ""), r"[\s\W_]+", ""))
+    organiser = F.when(F.col("id") % 7 == 0, "x").otherwise(F.concat(F.lit("owner"), F.col("owner_id")))
+    key = F.when((F.length(title) >= 12) & (F.length(organiser) >= 2) & F.col("opened").isNotNull() & F.col("deadline").isNotNull(), F.concat_ws("|", title, organiser, "opened", "deadline"))
+    return rows.select("id", F.coalesce(key, F.lit("")).alias("key"))
+
+
+@query("""select l_orderkey as event, min(l_shipdate) as first_seen, max(l_shipdate) as last_seen, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') as sources,
+ arg_min(l_partkey, (l_linenumber, l_partkey)) as winner from lineitem group by 1""")
+def event_attrs(spark, d):
+    return Tables(spark, d).lineitem.groupBy(F.col("l_orderkey").alias("event")).agg(F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"), F.array_join(F.array_sort(F.collect_set("l_suppkey")), ",").alias("sources"), F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("winner"))
+
+
+@query("""select l_orderkey as event, count(distinct cast(l_shipdate as date)) > 1 as conflict,
+ case when count(distinct cast(l_shipdate as date)) = 1 or max(case when l_returnflag = 'R' then 1 else 0 end) = 1 then min(cast(l_shipdate as date)) end as deadline from lineitem group by 1""")
+def event_conflict(spark, d):
+    """More than one date is a conflict; an official member decides, else there is no date."""
+    day = F.col("l_shipdate").cast("date")
+    found = Tables(spark, d).lineitem.groupBy(F.col("l_orderkey").alias("event")).agg(F.count_distinct(day).alias("dates"), F.some(F.col("l_returnflag") == "R").alias("official"), F.min(day).alias("day"))
+    return found.select("event", (F.col("dates") > 1).alias("conflict"), F.when((F.col("dates") == 1) | F.col("official"), F.col("day")).alias("deadline"))
+
+
+@query("""with e as (select l_suppkey as event, count(distinct l_orderkey) filter (where l_linenumber <= 2) as fresh, count(distinct l_orderkey) filter (where l_linenumber > 2) as base, max(l_shipdate) filter (where l_discount > 0.05) as extended from lineitem group by 1)
+ select event, case when base = 0 then 'new' when fresh > 0 then 'updated' else 'old' end as kind, greatest(fresh - 1, 0) as reposts, extended from e""")
+def event_diff(spark, d):
+    fresh, base = (F.count_distinct(F.when(F.expr(c), F.col("l_orderkey"))) for c in ("l_linenumber <= 2", "l_linenumber > 2"))
+    found = Tables(spark, d).lineitem.groupBy(F.col("l_suppkey").alias("event")).agg(fresh.alias("fresh"), base.alias("base"), F.max(F.when(F.col("l_discount") > 0.05, F.col("l_shipdate"))).alias("extended"))
+    return found.select("event", F.when(F.col("base") == 0, "new").when(F.col("fresh") > 0, "updated").otherwise("old").alias("kind"), F.greatest(F.col("fresh") - 1, F.lit(0)).alias("reposts"), "extended")
+
+
+@query()
+def event_groups(spark, d):
+    """Guarded groups of the notices of one owner: scope and year must agree."""
+    rows = notices(Tables(spark, d))
+    return grouped(rows.select("id", F.col("opened").alias("first_seen"), (F.col("source_id") % 2).alias("scope"), F.year("deadline").alias("year"), "owner_id"), "owner_id")

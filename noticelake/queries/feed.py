@@ -1 +1,58 @@
+"""The change feed: snapshots, day diff, claims, briefings."""
 
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..plans import day_diff as plan
+from ..tables import NOTICES_SQL, NOW, OBSERVATIONS_SQL, Tables, notices, observations
+
+_WEAK = "value < 15"
+
+
+@query(f"""with {OBSERVATIONS_SQL}, f as (select day, source, count(*) as fresh from (select notice, source, min(day) as day from observations group by 1, 2) group by 1, 2),
+ r as (select day, source, count(*) as seen, case when count(*) filter (where {_WEAK}) * 2 > count(*) then 'partial' else 'ok' end as status from observations group by 1, 2),
+ s as (select r.day, r.source, status, coalesce(fresh, 0) as fresh, lag(r.day) over w as previous, lag(status) over w as before from r left join f on r.day = f.day and r.source = f.source window w as (partition by r.source order by r.day))
+ select day, source, case when day - previous = 1 then 'comparable' else 'gap' end as comparison, case when before = 'ok' then fresh else 0 end as new_count, case when before = 'ok' then 0 else fresh end as unverified_count from s where previous is not null""")
+def day_diff(spark, d):
+    return plan.day_diff(observations(Tables(spark, d)), _WEAK)
+
+
+@query(f"with {OBSERVATIONS_SQL} select day, count(distinct notice) as ids, array_to_string(list_sort(list_distinct(list(source))), ',') as sources, max(seen_at) as last_seen from observations where day > date '2024-01-05' group by 1")
+def snapshot_capture(spark, d):
+    """One row a day, the last 25 days kept."""
+    seen = observations(Tables(spark, d)).where("day > date '2024-01-05'")
+    return seen.groupBy("day").agg(F.count_distinct("notice").alias("ids"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.max("seen_at").alias("last_seen"))
+
+
+@query("select cast(ts as date) as day, min(event_id) as run from events where cast(ts as date) not in (select cast(ts as date) from events where event_type = 'signup' and value > 60) group by 1")
+def claim_once(spark, d):
+    """One claim a day, none where the day is claimed already."""
+    rows = Tables(spark, d).events.withColumn("day", F.col("ts").cast("date"))
+    claimed = rows.where("event_type = 'signup' and value > 60").select("day").distinct()
+    return rows.join(claimed, "day", "left_anti").groupBy("day").agg(F.min("event_id").alias("run"))
+
+
+@query(f"with {NOTICES_SQL} select owner_id, min(deadline) as first_due, count(*) as due from notices where owner_id < 10 and deadline >= date '{NOW}' and id in (select l_orderkey from lineitem) group by 1")
+def watch_due(spark, d):
+    """Next dates of the watched, elapsed ones removed."""
+    t = Tables(spark, d)
+    known = t.lineitem.select(F.col("l_orderkey").alias("id")).distinct()
+    rows = notices(t).where((F.col("owner_id") < 10) & (F.col("deadline") >= F.lit(NOW).cast("date"))).join(known, "id", "left_semi")
+    return rows.groupBy("owner_id").agg(F.min("deadline").alias("first_due"), F.count("*").alias("due"))
+
+
+@query(f"with {OBSERVATIONS_SQL}, c as (select day, count(*) as n from observations group by 1) select day, case when day = date '2024-01-30' then n end as shown, n as saved from c")
+def stale_guard(spark, d):
+    """Counts of another day than today are not shown, but kept."""
+    counts = observations(Tables(spark, d)).groupBy("day").agg(F.count("*").alias("n"))
+    return counts.select("day", F.when(F.col("day") == F.lit("2024-01-30").cast("date"), F.col("n")).alias("shown"), F.col("n").alias("saved"))
+
+
+@query("select o_orderkey as number, arg_min(kind, ord) as kind from (select o_orderkey, o_orderpriority as kind, 0 as ord from orders union all select o_orderkey, 'again', 1 from orders where o_orderkey % 2 = 0) where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45) group by 1")
+def idempotent_apply(spark, d):
+    """Requests are applied once by number; those applied before are skipped."""
+    t = Tables(spark, d)
+    first = t.orders.select(F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("kind"), F.lit(0).alias("ord"))
+    again = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("number"), F.lit("again").alias("kind"), F.lit(1).alias("ord"))
+    applied = t.lineitem.where("l_quantity > 45").select(F.col("l_orderkey").alias("number")).distinct()
+    return first.unionByName(again).join(applied, "number", "left_anti").groupBy("number").agg(F.min_by("kind", "ord").alias("kind"))
