@@ -1 +1,44 @@
+"""Captured pages: links, listings, details, robots and registration windows."""
 
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..sources import html as H
+from ..tables import NOTICES_SQL, Tables, notices
+
+
+@query()
+def pages_links(spark, d):
+    """Same-host links of every page."""
+    pages = Tables(spark, d).pages
+    return pages.select("page_id", F.posexplode(H.page_links(F.col("url"), F.col("html"))).alias("place", "link")).select("page_id", "place", "link.url", "link.title")
+
+
+@query()
+def listing_udtf(spark, d):
+    """Rows of listings: links with a title of some length, the last of an address kept, with the count that was recognised."""
+    pages = Tables(spark, d).pages
+    links = pages.select("page_id", H.page_links(F.col("url"), F.col("html")).alias("links"))
+    rows = links.select("page_id", F.size("links").cast("long").alias("recognised"), F.explode("links").alias("link"))
+    return rows.where(F.length("link.title") >= 4).groupBy("page_id", "recognised", "link.url").agg(F.max("link.title").alias("title"))
+
+
+@query()
+def detail_extract(spark, d):
+    pages = Tables(spark, d).pages
+    return pages.select("page_id", H.details(F.col("html")).alias("found")).select("page_id", "found.*")
+
+
+@query("select page_id, not contains(url, '/en/') as allowed from pages")
+def robots_gate(spark, d):
+    robots = F.lit("User-agent: *\nDisallow: /en/\n")
+    return Tables(spark, d).pages.select("page_id", H.robots_allowed(robots, F.col("url")).alias("allowed"))
+
+
+@query(f"with {NOTICES_SQL} select id, case when id % 3 = 0 or deadline < date '2000-01-21' then null else cast(opened as varchar) end as starts, case when id % 3 = 0 or deadline < date '2000-01-21' then null else cast(deadline as varchar) end as ends from notices")
+def registration_window(spark, d):
+    """Labelled periods; two different ones contradict each other, and years before 2000 are no dates here."""
+    rows = notices(Tables(spark, d)).where("deadline is not null")
+    period = lambda shift: F.concat(F.lit("접수기간: "), F.date_format(F.date_add("opened", shift), "yyyy. M. d."), F.lit(" ~ "), F.date_format(F.date_add("deadline", shift), "yyyy. M. d."))
+    text = F.when(F.col("id") % 3 == 0, F.concat_ws("\n", period(0), period(1))).when(F.col("deadline") < F.lit("2000-01-21").cast("date"), F.lit("접수기간: 9/1 ~ 10/31")).otherwise(period(0))
+    return rows.select("id", H.registration_column(text, F.lit("")).alias("w")).select("id", "w.starts", "w.ends")

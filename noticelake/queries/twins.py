@@ -1 +1,27 @@
+"""Streaming twins, drained over the event table and checked against batch SQL."""
 
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..streaming import twins as S
+from ..tables import OBSERVATIONS_SQL
+
+
+def _events(spark, d):
+    rows = S.table_stream(spark, d, "events")
+    return rows.select(F.concat(F.col("user_id"), F.lit(":"), F.col("event_type")).alias("notice"), F.col("ts").alias("seen_at"), "event_id")
+
+
+@query(f"with {OBSERVATIONS_SQL} select notice, min(seen_at) as first_seen, count(*) as sightings from observations group by 1")
+def stream_first_seen(spark, d):
+    return S.latest(S.drained(S.first_seen(_events(spark, d)), "first-seen", "update"), "notice", ["first_seen", "sightings"])
+
+
+@query("select cast(ts + interval 9 hours as date) as day, count(*) as n from events group by 1")
+def stream_day_buckets(spark, d):
+    return S.latest(S.drained(S.day_buckets(_events(spark, d), 9), "day-buckets", "update"), "day", ["n"])
+
+
+@query("select event_id, hour(ts) >= 12 as late from events")
+def stream_late_flag(spark, d):
+    return S.drained(S.late_flag(_events(spark, d), 12), "late-flag").select("event_id", "late")
