@@ -7,9 +7,9 @@ texts that share a band are candidates, and a candidate pair is a link if its we
 similarity, computed from the whole texts, is at least `SIMILARITY`. Classes are the connected
 components of the links; equal texts are collapsed before, so copies never meet in pairs.
 
-Buckets of a band are compared without emitting all pairs of a large one: in each round a few members
-of every open bucket are compared with its other members outside their own component, until members
-that were never compared all lie in one component. No link that the bands can see is lost.
+Large buckets of a band are cut into blocks and compared block by block, so a bucket is never one task,
+and tasks return a forest that spans the links they found, never pairs of a whole bucket. No link that
+the bands can see is lost.
 
 Defined cases: texts without words (null, empty, punctuation) link with nothing; a text of fewer than
 five words is one shingle; equal texts are one class; rows that share a doc_id count as one document;
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,8 +34,8 @@ from .workspace import stored
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, SAMPLES_PER_BAND = 12, 3
 IDF_BUCKETS, SLICES = 1 << 18, 16
-#: Buckets up to this many texts are compared in full; larger ones in rounds with so many leaders, four times as many each round.
-FULL_BUCKET, LEADERS = 256, 8
+#: Texts in a block of a bucket.
+BLOCK_TEXTS = 128
 BLOCK = 1 << 18
 
 
@@ -161,67 +161,92 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     return found.select("doc_id", "digest", "found.mass", "found.bands")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
-    """Pairs (a, b) whose weighted Jaccard similarity reaches SIMILARITY."""
-
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        cache: dict[str, tuple] = {}
-
-        def of(text: str) -> tuple:
-            if text not in cache:
-                if len(cache) >= 64:
-                    cache.clear()
-                cache[text] = weights.one(text)
-            return cache[text]
-
-        return pd.Series([weighted_jaccard(of(x), of(y)) >= SIMILARITY for x, y in zip(left, right)], dtype=bool)
+def _forest(ids: list[int], sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between rows of `left` and `right` that span what all their links connect.
+
+    The dot product of the square roots of the weights is at least the sum of the minima, so pairs whose
+    similarity under that bound is below SIMILARITY are no links; the others are verified exactly unless
+    they are connected already.
+    """
+    mass = np.array([w.sum(dtype=np.float64) for _, w in sets])
+    sizes = np.array([len(k) for k, _ in sets])
+    key, inverse = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    value = np.sqrt(np.concatenate([w for _, w in sets]))
+    shared = np.bincount(inverse, minlength=len(key)) > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[inverse]
+    row, value, at = row[keep], value[keep], column[inverse[keep]]
+    order = np.argsort(at, kind="stable")
+    row, value, at = row[order], value[order], at[order]
+    both = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(at, [start, start + 4096])
+        dense = np.zeros((len(sets), 4096), dtype=np.float32)
+        dense[row[a:b], at[a:b] - start] = value[a:b]
+        both += dense @ dense.T
+    both *= 1 + 1e-5  # rounding must not lose a pair
+    near = both >= SIMILARITY * (mass[:, None] + mass[None, :] - both)
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in zip(*np.nonzero(near & left[:, None] & right[None, :])):
+        if i != j and root(i) != root(j) and weighted_jaccard(sets[i], sets[j]) >= SIMILARITY:
+            parent[root(i)] = root(j)
+            yield ids[i], ids[j]
+
+
+def _compare(weights: Weights):
+    """Groups of rows (task, low, high, block, rep, text), one after the other: the links found in each."""
+
+    def linked(group: list[tuple]) -> list[tuple[int, int]]:
+        rows = {r[4]: r for r in group if r[5] is not None}  # a doc_id that repeats is compared once
+        if len(rows) < 2:
+            return []
+        rows = list(rows.values())
+        sets = [s for _, found in weights.sets([r[5] for r in rows]) for s in found]
+        block = np.array([r[3] for r in rows])
+        return list(_forest([r[4] for r in rows], sets, block == rows[0][1], block == rows[0][2]))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in batch.itertuples(index=False, name=None):
+                if group and row[:3] != group[0][:3]:
+                    found += linked(group)
+                    group = []
+                group.append(row)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(linked(group) if group else [], columns=["a", "b"], dtype=np.int64)
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").where(alike("text_a", "text_b")).select("a", "b").distinct()
+    return compare
 
 
 def links(docs: DataFrame, classes: DataFrame, weights: Weights) -> DataFrame:
-    """Verified links that connect the classes; classes(rep, mass, bands) has one row for each distinct text."""
-    banded = classes.select("rep", "mass", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
-    members = stored(banded.join(sizes, ["band", "key"]), "dup-members")
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(docs.where("text is not null").select("doc_id", "text").join(needed, "doc_id"), "dup-texts")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        near = F.least("mass_a", "mass_b") >= SIMILARITY * 0.999 * F.greatest("mass_a", "mass_b")  # else the similarity is below
-        return stored(_verified(pairs.where(near).select("a", "b").distinct(), texts, weights), "dup-links")
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("band", "key", F.col("rep").alias(name), F.col("mass").alias(f"mass_{name}"), *([F.col("component").alias(f"component_{name}")] if "component" in df.columns else []))
-
-    few = members.where(F.col("members") <= FULL_BUCKET)
-    found = compare(side(few, "a").join(side(few, "b"), ["band", "key"]).where("a < b"))
-
-    # a large bucket that shares its members with another band's bucket is still compared only once per pair
-    open_members = members.where(F.col("members") > FULL_BUCKET).withColumn("led", F.lit(False))
-    leading = LEADERS
-    while open_members.limit(1).count():
-        labels = components(found)
-        labelled = open_members.drop("component").join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        state = labelled.where("not led").groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-        open_members = stored(labelled.join(state, ["band", "key"]), "dup-open")
-        if not open_members.limit(1).count():
-            break
-        # leaders: the smallest unled member of a component, from the rarest components of the bucket
-        own = open_members.where("not led").groupBy("band", "key", "component").agg(F.count("*").alias("size"), F.min("rep").alias("leader"))
-        rarest, largest = (Window.partitionBy("band", "key").orderBy(*by) for by in ((F.col("size"), F.col("leader")), (F.desc("size"), F.desc("leader"))))
-        ranked = own.withColumns({"rare": F.row_number().over(rarest), "large": F.row_number().over(largest)})
-        leaders = ranked.where((F.col("rare") < leading) | (F.col("large") == 1)).select("band", "key", F.col("leader").alias("rep"))
-        led = open_members.join(leaders.withColumn("leads", F.lit(True)), ["band", "key", "rep"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-        led = stored(led, "dup-led")
-        pairs = side(led.where("leads"), "a").join(side(led, "b"), ["band", "key"]).where("a <> b and component_a <> component_b")
-        found = stored(found.unionByName(compare(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "mass_a", "mass_b").withColumnsRenamed({"x": "a", "y": "b"}))).distinct(), "dup-found")
-        open_members = led.withColumn("led", F.col("led") | F.col("leads")).drop("leads", "component")
-        leading *= 4
-    return found
+    """Verified links that connect the classes; classes(rep, bands) has one row for each distinct text.
+
+    A bucket is compared in one task, or in one task for each pair of its blocks where it is large.
+    Buckets of several bands that hold the same texts are compared once. Texts move to their tasks;
+    pairs never become rows.
+    """
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    mark = F.xxhash64("rep")
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("members > 1")
+    distinct = buckets.groupBy("members", "x", "y").agg(F.min(F.struct("band", "key")).alias("of")).select("of.band", "of.key", "x", "members")
+    blocks_of = distinct.withColumn("blocks", F.ceil(F.col("members") / BLOCK_TEXTS).cast("int"))
+    placed = banded.join(blocks_of, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
+    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("x", "band", "key").alias("task"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep"
+    )
+    with_text = tasks.join(docs.where("text is not null").select(F.col("doc_id").alias("rep"), "text"), "rep").select("task", "low", "high", "block", "rep", "text")
+    key = ["task", "low", "high"]
+    return stored(with_text.repartition(*key).sortWithinPartitions(*key).mapInPandas(_compare(weights), "a long, b long"), "dup-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
