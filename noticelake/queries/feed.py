@@ -24,11 +24,11 @@ def snapshot_capture(spark, d):
     return seen.groupBy("day").agg(F.count_distinct("notice").alias("ids"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.max("seen_at").alias("last_seen"))
 
 
-@query("select cast(ts as date) as day, min(event_id) as run from events where cast(ts as date) not in (select cast(ts as date) from events where event_type = 'signup' and value > 60) group by 1")
+@query("select cast(ts as date) as day, min(event_id) as run from events where cast(ts as date) not in (select cast(ts as date) from events where event_type = 'signup' and value > 250) group by 1")
 def claim_once(spark, d):
     """One claim a day, none where the day is claimed already."""
     rows = Tables(spark, d).events.withColumn("day", F.col("ts").cast("date"))
-    claimed = rows.where("event_type = 'signup' and value > 60").select("day").distinct()
+    claimed = rows.where("event_type = 'signup' and value > 250").select("day").distinct()
     return rows.join(claimed, "day", "left_anti").groupBy("day").agg(F.min("event_id").alias("run"))
 
 
