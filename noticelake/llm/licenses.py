@@ -24,12 +24,13 @@ SPELLINGS = [
     (r"sub-?licens", "sublicens"),
     (r"non-commercial", "noncommercial"),
     (r"merchantibility", "merchantability"),
-    (r"\bversion (?=[0-9])|\bv\.? ?(?=[0-9])", ""),
+    (r"\b(version |v\.? ?)([0-9])", "$2"),
     (r"\bgnu general public license\b", "gnu gpl"),
     (r"creative commons attribution", "cc by"),
     (r"https?://", ""),
     (r"&", " and "),
 ]
+LINE_BREAK = r"\r\n|\n|\r"
 #: Fixed pattern: a line that only states a copyright.
 COPYRIGHT_LINE = r"^\W*(copyright\b|©|\(c\)|all rights reserved)"
 
@@ -92,7 +93,7 @@ def canonical_line(line: Column) -> Column:
 
 
 def _canonical_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), canonical_line), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_BREAK), canonical_line), lambda x: x.isNotNull())
 
 
 def known_digests(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:

@@ -87,5 +87,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+def _licence_sql() -> str:
+    """The same canonical form and lookups in SQL, from the same fixed values."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    form = "lower(x)"
+    for pattern, plain in licenses.SPELLINGS:
+        form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(plain.replace('$', chr(92)))}, 'g')"
+    form = f"trim(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    line = f"case when not regexp_matches(lower(x), {quoted(licenses.COPYRIGHT_LINE)}) then nullif({form}, '') end"
+    lines = f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), {quoted(licenses.LINE_BREAK)}), lambda x: {line}), lambda x: x is not null)"
+    values = lambda rows: ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in rows)
+    return f"""with known as (select distinct id, sha256(array_to_string({lines}, ' ')) as digest from (values {values(licenses.TEXTS)}) k(id, text)),
+ notice as (select distinct id, sha256(array_to_string({lines}, ' ')) as digest from (values {values(licenses.NOTICES)}) k(id, text)),
+ base as (select doc_id, {lines} as canonical from documents),
+ hits as (select doc_id, id from (select doc_id, unnest(canonical) as l from base) join notice on sha256(l) = digest),
+ per as (select doc_id, count(*) as n, string_agg(distinct id, ',' order by id) as ids from hits group by 1)
+ select b.doc_id, case when len(canonical) > 0 then sha256(array_to_string(canonical, ' ')) end as text_digest, id as license_id, coalesce(n, 0) as n_notices, coalesce(ids, '') as notice_ids
+ from base b left join known on len(canonical) > 0 and sha256(array_to_string(canonical, ' ')) = digest left join per on b.doc_id = per.doc_id"""
+
+
+#: All pairs of a label by exact cosine; components by the smallest vector that links reach.
+_PIVOTS_SQL = f"""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {pivots.COSINE}),
+ reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+ c as (select a, min(b) as component_id from reach group by 1), n as (select a, count(*) as n_links from links group by 1)
+ select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c on vec_id = c.a left join n on vec_id = n.a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_pivots": _PIVOTS_SQL, "op10_licenses": _licence_sql()}
