@@ -33,6 +33,7 @@ SHARE, CAP = 1.5, 2.0
 RATE_UNIT = 1_000_000
 MAX_STEPS, TOLERANCE = 40, 1e-10
 _MASK63 = (1 << 63) - 1
+RESULTS = ["size", "source_size", "target", "copies", "taken", "mix_key", "slice", "source_key", "source_null", "rank_before", "each", "extra", "copy"]
 
 
 def word_count(text: Column) -> Column:
@@ -112,7 +113,7 @@ def _diffused(rows: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, source, ...) with size, source_size, target, copies and taken = size * copies for every row."""
-    columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    columns = [c for c in docs.columns if c not in RESULTS]
     slices = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))), 1)
     rows = docs.select(*columns, word_count(F.col("text")).alias("size"), key.alias("mix_key")).withColumn("slice", F.expr(f"mix_key div {_MASK63 // slices + 1}"))
@@ -131,13 +132,16 @@ def mix(docs: DataFrame) -> DataFrame:
         F.col("r.source").alias("source"), F.col("r.size").alias("size"), "slice", "rank_before", "source_size", "target",
         F.expr("copies div n.docs").alias("each"), F.expr("copies % n.docs").alias("extra"),
     )
-    d, p = rows.alias("d"), plan.alias("p")
-    joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d.slice") == F.col("p.slice")))
-    place = F.row_number().over(Window.partitionBy("d.source", "d.size", "d.slice").orderBy("d.mix_key")) + F.col("rank_before")
-    out = joined.select(*[F.col(f"d.{c}") for c in columns], F.col("d.size").alias("size"), "source_size", "target", (F.col("each") + F.when(place <= F.col("extra"), 1).otherwise(0)).cast("long").alias("copies"))
+    # plain keys: one exchange of the texts serves the join and the ranking
+    key = {"source_key": F.coalesce("source", F.lit("")), "source_null": F.col("source").isNull()}
+    cell = ["source_key", "source_null", "size", "slice"]
+    joined = rows.withColumns(key).join(plan.withColumns(key).drop("source"), cell)
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("mix_key")) + F.col("rank_before")
+    out = joined.select(*columns, "size", "source_size", "target", (F.col("each") + F.when(place <= F.col("extra"), 1).otherwise(0)).cast("long").alias("copies"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    return mix(docs).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    kept = mix(docs).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return kept.select(*[c for c in docs.columns if c not in RESULTS])

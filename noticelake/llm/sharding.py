@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .workspace import stored
 
 RESULTS = ["size", "text_crc32", "shard", "slot"]
-_KEY = ["doc_id", "text_crc32", "size", "copy"]
+_KEY = ["id_key", "id_null", "text_crc32", "size", "copy"]
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -73,11 +73,11 @@ def shard_plan(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 
 def assign_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """docs with size, text_crc32, shard and slot added; each row of docs comes back once."""
-    columns = [c for c in docs.columns if c not in [*RESULTS, "copy"]]
-    same = Window.partitionBy("doc_id", "text_crc32", "size")
-    rows = _sized(docs).withColumn("copy", F.row_number().over(same.orderBy(F.xxhash64(*[c for c in columns if c != "text"]))))
+    columns = [c for c in docs.columns if c not in [*RESULTS, "copy", *_KEY]]
+    key = {"id_key": F.coalesce("doc_id", F.lit(0)), "id_null": F.col("doc_id").isNull()}  # plain keys: one exchange serves the numbering and the join
+    same = Window.partitionBy("id_key", "id_null", "text_crc32", "size")
+    others = F.xxhash64(F.lit(0), *[c for c in columns if c not in ("doc_id", "text")])
+    rows = _sized(docs.select(*columns)).withColumns(key).withColumn("copy", F.row_number().over(same.orderBy(others)))
     plan = _slotted(_placed(_sized(docs).select("doc_id", "text_crc32", "size"), n_shards))
-    plan = plan.withColumn("copy", F.row_number().over(same.orderBy("shard", "slot")))
-    a, b = rows.alias("a"), plan.alias("b")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in _KEY]
-    return a.join(b, on).select(*[F.col(f"a.{c}") for c in columns], *[F.col(f"b.{c}") for c in RESULTS])
+    plan = plan.withColumns(key).withColumn("copy", F.row_number().over(same.orderBy("shard", "slot"))).drop("doc_id")
+    return rows.join(plan, _KEY).select(*columns, *RESULTS)
