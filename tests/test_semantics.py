@@ -13,6 +13,7 @@ from noticelake.operators.grouping import grouped
 from noticelake.operators.upsert import upsert
 from noticelake.plans.day_diff import day_diff
 from noticelake.sources import html as H
+from noticelake.sources.attachments import extract
 
 D = datetime.date
 
@@ -118,3 +119,39 @@ def test_page_parsing():
     assert "2026" not in H.visible_text(page) and "text" in H.visible_text(page)
     assert H.embedded_event(page.json)["name"] == "E"
     assert H.embedded_event(page.json * 2) is None
+
+
+def test_embedded_registration_needs_the_own_id_and_agreement():
+    block = '{"items": [{"id": 7, "registrationEndAt": "2026-10-31T23:00:00Z"}, {"id": 8, "registrationEndAt": "2026-01-01T00:00:00Z"}]}'
+    assert H.embedded_registration([block], "7") == {"starts": None, "ends": "2026-11-01", "clock": "08:00"}
+    assert H.embedded_registration([block, block.replace("23:00", "22:00")], "7")["ends"] is None
+    assert H.embedded_registration([block], "9")["ends"] is None
+
+
+def test_milestones_need_one_date():
+    text = "결과물 제출 마감\n2026. 9. 1. 18:00\n시상식 일시: 2026.9.3 또는 2026.9.4"
+    assert [(m["kind"], m["day"]) for m in H.milestones(text)] == [("submission", "2026-09-01")]
+
+
+def test_attachments():
+    import io
+    import zipfile
+
+    def archive(text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("Contents/section0.xml", text)
+        return out.getvalue()
+
+    assert extract(archive("<p>hello</p><p>there</p>"), "hwpx") == ("ok", "hello\nthere")
+    assert extract(archive("<!DOCTYPE x>"), "hwpx")[0] == "unsafe_document"
+    assert extract(archive("<p></p>"), "hwpx")[0] == "no_text"
+    assert extract(b"x", "hwpx")[0] == "parse_error"
+    assert extract("가나".encode("cp949"), "txt") == ("ok", "가나")
+    assert extract(b"%PDF", "pdf")[0] == "unsupported"
+    assert extract(b"x" * 5_000_001, "txt")[0] == "too_large"
+
+
+def test_schedule_links_stay_with_the_event():
+    links = [("/e/1/schedule", "일정"), ("/e/2/schedule", "일정"), ("/e/1/prizes", "상금")]
+    assert H.schedule_links(links, "https://x.org/e/1/overview") == ["https://x.org/e/1/schedule"]
