@@ -1,8 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its five-word shingles (lower-cased letter and digit runs): weight =
-(1 + ln tf) * (1 + mean idf of the shingle's words), the idf scaled to 0..1 from document counts of
-all texts kept in a hashed table of fixed size. Consistent weighted samples of the set are banded;
+(1 + ln tf) * (1 + IDF_SHARE * mean idf of the shingle's words), the idf scaled to 0..1 from document
+counts of all texts kept in a hashed table of fixed size. The share is small, because edited words are
+rare: a larger one would put copies below the threshold that share 80 % of their shingles. Consistent weighted samples of the set are banded;
 texts that share a band are candidates, and a candidate pair is a link if its weighted Jaccard
 similarity, computed from the whole texts, is at least `SIMILARITY`. Classes are the connected
 components of the links; equal texts are collapsed before, so copies never meet in pairs.
@@ -32,6 +33,7 @@ from .textarrays import blocks, mix64, shingles, tokens
 from .workspace import stored
 
 WIDTH, SIMILARITY = 5, 0.8
+IDF_SHARE = 0.25
 BANDS, SAMPLES_PER_BAND = 12, 3
 IDF_BUCKETS, SLICES = 1 << 18, 16
 #: Texts in a block of a bucket.
@@ -88,7 +90,7 @@ class Weights:
                 keys, at, tf = np.unique(shingles(word[a:b], WIDTH), return_index=True, return_counts=True)
                 last = np.minimum(a + at + WIDTH, b)
                 mean = (upto[last] - upto[a + at]) / 255 / np.maximum(last - a - at, 1)
-                found.append((keys, ((1 + np.log(tf)) * (1 + mean)).astype(np.float32)))
+                found.append((keys, ((1 + np.log(tf)) * (1 + IDF_SHARE * mean)).astype(np.float32)))
             yield first, found
 
     def one(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
