@@ -1,4 +1,4 @@
-"""Guarded grouping: notices of one real event, decided on links inside buckets."""
+"""Guarded grouping: notices of one real event."""
 
 from __future__ import annotations
 
@@ -6,38 +6,53 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import components
+
 GROUPS = "id long, grp long, members long"
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over one bucket in birth order; two clusters join only if every cross pair is compatible."""
-    rows = rows.sort_values(["first_seen", "id"], kind="stable")
-    clusters: list[list[int]] = []
-    scope, years = rows["scope"].tolist(), rows["year"].tolist()
+def _guarded(rows: pd.DataFrame) -> pd.DataFrame:
+    """Union-find over the notices of one component, in birth order.
+
+    Two notices that share a key are merged only if every pair across their clusters is compatible:
+    equal scope, and years that overlap or are not known.
+    """
+    rows = rows.sort_values(["first_seen", "id"], kind="stable", na_position="last").reset_index(drop=True)
+    scope = rows["scope"].tolist()
+    years = [set(y) if y is not None else set() for y in rows["years"]]
+    cluster = {i: [i] for i in range(len(rows))}
+    home = list(range(len(rows)))
 
     def compatible(i: int, j: int) -> bool:
-        return scope[i] == scope[j] and (years[i] == years[j] or years[i] is None or years[j] is None or years[i] != years[i] or years[j] != years[j])
-
-    for i in range(len(rows)):
-        home = next((c for c in clusters if all(compatible(i, j) for j in c)), None)
-        if home is None:
-            clusters.append([i])
-        else:
-            home.append(i)
+        return scope[i] == scope[j] and (not years[i] or not years[j] or bool(years[i] & years[j]))
+
+    buckets: dict[str, list[int]] = {}
+    for i, keys in enumerate(rows["keys"]):
+        for key in keys:
+            buckets.setdefault(key, []).append(i)
+    for members in buckets.values():
+        for place, j in enumerate(members):
+            for i in members[:place]:
+                a, b = home[i], home[j]
+                if a != b and all(compatible(x, y) for x in cluster[a] for y in cluster[b]):
+                    low, high = min(a, b), max(a, b)
+                    cluster[low] += cluster.pop(high)
+                    for x in cluster[low]:
+                        home[x] = low
     ids = rows["id"].tolist()
-    out = [(ids[i], min(ids[j] for j in c), len(c)) for c in clusters for i in c]
-    return pd.DataFrame(out, columns=["id", "grp", "members"])
+    return pd.DataFrame([(ids[i], ids[home[i]], len(cluster[home[i]])) for i in range(len(rows))], columns=["id", "grp", "members"])
 
 
-def grouped(notices: DataFrame, bucket: str) -> DataFrame:
-    """(id, grp, members) of notices(id, first_seen, scope, year, <bucket>).
+def grouped(notices: DataFrame) -> DataFrame:
+    """(id, grp, members) of notices(id, first_seen, scope, years array, keys array); grp is the oldest member's id.
 
-    The guard depends on scope and year alone, so rows of one bucket, scope and year are always
-    together; buckets are cut by scope before any rows meet in a task.
+    Notices of different scope are never merged, so what can be merged at all is found first: the
+    components of notices that share a key and a scope, computed in Spark on stars around each key. The
+    exact, order-dependent merge then runs inside one component at a time. A notice without keys is a
+    group of its own.
     """
-    return notices.groupBy(bucket, "scope").applyInPandas(_greedy, GROUPS)
-
-
-def transitive(notices: DataFrame, bucket: str) -> DataFrame:
-    """The special case without a guard: groups are buckets."""
-    return notices.groupBy(bucket).agg(F.min("id").alias("grp"), F.count("*").alias("members"))
+    keyed = notices.select("id", "scope", F.explode("keys").alias("key"))
+    first = keyed.groupBy("scope", "key").agg(F.min("id").alias("a"))
+    stars = keyed.join(first, ["scope", "key"]).select("a", F.col("id").alias("b"))
+    joined = notices.join(components(stars).withColumnRenamed("node", "id"), "id", "left")
+    return joined.withColumn("component", F.coalesce("component", "id")).groupBy("component").applyInPandas(_guarded, GROUPS)

@@ -50,6 +50,7 @@ def event_diff(spark, d):
 
 @query()
 def event_groups(spark, d):
-    """Guarded groups of the notices of one owner: scope and year must agree."""
+    """Guarded groups: notices share an owner and a month or an owner and a price class; track and year must agree."""
+    keys = F.array(F.concat_ws(":", F.lit("owner"), "owner_id", F.date_format("deadline", "yyyy-MM")), F.concat_ws(":", F.lit("price"), "owner_id", F.floor(F.col("price") / 20000)))
     rows = notices(Tables(spark, d))
-    return grouped(rows.select("id", F.col("opened").alias("first_seen"), (F.col("source_id") % 2).alias("scope"), F.year("deadline").alias("year"), "owner_id"), "owner_id")
+    return grouped(rows.select("id", F.col("opened").alias("first_seen"), (F.col("source_id") % 2).alias("scope"), F.array(F.year("deadline")).alias("years"), keys.alias("keys")))

@@ -91,10 +91,16 @@ def test_day_diff_does_not_trust_a_partial_source(spark):
     assert found == {2: ("comparable", 0, 1), 3: ("comparable", 1, 0), 5: ("gap", 1, 0)}
 
 
-def test_grouping_guard(spark):
-    rows = [(1, D(2026, 1, 1), 0, 2026, "k"), (2, D(2026, 1, 2), 0, 2026, "k"), (3, D(2026, 1, 3), 0, 2027, "k"), (4, D(2026, 1, 3), 1, 2026, "k")]
-    found = grouped(spark.createDataFrame(rows, "id long, first_seen date, scope int, year int, bucket string"), "bucket").collect()
-    assert {r["id"]: r["grp"] for r in found} == {1: 1, 2: 1, 3: 3, 4: 4}
+def test_grouping_is_guarded_and_keeps_the_oldest(spark):
+    rows = [
+        (1, D(2026, 1, 1), "", [2026], ["k"]), (2, D(2026, 1, 2), "", [2026], ["k", "t"]), (3, D(2026, 1, 3), "", [2027], ["k"]), (4, D(2026, 1, 3), "track b", [2026], ["k"]),
+        (5, D(2026, 1, 9), "", [], ["t"]), (6, D(2026, 1, 9), "", [2026], []), (7, D(2025, 12, 1), "", [2027], ["t"]),
+    ]
+    notices = spark.createDataFrame(rows, "id long, first_seen date, scope string, years array<int>, keys array<string>")
+    found = {r["id"]: (r["grp"], r["members"]) for r in grouped(notices).collect()}
+    # 7 and 3 know another year than 1 and 2; 5 knows none and joins the older cluster of its key
+    assert found[1] == found[2] and found[3] == (3, 1) and found[4] == (4, 1) and found[6] == (6, 1)
+    assert found == {r["id"]: (r["grp"], r["members"]) for r in grouped(notices.repartition(3)).collect()}
 
 
 @pytest.mark.parametrize(
