@@ -28,9 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.graph import components
 from .textarrays import blocks, mix64, shingles, tokens
-from .workspace import stored
+from ..workspace import stored
 
 WIDTH, SIMILARITY = 5, 0.8
 IDF_SHARE = 0.25

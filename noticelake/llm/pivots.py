@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .workspace import stored
+from ..operators.graph import components
+from ..workspace import stored
 
 COSINE = 0.93
 PREFIX, SHARED = 8, 3

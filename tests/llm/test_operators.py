@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticelake.llm import decontamination, katz, language, licenses, mixing, neardup, pii, pivots, sharding, toxicity
-from noticelake.llm.components import components
+from noticelake.operators.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(3)
@@ -203,7 +203,7 @@ def test_consistent_samples_estimate_weighted_similarity():
 
 
 def test_components_meet_over_many_rounds(spark, monkeypatch):
-    from noticelake.llm import components as module
+    from noticelake.operators import graph as module
 
     monkeypatch.setattr(module, "PART_EDGES", 20)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 30)]
