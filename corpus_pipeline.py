@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from noticelake.llm import stages
-from noticelake.llm.workspace import stored
+from noticelake.workspace import stored
 
 STAGES = [
     ("toxicity", stages.without_toxic),
