@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import shared_folder
 
-def _work(spark: SparkSession, label: str) -> str:
-    import tempfile
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-noticelake-")
-    return f"{folder.rstrip('/')}/noticelake-stream/{label}-{uuid.uuid4().hex}"
+def _work(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/noticelake-stream/{label}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
