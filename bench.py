@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from noticelake import catalog
 
-HEADLINE = ["day_diff", "upsert_merge", "asof_snapshot", "fair_budget_plan", "quality_report", "quality_regression", "event_attrs", "dedupe_primary", "deadline_order", "canonical_url", "multi_label_tags", "topn_per_group", "detail_extract"]
+HEADLINE = ["day_diff", "upsert_merge", "asof_snapshot", "fair_budget", "quality_report", "quality_regression", "event_attrs", "dedupe_primary", "deadline_order", "canonical_url", "multi_label_tags", "topn_per_group", "detail_extract"]
 
 
 def main() -> None:

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators.budget import fair_budget
+from ..operators.budget import fair_budget as take_fairly
 from ..tables import NOTICES_SQL, NOW, OBSERVATIONS_SQL, Tables, notices, observations
 from .timing import STATUS_SQL, with_status
 
@@ -34,9 +34,9 @@ def lag_previous(spark, d):
 
 @query("""with r as (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_size > 25, p_retailprice, p_partkey) as turn from part),
  t as (select p_partkey from r order by turn, p_brand limit 60) select p_partkey, p_brand, turn, p_partkey in (select p_partkey from t) as taken from r""")
-def fair_budget_plan(spark, d):
+def fair_budget(spark, d):
     rows = Tables(spark, d).part.withColumn("late", F.col("p_size") > 25)
-    return fair_budget(rows, "p_brand", [F.col("late"), F.col("p_retailprice")], 60, "p_partkey").select("p_partkey", "p_brand", F.col("turn"), "taken")
+    return take_fairly(rows, "p_brand", [F.col("late"), F.col("p_retailprice")], 60, "p_partkey").select("p_partkey", "p_brand", F.col("turn"), "taken")
 
 
 @query("select l_suppkey, l_orderkey, l_linenumber, r from (select *, row_number() over (partition by l_suppkey order by l_returnflag = 'N' desc, l_shipdate, l_orderkey, l_linenumber, l_partkey) as r from lineitem) where r <= 8")
