@@ -9,17 +9,33 @@ from pyspark.sql import functions as F
 TRACKING = ["jsessionid", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mode"]
 
 
+ARTICLE = r"/bbs/[^/]+/\d+/\d+/artclView\.do"
+EVENT_TAB = r"^(/competitions/(?:official|open)/\d+).*$"
+
+
+def _unwrapped(url: Column) -> Column:
+    """The article address that a board wraps in a base64 `enc` value, else the address itself."""
+    origin = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    wrapped = F.regexp_extract(url, r"[?&]enc=([A-Za-z0-9+/%_-]+=*)", 1)
+    plain = F.try_to_binary(F.regexp_replace(F.regexp_replace(wrapped, "%2B", "+"), "%3D|=", ""), F.lit("base64")).cast("string")
+    inner = F.try_url_decode(F.element_at(F.split(plain, r"\|@@\|"), -1))
+    return F.when((wrapped != "") & inner.rlike("^/") & inner.contains("/bbs/") & inner.contains("artclView.do"), F.concat(origin, inner)).otherwise(url)
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, tracking keys dropped, query pairs sorted, no fragment or session path; '' for what is no public web address."""
-    trimmed = F.trim(url)
+    """Scheme and host in lower case, tracking keys dropped, query pairs sorted, no fragment or session path; '' for what is no public web address.
+
+    Wrapped article addresses are unwrapped, a layout key of an article is dropped, and the tabs of one event are one address.
+    """
+    trimmed = F.trim(_unwrapped(F.trim(url)))
     head = F.regexp_extract(trimmed, r"^(?i:(https?))://([^/?#@]+)", 0)
     scheme = F.lower(F.regexp_extract(trimmed, r"^(?i:(https?))://", 1))
     host = F.lower(F.regexp_extract(trimmed, r"^(?i:https?)://([^/?#]+)", 1))
     rest = F.regexp_replace(F.regexp_replace(trimmed, r"^(?i:https?)://[^/?#]+", ""), r"#.*$", "")
-    path = F.regexp_replace(F.regexp_replace(rest, r"\?.*$", ""), r"(?i);jsessionid=[^/?;]*", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"\?.*$", ""), r"(?i);jsessionid=[^/?;]*", ""), EVENT_TAB, "$1/overview/")
     query = F.when(rest.contains("?"), F.regexp_replace(rest, r"^[^?]*\?", "")).otherwise("")
     key = lambda pair: F.lower(F.split(pair, "=")[0])
-    pairs = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~key(p).isin(TRACKING) & ~key(p).startswith("utm_")))
+    pairs = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~key(p).isin(TRACKING) & ~key(p).startswith("utm_") & ~(path.rlike(ARTICLE) & (key(p) == "layout"))))
     body = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""))
     valid = (head != "") & ~host.contains("@") & ~trimmed.rlike(r'[\x00-\x20<>"\\]')
     return F.when(valid, body).otherwise("")

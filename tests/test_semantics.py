@@ -1,5 +1,6 @@
 """Small fixtures for the rules that the tables do not reach."""
 
+import base64
 import datetime
 
 import pytest
@@ -16,6 +17,7 @@ from noticelake.sources import html as H
 from noticelake.sources.attachments import extract
 
 D = datetime.date
+WRAPPED = base64.b64encode(b"fnct1|@@|%2Fbbs%2Fx%2F1%2F2%2FartclView.do%3Fid%3D3").decode()
 
 
 def one(spark, column):
@@ -64,6 +66,10 @@ def test_canonical_url(spark):
         "https://user@example.org/a": "",
         "javascript:alert(1)": "",
         "https://e.org/p;jsessionid=AB?x=": "https://e.org/p?x=",
+        "https://d.io/competitions/official/12/leaderboard?tab=1": "https://d.io/competitions/official/12/overview/?tab=1",
+        "https://e.org/bbs/x/1/2/artclView.do?layout=z&id=3": "https://e.org/bbs/x/1/2/artclView.do?id=3",
+        "https://e.org/sub.do?enc=" + WRAPPED: "https://e.org/bbs/x/1/2/artclView.do?id=3",
+        "https://e.org/sub.do?enc=%%%": "https://e.org/sub.do?enc=%%%",
     }
     for url, expected in cases.items():
         assert one(spark, U.canonical_url(F.lit(url))) == expected
