@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import shared_folder
+from ..workspace import own_folder
 
 
 def _work(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/noticelake-stream/{label}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,14 @@ def test_attachments():
 def test_schedule_links_stay_with_the_event():
     links = [("/e/1/schedule", "일정"), ("/e/2/schedule", "일정"), ("/e/1/prizes", "상금")]
     assert H.schedule_links(links, "https://x.org/e/1/overview") == ["https://x.org/e/1/schedule"]
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from noticelake import workspace
+
+    kept = workspace.stored(spark.range(3), "test")
+    assert kept.count() == 3
+    path = workspace.own_folder(spark).removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(path)
+    workspace.clear(spark)
+    assert not os.path.isdir(path)
