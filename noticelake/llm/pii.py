@@ -129,6 +129,14 @@ _BRACKETED = re.compile(rf"[\[({{<]\s*(?:[@.]|{_AT_WORDS}|{_DOT_WORDS})\s*[\])}}
 _BRACKET_AT = re.compile(rf"\s*[\[({{<]\s*(?:@|{_AT_WORDS})\s*[\])}}>]\s*", re.I)
 _BRACKET_DOT = re.compile(rf"\s*[\[({{<]\s*(?:\.|{_DOT_WORDS})\s*[\])}}>]\s*", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9-]+\.[A-Za-z0-9])")
+#: Blanks around a dot of a host; a plain "at" between a name with a digit, dot or underscore and a host with a usual ending.
+_SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\x20\.\x20(?=[A-Za-z0-9])")
+_NAMED_AT = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9%+-]*[0-9._][A-Za-z0-9._%+-]*)\s+(?:{_AT_WORDS})\s+(?=(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|info|io|eu|uk|de|fr|es)(?![A-Za-z0-9]))", re.I
+)
+_HOST_ENDS = (".com", ".org", ".net", ".edu", ".gov", ".info", ".io", ".eu", ".uk", ".de", ".fr", ".es")
+#: Groups of four digits that other signs than blanks and hyphens hold together.
+_GROUPED = re.compile(r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")
 _PLAIN_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+(?:{_DOT_WORDS})\s+|_(?:{_DOT_WORDS})_)(?=[A-Za-z0-9])", re.I)
 #: A dot that was a plain word is marked, because a plain word "at" counts only before a host with such a dot.
 _MARK = "\ue000"
@@ -193,7 +201,9 @@ def deobfuscated(text: str) -> Aligned | None:
     dots, spoken = _traces(text)
     at_sign = "@" in text and _SPACED_AT.search(text)
     bracketed = ("(" in text or "[" in text or "{" in text or "<" in text) and _BRACKETED.search(text)
-    if not (alike or dots or spoken or at_sign or bracketed or _LETTER_AMONG.search(text)):
+    spaced = " @ " in text and _SPACED_DOT.search(text)
+    named = any(end in text for end in _HOST_ENDS) and _NAMED_AT.search(text)
+    if not (alike or dots or spoken or at_sign or bracketed or spaced or named or _LETTER_AMONG.search(text) or _GROUPED.search(text)):
         return None
     out = Aligned(text)
     if alike:
@@ -207,7 +217,12 @@ def deobfuscated(text: str) -> Aligned | None:
         out.rewrite(_PLAIN_DOT, lambda m: "." + _MARK)
         out.rewrite(_PLAIN_AT, lambda m: "@")
         out.rewrite(_MARKED_DOT, lambda m: ".")
+    if spaced:
+        out.rewrite(_SPACED_DOT, lambda m: ".")
+    if named:
+        out.rewrite(_NAMED_AT, lambda m: m[1] + "@")
     out.rewrite(_SPACED_AT, lambda m: "@")
+    out.rewrite(_GROUPED, lambda m: m.group().replace(m[1], "-"))
     out.rewrite(_LETTER_DIGIT, lambda m: "0" if m.group() in "Oo" else "1")
     return out if out.text != text else None
 
