@@ -4,13 +4,16 @@ Benchmark items, cut into passages, form a TF-IDF matrix whose document frequenc
 all documents. A distributed randomised SVD of that matrix gives a latent space; the rows are benchmark
 passages because the leading directions of the corpus itself are spent on common words and would lose
 the rare terms that identify an item. Windows of every document (four runs of eight words, moved by
-one run) are projected into the space and compared with all passages by cosine. Candidates are settled
-on the words: the longest common subsequence of item and surrounding text, and whether the item's
+one run) are projected into the space and compared with all passages by cosine; the space has as many
+directions as its block has passages, so that no passage lies outside it. Windows that hold a run of
+`SEED` words of a passage are candidates whatever their cosine, as the words around a short copy can
+outweigh it. Candidates are settled on the words: the longest common subsequence of item and surrounding text, and whether the item's
 answer (its last sentence) is there, so that lightly paraphrased copies are found and chance
 similarity is not.
 
-The benchmark is a query set: it is taken in blocks of at most `ITEMS_PER_BLOCK` items, each searched
-against all documents; what is broadcast is bounded by the block.
+The benchmark is a query set: it is read in parts of at most `ITEMS_PER_BLOCK` items, cut into blocks of
+whole items with at most `PASSAGES_PER_BLOCK` passages (or one longer item), each searched against all
+documents; what is broadcast is bounded by the block.
 
 Defined cases: null or empty documents match nothing; items with fewer than `MIN_ITEM` words are not
 searched; equal rows get equal results; an empty benchmark or table gives no matches; other columns are
@@ -28,12 +31,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import blocks, tokens
+from .textarrays import blocks, combine, shingles, tokens
 
 ITEMS_PER_BLOCK = 4096
+PASSAGES_PER_BLOCK = 256
 RUN, RUNS = 8, 4
 PASSAGE, MIN_ITEM = 64, 8
-RANK, OVERSAMPLE = 192, 16
+SEED = MIN_ITEM
+OVERSAMPLE = 16
 COSINE = 0.4
 #: A copy has so much of the item in order, or a little less together with the item's answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.75, 0.55, 0.8
@@ -145,6 +150,8 @@ class Index:
     idf: np.ndarray  # with the weight of unknown words at the end
     latent: np.ndarray  # (terms + 1, k): idf times the term's latent direction, zero for unknown words
     passages: np.ndarray  # (passages, k), unit rows
+    seeds: np.ndarray  # sorted hashes of all runs of SEED words of passages
+    seed_passage: np.ndarray
 
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         found: list[list[dict]] = [[] for _ in texts]
@@ -177,11 +184,31 @@ class Index:
                 for i, p in zip(*np.nonzero(cosine >= COSINE)):
                     run = part[i]
                     found[first + doc[run]].append((int(self.owner[p]), int(at[run]), min(1.0, float(cosine[i, p])), word, bounds[doc[run]], bounds[doc[run] + 1]))
+            seeded = self._seeded(word, term, at)
+            for a in range(0, len(seeded[0]), 4096):
+                part, p = seeded[0][a : a + 4096], seeded[1][a : a + 4096]
+                cosine = np.einsum("ij,ij->i", total[part], self.passages[p]) / norm[part]
+                for i in np.flatnonzero(cosine < COSINE):  # the others are there already
+                    run = part[i]
+                    found[first + doc[run]].append((int(self.owner[p[i]]), int(at[run]), max(0.0, float(cosine[i])), word, bounds[doc[run]], bounds[doc[run] + 1]))
             for i in range(first, first + len(runs)):
                 if found[i]:
                     found[i] = self._settled(found[i])
         return found
 
+    def _seeded(self, word: np.ndarray, term: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of a block in which SEED words of a passage begin, and the passage; words of two texts are told apart later."""
+        known = np.cumsum(np.concatenate([[0], term < len(self.vocabulary)]))
+        begin = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED)
+        if not len(begin):
+            return begin, begin
+        key = combine([word[begin + j] for j in range(SEED)])
+        low, high = np.searchsorted(self.seeds, key), np.searchsorted(self.seeds, key, "right")
+        n = high - low
+        run = np.repeat(np.searchsorted(at, begin, "right") - 1, n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.divmod(np.unique(run * len(self.passages) + self.seed_passage[np.repeat(low, n) + nth]), len(self.passages))
+
     def _settled(self, candidates: list[tuple]) -> list[dict]:
         """The items that hold up on the words, each with its best cosine and overlap."""
         best: dict[int, dict] = {}
@@ -210,31 +237,51 @@ def _answer(text: str) -> np.ndarray:
     return words if len(words) >= 3 else _words(text)[-8:]
 
 
-def build_index(docs: DataFrame, rows: list[tuple[int, str]]) -> Index | None:
-    """The index of one block of items (item_id, text)."""
-    spark = docs.sparkSession
+def _passages(words: np.ndarray) -> list[np.ndarray]:
+    cuts = range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2) if len(words) > PASSAGE else [0]
+    return [words[a : a + PASSAGE] for a in cuts]
+
+
+def build_indexes(docs: DataFrame, rows: list[tuple[int, str]]) -> Iterator[Index]:
+    """The indexes of the blocks of items (item_id, text)."""
     kept = [(i, text, _words(text)) for i, text in rows if text]
     kept = [x for x in kept if len(x[2]) >= MIN_ITEM]
     if not kept:
-        return None
-    items = [w for _, _, w in kept]
-    vocabulary = np.unique(np.concatenate(items))
+        return
+    vocabulary = np.unique(np.concatenate([w for _, _, w in kept]))
     counts, n = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / np.maximum(counts, 1)) + 0.1
-    idf = np.append(idf, np.median(idf))
-    pieces, owner = [], []
-    for k, words in enumerate(items):
-        cuts = range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2) if len(words) > PASSAGE else [0]
-        for a in cuts:
-            at, tf = np.unique(_lookup(vocabulary, words[a : a + PASSAGE]), return_counts=True)
-            pieces.append((at.tolist(), (tf * idf[at]).tolist()))
-            owner.append(k)
-    passages = spark.createDataFrame(pieces, "at array<int>, weight array<double>")
-    directions = randomised_svd(passages, len(vocabulary), RANK)
+    block, size = [], 0
+    for row in kept:
+        passages = len(_passages(row[2]))
+        if block and size + passages > PASSAGES_PER_BLOCK:
+            yield _index(docs, block, vocabulary, idf)
+            block, size = [], 0
+        block.append(row)
+        size += passages
+    yield _index(docs, block, vocabulary, idf)
+
+
+def _index(docs: DataFrame, kept: list[tuple[int, str, np.ndarray]], all_words: np.ndarray, all_idf: np.ndarray) -> Index:
+    """The index of one block of items (item_id, text, words), with weights from those of all words."""
+    items = [w for _, _, w in kept]
+    vocabulary = np.unique(np.concatenate(items))
+    idf = np.append(all_idf[_lookup(all_words, vocabulary)], np.median(all_idf))
+    cut = [_passages(words) for words in items]
+    owner = np.repeat(np.arange(len(items)), [len(c) for c in cut])
+    pieces, seeds = [], []
+    for words in (p for c in cut for p in c):
+        at, tf = np.unique(_lookup(vocabulary, words), return_counts=True)
+        pieces.append((at.tolist(), (tf * idf[at]).tolist()))
+        seeds.append(np.unique(shingles(words, SEED)))
+    passages = docs.sparkSession.createDataFrame(pieces, "at array<int>, weight array<double>")
+    directions = randomised_svd(passages, len(vocabulary), len(pieces))
     latent = np.stack([np.asarray(w) @ directions[np.asarray(at)] for at, w in pieces])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     scaled = np.vstack([directions * idf[:-1, None], np.zeros((1, directions.shape[1]))])
-    return Index([i for i, _, _ in kept], items, [_answer(text) for _, text, _ in kept], np.array(owner), vocabulary, idf, scaled.astype(np.float32), latent.astype(np.float32))
+    seed, seed_passage = np.concatenate(seeds), np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+    order = np.argsort(seed, kind="stable")
+    return Index([i for i, _, _ in kept], items, [_answer(text) for _, text, _ in kept], owner, vocabulary, idf, scaled.astype(np.float32), latent.astype(np.float32), seed[order], seed_passage[order])
 
 
 def match_column(index: Index, text: Column) -> Column:
@@ -246,7 +293,7 @@ def match_column(index: Index, text: Column) -> Column:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; rows that repeat an item are taken once."""
+    """The items in parts of bounded size; rows that repeat an item are taken once."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     n = -(-items.count() // (ITEMS_PER_BLOCK // 2))
     for k in range(n):
@@ -258,7 +305,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer_found): one row for each document row and benchmark item found in it."""
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer_found boolean")
     for rows in item_blocks(benchmark):
-        if index := build_index(docs, rows):
+        for index in build_indexes(docs, rows):
             found = docs.select("doc_id", F.explode(match_column(index, F.col("text"))).alias("m")).select("doc_id", "m.*")
             out = out.unionByName(found)
     return out
@@ -268,6 +315,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, with their columns."""
     kept = docs
     for rows in item_blocks(benchmark):
-        if index := build_index(docs, rows):
+        for index in build_indexes(docs, rows):
             kept = kept.where(F.size(match_column(index, F.col("text"))) == 0)
     return kept

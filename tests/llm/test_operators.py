@@ -316,6 +316,19 @@ def test_benchmark_copies_are_found_and_clean_texts_left(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k in range(25)}
 
 
+def test_every_copy_of_a_large_benchmark_is_found(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(5))
+    items = {k: " ".join(word() for _ in range(40 if k < 300 else 12)) for k in range(400)}
+    common = " ".join(WORDS[:8])  # so short and frequent that the rarer words around it weigh most of the window
+    rows = [(k, prose(60, k) + " " + items[k] + " " + prose(60, 900 + k)) for k in items]
+    rows += [(1000 + k, common) for k in range(600)]
+    rows.append((2000, " ".join(word() for _ in range(60)) + " " + " ".join(items[k].split()[-1] for k in range(30)) + " " + common + " " + " ".join(items[k].split()[0] for k in range(30))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame([*items.items(), (900, common)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(k, k) for k in items] + [(1000 + k, 900) for k in range(600)] + [(2000, 900)]
+
+
 def test_longest_common_subsequence():
     r = random.Random(8)
     for _ in range(200):
