@@ -25,7 +25,7 @@ def milestone_dates(spark, d):
 
 @query()
 def ics_folded(spark, d):
-    return Tables(spark, d).documents.select("doc_id", H.fold_line(F.concat(F.lit("DESCRIPTION:"), F.regexp_replace(F.left("text", F.lit(400)), "\n", "\\\\n"))).alias("line"))
+    return Tables(spark, d).documents.select("doc_id", H.fold_line(F.concat(F.lit("DESCRIPTION:"), H.escape_ics(F.col("text")))).alias("line"))
 
 
 @query("select event_id, array_to_string(list_transform(range(0, least(8, event_id % 11 + 1)), lambda x: 'step' || x), ',') as trace from events")

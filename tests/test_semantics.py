@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from noticelake import catalog
 from noticelake.functions import text as X
 from noticelake.functions import timing as M
 from noticelake.functions import urls as U
@@ -179,3 +180,19 @@ def test_stored_tables_can_be_cleared(spark):
     assert os.path.isdir(path)
     workspace.clear(spark)
     assert not os.path.isdir(path)
+
+
+def test_calendar_text_is_escaped_and_folded_whole(spark, tmp_path):
+    texts = ["a\\b, c; d\r\ne\rf\n", "열린 공고, " * 2000 + "end", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for row in catalog.queries()["ics_folded"](spark, str(tmp_path)).collect():
+        text = texts[row["doc_id"]] or ""
+        for plain, escaped in (("\\", "\\\\"), ("\r\n", "\\n"), ("\n", "\\n"), (";", "\\;"), (",", "\\,"), ("\r", "")):
+            text = text.replace(plain, escaped)
+        lines, line = [], ""
+        for c in "DESCRIPTION:" + text:
+            if len((line + c).encode()) > 75:
+                lines.append(line)
+                line = " "
+            line += c
+        assert row["line"] == "\r\n".join([*lines, line])
