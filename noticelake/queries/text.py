@@ -40,8 +40,17 @@ def preferred_title(spark, d):
 
 @query("select doc_id, replace(regexp_replace(text, '[0-9]', '#', 'g'), '|', ' ') as text from (select doc_id, replace(text, chr(160), ' ') as text from documents) where doc_id % 2 = 0")
 def normalize_text(spark, d):
+    return _normalized(Tables(spark, d).documents.where("doc_id % 2 = 0"))
+
+
+@query("select doc_id, replace(regexp_replace(text, '[0-9]', '#', 'g'), '|', ' ') as text from (select doc_id, replace(text, chr(160), ' ') as text from documents)")
+def normalize_text_all(spark, d):
+    """normalize_text over every document."""
+    return _normalized(Tables(spark, d).documents)
+
+
+def _normalized(docs):
     spaced = F.regexp_replace("text", " ", "\u00a0")
-    docs = Tables(spark, d).documents.where("doc_id % 2 = 0")
     return docs.select("doc_id", F.replace(F.regexp_replace(X.normalize(spaced), "[0-9]", "#"), F.lit("|"), F.lit(" ")).alias("text"))
 
 

@@ -48,7 +48,18 @@ def topn_per_group(spark, d):
 @query("""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents where doc_id % 4 = 0)
  select doc_id, cast(n as int) as n, length(line) as chars, length(lead(line) over (partition by doc_id order by n)) as next_chars from l""")
 def lead_next_line(spark, d):
-    lines = Tables(spark, d).documents.where("doc_id % 4 = 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return _next_lines(Tables(spark, d).documents.where("doc_id % 4 = 0"))
+
+
+@query("""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents)
+ select doc_id, cast(n as int) as n, length(line) as chars, length(lead(line) over (partition by doc_id order by n)) as next_chars from l""")
+def lead_next_line_all(spark, d):
+    """lead_next_line over every document."""
+    return _next_lines(Tables(spark, d).documents)
+
+
+def _next_lines(docs):
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     after = F.length(F.lead("line").over(Window.partitionBy("doc_id").orderBy("at")))
     return lines.select("doc_id", (F.col("at") + 1).alias("n"), F.length("line").cast("long").alias("chars"), after.cast("long").alias("next_chars"))
 

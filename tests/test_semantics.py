@@ -196,3 +196,12 @@ def test_calendar_text_is_escaped_and_folded_whole(spark, tmp_path):
                 line = " "
             line += c
         assert row["line"] == "\r\n".join([*lines, line])
+
+
+def test_text_queries_read_every_document(spark, tmp_path):
+    texts = {k: f"{k} | x\nsecond line {k}" for k in range(8)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = catalog.queries()["lead_next_line_all"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in lines) == sorted((k, n, len(t.split("\n")[n - 1]), len(t.split("\n")[1]) if n == 1 else None) for k, t in texts.items() for n in (1, 2))
+    found = catalog.queries()["normalize_text_all"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in found) == list(texts)
