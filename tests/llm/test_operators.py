@@ -338,3 +338,45 @@ def test_longest_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert decontamination.longest_common_subsequence(np.array(a), np.array(b)) == table[-1][-1]
+
+
+def test_retrieval_equals_all_items_against_all_texts(spark):
+    """Every item against every text by longest common subsequence alone."""
+    r = random.Random(21)
+    items = {k: prose(r.randint(20, 60), 3000 + k) + ". " + prose(6, 4000 + k) + "." for k in range(30)} | {50: prose(170, 5000), 51: items_of_same_text(0), 52: items_of_same_text(0)}
+    rows = []
+    for k in range(120):
+        words = items[k % 30].replace("\n", " ").split()
+        share = r.choice([0.0, 0.1, 0.2, 0.3, 0.5, 0.7])
+        words = [w if r.random() >= share else r.choice(WORDS) for w in words]
+        if k % 7 == 0:
+            words = words[: len(words) // 3]
+        rows.append((k, prose(r.randint(0, 120), k) + " " + " ".join(words) + " " + prose(r.randint(0, 120), 600 + k)))
+    rows += [(200, prose(90, 1) + " " + " ".join(items[50].split()[60:130]) + " " + prose(90, 2)), (201, items_of_same_text(0)), (202, None), (203, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame([*items.items()], "item_id long, text string")).collect()
+    expected = set()
+    for i, text in rows:
+        words = decontamination._words(text or "")
+        for k, item in items.items():
+            answer = decontamination._answer(item)
+            for piece in decontamination._passages(decontamination._words(item)):
+                for at in range(0, max(1, len(words)), 8):
+                    stretch = words[max(0, at - len(piece)) : at + 32 + len(piece)]
+                    lcs = decontamination.longest_common_subsequence(piece, stretch) / len(piece)
+                    if lcs >= 0.75 or (lcs >= 0.55 and decontamination.longest_common_subsequence(answer, stretch) >= 0.8 * len(answer)):
+                        expected.add((i, k))
+    assert {(x["doc_id"], x["item_id"]) for x in found} == expected and len(found) == len(expected) > 60
+    assert {(200, 50), (201, 51), (201, 52)} <= expected
+
+
+def items_of_same_text(k):
+    return prose(40, 7000 + k)
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "Seven plain words are in this item"), (2, "two zzwords"), (3, "zzsolo"), (4, "?!"), (5, None)]
+    rows = [(1, prose(40, 1) + " seven plain, words are in this ITEM " + prose(9, 2)), (2, "seven plain words are not in this item"), (3, "a two zzwords zzsolo"), (4, "two"), (5, "zzwords two"), (6, None), (7, "seven plain words are"), (8, "in this item")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()} == {(1, 1), (3, 2), (3, 3)}
+    assert {r["doc_id"] for r in decontamination.decontaminated(docs, bench).collect()} == {2, 4, 5, 6, 7, 8}
