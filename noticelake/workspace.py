@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -9,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where none is configured (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where none is named, one is made for a session whose only machine is this one; a cluster must name it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        kept = spark.sparkContext.getCheckpointDir()
-        folder = kept or tempfile.mkdtemp(prefix="spark-noticelake-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-noticelake-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -41,3 +43,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def input_partitions(spark: SparkSession, df: DataFrame) -> int:
     """How many buckets a packed exchange should use: it follows both the session's setting and the scan."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the exchanges behind tables that have been written: its cleaner works when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
