@@ -232,7 +232,7 @@ def test_pivot_index_finds_the_links(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in (302, 303, 304, 305, 306))
 
 
-def test_katz_sums_to_one_and_counts_exactly(spark):
+def test_katz_counts_exactly(spark):
     texts = {i: prose(30, i % 9) for i in range(40)} | {50: "never seen words", 51: None}
     docs = spark.createDataFrame([(i, t, i % 5 != 1) for i, t in texts.items()], "doc_id long, text string, learn boolean")
     found = {r["doc_id"]: r for r in katz.score(docs).collect()}
@@ -242,18 +242,64 @@ def test_katz_sums_to_one_and_counts_exactly(spark):
     for i, t in tokens.items():
         assert found[i]["train_tokens"] == total and found[i]["n_tokens"] == len(t) and found[i]["n_known"] == sum(counts[w] > 0 for w in t)
         assert math.isclose(found[i]["base_score"], sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in t), abs_tol=1e-8)
-    training = docs.where("learn")
-    unigrams = katz.summarise(katz.unigram_table(training, 3))
-    table = katz.bigram_table(training, unigrams, 3)
-    model = katz.backoff(table, unigrams)
-    counted = {}
-    for row in table.collect():
-        pair = katz._pairs(row["keys"])
-        counted |= dict(zip(pair.tolist(), katz._counts(row["counts"], len(pair)).tolist()))
-    for context in (katz.END, katz.OTHER, 2, 3, 9):
-        pairs = np.array([context << 16 | n for n in range(2 + len(unigrams.words))], dtype=np.uint32)
-        p = 10 ** model.evaluate(pairs, np.array([counted.get(int(x), 0) for x in pairs]))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-9)
+
+
+def direct_katz(tokens, learn, order):
+    """P(word, context) by recursion over plain counts."""
+    counts = {n: collections.Counter() for n in range(1, order + 1)}
+    for i, t in tokens.items():
+        seq = ["<s>"] * (order - 1) + t
+        for k in range(order - 1, len(seq) if learn[i] else 0):
+            for n in counts:
+                counts[n][tuple(seq[k - n + 1 : k + 1])] += 1
+    total, distinct = sum(counts[1].values()), len(counts[1])
+    factor = {n: katz.good_turing(collections.Counter(c.values())) for n, c in counts.items()}
+    followers, of, known = collections.defaultdict(list), collections.Counter(), {}
+    for n in range(2, order + 1):
+        for gram, c in counts[n].items():
+            of[gram[:-1]] += c
+            if c >= katz.KEEP:
+                followers[gram[:-1]].append(gram)
+
+    def mass(gram):
+        return factor[len(gram)][min(counts[len(gram)][gram], katz.GOOD_TURING + 1)] * counts[len(gram)][gram]
+
+    def p(word, context):
+        if not context:
+            return (counts[1][(word,)] + 0.5) / (total + 0.5 * (distinct + 1))
+        if context not in known:
+            taken, whole = sum(map(mass, followers[context])), of[context]
+            if taken and taken >= whole * (1 - 1e-12):
+                whole = taken + 1
+            known[context] = (whole, (1 - taken / whole) / (1 - sum(p(g[-1], context[1:]) for g in followers[context]))) if taken else (1, 1.0)
+        whole, alpha = known[context]
+        gram = (*context, word)
+        return mass(gram) / whole if counts[len(gram)][gram] >= katz.KEEP else alpha * p(word, context[1:])
+
+    return p, counts[1]
+
+
+@pytest.mark.parametrize("order, hot", [(1, 20), (2, 20), (3, 20), (3, 1 << 17), (4, 20)])
+def test_katz_equals_the_recursion(spark, monkeypatch, order, hot):
+    monkeypatch.setattr(katz, "HOT", hot)  # 20: most n-grams are looked up in their buckets
+    r = random.Random(4)
+    texts = {i: " ".join(WORDS[int(40 * r.random() ** 2)] for _ in range(r.randint(0, 60))) for i in range(120)} | {500: "never Seen words", 501: None, 502: " ".join(WORDS[:3] * 20)}
+    tokens, learn = {i: (t or "").lower().split() + ["</s>"] for i, t in texts.items()}, {i: i % 5 != 1 for i in texts}
+    docs = spark.createDataFrame([(i, t, learn[i]) for i, t in texts.items()], "doc_id long, text string, learn boolean").repartition(3)
+    found = {x["doc_id"]: x for x in katz.score(docs, order).collect()}
+    p, words = direct_katz(tokens, learn, order)
+    for i, t in tokens.items():
+        seq = ["<s>"] * (order - 1) + t
+        assert math.isclose(found[i]["score"], sum(math.log10(p(seq[k], tuple(seq[k - order + 1 : k]))) for k in range(order - 1, len(seq))), abs_tol=1e-9)
+    if order > 1:
+        for context in (("<s>",) * (order - 1), tuple(WORDS[: order - 1]), (WORDS[0],) * (order - 1), ("unseen",) * (order - 1)):
+            assert math.isclose(sum(p(w, context) for (w,) in words) + p("unknown", context), 1, rel_tol=1e-9)
+
+
+def test_discounts_of_irregular_counts():
+    assert katz.good_turing({})[1:-1] == [r / (r + 1) for r in range(1, 6)]
+    for levels in ({1: 5, 2: 9}, {2: 4}, {r: 7 for r in range(1, 7)}, {1: 900, 2: 300, 3: 140, 4: 90, 5: 60, 6: 45}):
+        assert all(0 < x < 1 for x in katz.good_turing(levels)[1:-1])
 
 
 def direct_targets(sizes):
