@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that removes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where none is named, one is made for a session whose only machine is this one; a cluster must name it."""
@@ -33,19 +35,35 @@ def clear(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write a frame as Parquet in the shared folder and read it back: lineage ends here and survives lost executors.
+
+    The exchanges behind the table are removed as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `stored` has written and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        own = own_folder(spark).split(":", 1)[-1].lstrip("/")
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if own in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def input_partitions(spark: SparkSession, df: DataFrame) -> int:
     """How many buckets a packed exchange should use: it follows both the session's setting and the scan."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the exchanges behind tables that have been written: its cleaner works when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
