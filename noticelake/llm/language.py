@@ -5,12 +5,13 @@ the languages inside that family. Features are the frequencies of hashed byte n-
 bytes of the lower-cased letters, other characters as one blank), so a text's score is the mean of
 the weights of its n-grams: texts of any length are read whole, block by block. The machines are
 trained in numpy (squared hinge, accelerated gradient) on a bounded number of documents of each
-language.
+language, so that rare languages are learnt beside common ones.
 
 Defined cases: null texts and texts without letters get `und` and score 0; languages outside the
 fixed family table form a family of their own; with one learned language that language is predicted;
-with none every text is `und`; equal rows get equal results; other columns are carried, columns named
-`lang_pred` and `score` are replaced.
+with none every text is `und`; equal rows get equal results, and ties of votes go to the first language
+by name; other columns are carried whatever their names, but columns named `lang_pred` and `score` are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import Shield
 from .textarrays import blocks
 
-#: Bound of the documents that are collected for each language, and of all of them.
+#: Bounds of the documents that are collected for each language, and for all: with many languages each gets an equal part.
 MAX_PER_LANGUAGE, MAX_SAMPLE = 700, 14000
+PLACES = 1_000_003
 BUCKETS, ORDERS = 1 << 13, (1, 2, 3, 4)
 STEPS, RIDGE = 80, 1e-3
 UNKNOWN = "und"
@@ -178,17 +181,20 @@ def train(texts: list[str], langs: list[str]) -> Discriminator | None:
 
 
 def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most MAX_PER_LANGUAGE documents of each language, chosen by the hash of doc_id before any text is collected."""
-    known = docs.where("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)).alias("place"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE // 20).collect()}
-    cuts = {lang: min(1.0, 1.2 * MAX_PER_LANGUAGE / n) * 1_000_003 for lang, n in counts.items()}
-    if not cuts:
+    """At most MAX_PER_LANGUAGE documents of each language, chosen by the hash of doc_id before any text is collected.
+
+    The languages are counted first, one row each; a cut of the hash then leaves little more than what is
+    wanted of every language, so that no language, however common, is ranked whole.
+    """
+    known = docs.where("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
         return [], []
-    chosen = F.lit(False)
-    for lang, cut in cuts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("place") < cut))
-    rows = known.where(chosen).orderBy("place", "lang", F.xxhash64("text")).limit(MAX_SAMPLE).toPandas()
-    rows = rows.groupby("lang", sort=True).head(MAX_PER_LANGUAGE)
+    each = max(1, min(MAX_PER_LANGUAGE, MAX_SAMPLE // len(counts)))
+    cuts = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(PLACES * (each + 6 * each**0.5 + 20) / n))])
+    order = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"))
+    near = known.where(F.col("place") < F.element_at(cuts, F.col("lang"))).withColumn("nth", F.row_number().over(order))
+    rows = near.where(F.col("nth") <= each).select("lang", "nth", "text").toPandas().sort_values(["lang", "nth"])
     return rows["text"].tolist(), rows["lang"].tolist()
 
 
@@ -206,6 +212,6 @@ def predict_column(model: Discriminator | None, text: Column) -> Column:
 
 def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     """docs with lang_pred and score, learnt from training(doc_id, text, lang)."""
-    model = train(*sample(training))
-    out = docs.drop("lang_pred", "score").withColumn("found", predict_column(model, F.col("text")))
-    return out.select(*[c for c in out.columns if c != "found"], "found.lang_pred", "found.score")
+    model, shield = train(*sample(training)), Shield(docs)
+    found = shield.frame.withColumn("found", predict_column(model, shield["text"]))
+    return found.select(*shield.restored(["lang_pred", "score"]), "found.lang_pred", "found.score")
