@@ -15,8 +15,10 @@ sizes; a target stops at twice its source's size and the excess goes to the othe
 fixed point is min(2 * size, level * weight), found from one running sum over the sources.
 
 Defined cases: null or blank texts have size 0 and keep one copy; a source of size 0 has target 0;
-equal rows are interchangeable; an empty table gives an empty result; reruns agree because rates are
-rounded to millionths before copies are counted.
+equal rows are interchangeable; texts of any length count whole; ties of the hash of id and text are
+equal rows; other columns are carried whatever their names, but `mix` replaces those named like its
+results; an empty table gives an empty result; rates that do not settle raise; reruns agree because
+rates are rounded to millionths before copies are counted.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import stored
+from .columns import Shield
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 RATE_UNIT = 1_000_000
-MAX_STEPS, TOLERANCE = 40, 1e-10
+MAX_STEPS, TOLERANCE = 100, 1e-10
 _MASK63 = (1 << 63) - 1
-RESULTS = ["size", "source_size", "target", "copies", "taken", "mix_key", "slice", "source_key", "source_null", "rank_before", "each", "extra", "copy"]
+RESULTS = ["size", "source_size", "target", "copies", "taken"]
 
 
 def word_count(text: Column) -> Column:
@@ -92,6 +95,8 @@ def solve(cells: DataFrame) -> DataFrame:
         state = stored(moved.drop("taken", "slope", "newton"), "mix-state")
         if (state.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the rates of a source did not settle in {MAX_STEPS} steps")
     full = (F.col("target") >= CAP * F.col("source_size")) & (F.col("source_size") > 0)
     return state.select("source", "source_size", "target", "scale", F.when(full, F.lit(None)).otherwise(F.col("lam")).cast("double").alias("lam"))
 
@@ -113,10 +118,16 @@ def _diffused(rows: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, source, ...) with size, source_size, target, copies and taken = size * copies for every row."""
-    columns = [c for c in docs.columns if c not in RESULTS]
-    slices = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))), 1)
-    rows = docs.select(*columns, word_count(F.col("text")).alias("size"), key.alias("mix_key")).withColumn("slice", F.expr(f"mix_key div {_MASK63 // slices + 1}"))
+    shield = Shield(docs)
+    return _mixed(shield).select(*shield.restored(RESULTS), *RESULTS)
+
+
+def _mixed(shield: Shield) -> DataFrame:
+    """The shielded columns with those of RESULTS."""
+    columns = shield.carried()
+    slices = max(64, int(shield.frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.shiftrightunsigned(F.xxhash64(shield["doc_id"], F.coalesce(shield["text"], F.lit(""))), 1)
+    rows = shield.frame.select(*columns, shield["source"].alias("source"), word_count(shield["text"]).alias("size"), key.alias("mix_key")).withColumn("slice", F.expr(f"mix_key div {_MASK63 // slices + 1}"))
 
     sliced = stored(rows.groupBy("source", "size", "slice").agg(F.count("*").alias("docs")), "mix-cells")
     cells = stored(sliced.groupBy("source", "size").agg(F.sum("docs").alias("docs")), "mix-sums")
@@ -135,7 +146,7 @@ def mix(docs: DataFrame) -> DataFrame:
     # plain keys: one exchange of the texts serves the join and the ranking
     key = {"source_key": F.coalesce("source", F.lit("")), "source_null": F.col("source").isNull()}
     cell = ["source_key", "source_null", "size", "slice"]
-    joined = rows.withColumns(key).join(plan.withColumns(key).drop("source"), cell)
+    joined = rows.withColumns(key).drop("source").join(plan.withColumns(key).drop("source"), cell)
     place = F.row_number().over(Window.partitionBy(*cell).orderBy("mix_key")) + F.col("rank_before")
     out = joined.select(*columns, "size", "source_size", "target", (F.col("each") + F.when(place <= F.col("extra"), 1).otherwise(0)).cast("long").alias("copies"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
@@ -143,5 +154,6 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    kept = mix(docs).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return kept.select(*[c for c in docs.columns if c not in RESULTS])
+    shield = Shield(docs)
+    kept = _mixed(shield).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return kept.select(*shield.restored())

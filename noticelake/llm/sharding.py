@@ -9,8 +9,9 @@ from an equal split by at most one row at either end.
 Texts never move in the plan: `shard_plan` works on ids and sizes, `assign_shards` joins them back.
 
 Defined cases: a null text has size 1 and checksum 0; a null doc_id sorts first; equal rows are
-numbered and keep one place each; an empty table gives an empty result; other columns are carried,
-and columns named like the results are replaced.
+numbered and keep one place each; a text longer than a shard's part has a shard's place to itself; an
+empty table gives an empty result; other columns are carried whatever their names, but columns named
+like the results are replaced.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import stored
+from .columns import Shield
 
 RESULTS = ["size", "text_crc32", "shard", "slot"]
 _KEY = ["id_key", "id_null", "text_crc32", "size", "copy"]
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.drop(*RESULTS, "copy").withColumns({
-        "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
-        "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")),
-    })
+def _sized(docs: Shield) -> DataFrame:
+    text = docs["text"].cast("string")
+    return docs.frame.select(
+        *docs.carried(), docs["doc_id"].alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    )
 
 
 def _placed(rows: DataFrame, n_shards: int) -> DataFrame:
@@ -67,17 +70,20 @@ def _slotted(placed: DataFrame) -> DataFrame:
 
 def shard_plan(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row of docs(doc_id, text)."""
-    rows = _sized(docs).select("doc_id", "text_crc32", "size")
+    rows = _sized(Shield(docs)).select("doc_id", "text_crc32", "size")
     return _slotted(_placed(rows, n_shards)).select("doc_id", *RESULTS)
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """docs with size, text_crc32, shard and slot added; each row of docs comes back once."""
-    columns = [c for c in docs.columns if c not in [*RESULTS, "copy", *_KEY]]
+    """docs with size, text_crc32, shard and slot added; each row of docs comes back once.
+
+    Rows of one id and text are numbered on both sides and meet by number.
+    """
+    shield = Shield(docs)
     key = {"id_key": F.coalesce("doc_id", F.lit(0)), "id_null": F.col("doc_id").isNull()}  # plain keys: one exchange serves the numbering and the join
     same = Window.partitionBy("id_key", "id_null", "text_crc32", "size")
-    others = F.xxhash64(F.lit(0), *[c for c in columns if c not in ("doc_id", "text")])
-    rows = _sized(docs.select(*columns)).withColumns(key).withColumn("copy", F.row_number().over(same.orderBy(others)))
-    plan = _slotted(_placed(_sized(docs).select("doc_id", "text_crc32", "size"), n_shards))
+    others = F.xxhash64(F.lit(0), *[f"_{i}" for i, name in enumerate(shield.names) if name not in ("doc_id", "text")])
+    rows = _sized(shield).withColumns(key).withColumn("copy", F.row_number().over(same.orderBy(others))).drop("doc_id")
+    plan = _slotted(_placed(_sized(shield).select("doc_id", "text_crc32", "size"), n_shards))
     plan = plan.withColumns(key).withColumn("copy", F.row_number().over(same.orderBy("shard", "slot"))).drop("doc_id")
-    return rows.join(plan, _KEY).select(*columns, *RESULTS)
+    return rows.join(plan, _KEY).select(*shield.restored(RESULTS), *RESULTS)
