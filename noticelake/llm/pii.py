@@ -18,6 +18,7 @@ long texts and runs are safe; equal rows get equal results; other columns are ca
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -184,14 +185,14 @@ def _spoken_digits(match: re.Match) -> str:
 
 _DOTS = frozenset(_DOT_WORDS.split("|"))
 _DIGITS = frozenset(_DIGIT_OF)
-_SEPARATED = str.maketrans(",-_", "   ")
+_SEPARATED = str.maketrans(dict.fromkeys(string.punctuation, " "))
 
 
 def _traces(text: str) -> tuple[bool, bool]:
-    """Whether words may stand for dots, and whether at least four spoken digits and signs follow each other."""
-    words = text.lower().translate(_SEPARATED).split() if text.isascii() else text.lower().replace(",", " ").replace("-", " ").replace("_", " ").split()
+    """Whether words may stand for dots, and whether four digit words, signs and figures, one a digit word, may follow each other."""
+    words = text.lower().translate(_SEPARATED).split()
     distinct = set(words)
-    spoken = not distinct.isdisjoint(_DIGITS) and "1111" in "".join(["1" if w in _DIGITS or w in _SPOKEN_SIGN else "0" for w in words])
+    spoken = not distinct.isdisjoint(_DIGITS) and "1111" in "".join(["1" if w in _DIGITS or w in _SPOKEN_SIGN or w.isdecimal() else "0" for w in words])
     return not distinct.isdisjoint(_DOTS), spoken
 
 
@@ -202,7 +203,8 @@ def deobfuscated(text: str) -> Aligned | None:
     at_sign = "@" in text and _SPACED_AT.search(text)
     bracketed = ("(" in text or "[" in text or "{" in text or "<" in text) and _BRACKETED.search(text)
     spaced = " @ " in text and _SPACED_DOT.search(text)
-    named = any(end in text for end in _HOST_ENDS) and _NAMED_AT.search(text)
+    low = text.lower()
+    named = any(end in low for end in _HOST_ENDS) and _NAMED_AT.search(text)
     if not (alike or dots or spoken or at_sign or bracketed or spaced or named or _LETTER_AMONG.search(text) or _GROUPED.search(text)):
         return None
     out = Aligned(text)
