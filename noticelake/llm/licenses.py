@@ -3,12 +3,17 @@
 A text is made canonical line by line: lower case, equivalent spellings unified, punctuation and
 runs of blanks reduced to single spaces, copyright lines dropped. The canonical lines joined by
 spaces are the canonical text. Its SHA-256 is hash-joined to the digests of known licences, whole
-text to whole text; the same canonical form of each single line is joined to the digests of known
-one-line notices, so that a licence stated inside a longer document is found too.
+text to whole text; the same canonical form of each single line is looked up among the digests of
+known one-line notices, so that a licence stated inside a longer document is found too.
 
-Defined cases: a null text counts as empty; a text without words has no licence; equal rows each get
-a result; an empty table gives an empty result; other columns are carried unless they carry a name of
-the results.
+Known are the licences of `TEXTS`, given in full, and those of `DIGESTS`, whose texts are long: there
+the digest of the canonical text stands alone.
+
+Defined cases: a null text counts as empty; a text without words has no licence; texts of any length
+are read whole; equal rows each get a result; where known texts of several identifiers have one
+canonical form, the first identifier in order is given for a whole text and all of them for a notice; a
+line that begins like a copyright line but speaks of a licence is kept; an empty table gives an empty
+result; other columns are carried whatever their names, but those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import Shield
+
 RESULTS = ["text_digest", "license_id", "n_notices", "notice_ids"]
 
 #: Equivalent spellings (pattern, replacement), applied in this order to lower-case text.
@@ -31,8 +38,8 @@ SPELLINGS = [
     (r"&", " and "),
 ]
 LINE_BREAK = r"\r\n|\n|\r"
-#: Fixed pattern: a line that only states a copyright.
-COPYRIGHT_LINE = r"^\W*(copyright\b|©|\(c\)|all rights reserved)"
+#: Fixed patterns: a line that states a copyright, and what it must not hold as well.
+COPYRIGHT_LINE, BUT = r"^\W*(copyright\b|©|\(c\)|all rights reserved)", r"licen[cs]e"
 
 _MIT = """MIT License
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -52,6 +59,16 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
 #: Whole licence texts (identifier, text); a licence may have several customary forms.
 TEXTS = [
     ("MIT", _MIT),
@@ -64,6 +81,41 @@ TEXTS = [
     ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_END),
     ("Zlib", _ZLIB),
     ("Zlib", "zlib License\n" + _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + "For more information, please refer to <https://unlicense.org/>"),
+    ("Unlicense", _UNLICENSE + "For more information, please refer to <https://unlicense.org>"),
+    ("BSL-1.0", _BOOST),
+]
+#: SHA-256 of the canonical form of whole licence texts (identifier, digest).
+DIGESTS = [
+    ("Apache-2.0", "0bb2c94b13709fa3badfb2731e8bdf97dc1ad7596211dbb88152c1a15897514c"),
+    ("Apache-2.0", "71b63e66e6cdc58d66f92bd290290b7ea6113f85d402668f05ac0981c83a5e2c"),
+    ("Apache-2.0", "b4c380f102a7232eca525c5b67c130151d1254e24ca36510dcc7239a74e2db02"),
+    ("Apache-2.0", "d406b9dca1bb777d5514cb7be970bd2ca2722a4012833e1c92468f9046c52e52"),
+    ("Artistic-1.0-Perl", "f7fec2048e2502b8b653a12ac095bcb0601f72bbd1d535b2e8adf8e097d2f915"),
+    ("CC-BY-SA-4.0", "316c9b85113f0da16dc97420f9539e03e5876b3b29520764e89a7cd5615ac39d"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "7b074e457ef0b11306dec1bcf36f4ac56eebd0b9f82d7f4a9966c3bc04f9c215"),
+    ("GFDL-1.3", "5bfc499a5f31dd5f90359dde5ac90fc02a48b26d8134de6818ddfe52c85503cd"),
+    ("GPL-1.0", "a67757f1e2089c64e293ce491ebb983c17a3511ddffe5a2efb7a18af75fef8de"),
+    ("GPL-2.0", "1f94b4058d12b9876f8c0d108a8d51e684c847d2f698083fcfbdc3213b3576fc"),
+    ("GPL-2.0", "26e028fa946ecc516f17e45cf31a1e9468f946bc11fc8f6e7bd1573063c2062e"),
+    ("GPL-2.0", "3247f3dce158058b61d49e4df9ac78f5ae6f14bd13df0fdde60596ce89438dcb"),
+    ("GPL-2.0", "461f9d33bdb69a6a7bc8231b91122975b70b5558d19eafbab46cdc88524b93f1"),
+    ("GPL-3.0", "2ca41f63b0c2a42369c4331080ac1e28755aec5e1aaa7ef39dbd7d32cb5ac342"),
+    ("GPL-3.0", "3cf97c7ec28e141095a62ce8f1b3a5d67e14e19dd45651b8538761f7b5fd1762"),
+    ("GPL-3.0", "6397fb46f33510edf537ff4d7e1a29a0d2b16dca5661683476a28e7b5e0e216d"),
+    ("GPL-3.0", "d68936232844bfc08cb0cbb8739e2beb1ef56035678cf191675cd4c8ffa4e09a"),
+    ("LGPL-2.0", "74f898e1d636591369e18c95d8a7dba69d056c74a8245c4feb1f50267b754dbb"),
+    ("LGPL-2.0", "faa7d57fd020d689336e10f9b83b2c8fc95b2d788ae885ac8d91eb0dcf8e8e90"),
+    ("LGPL-2.1", "29d0fbf6321f205444c4ac912f7ab14335973d3ccec82a59c0e545f1a79bde9c"),
+    ("LGPL-2.1", "abf553ff7aa06b6be33fd6773eeca10251dddb65fc03a4cda1ad0ec44186953b"),
+    ("LGPL-3.0", "297070d60ea6411d4a894602e68d90071b22d5d24b039421e865ee2caeaa5077"),
+    ("MPL-1.1", "e6553678818331ca9684fab59856044718733864a8bb1ef79795afee85d157bc"),
+    ("MPL-2.0", "5178a054001b0b950ae70a1d905a8af9b9a9df7f9e6c3e8310bdac9a5ca86f17"),
+    ("NCSA", "bb6c44416437f5ab412ca9d762d4bdae1dc4e6a9c5afc9ac0965eb5e57b4e055"),
+    ("OFL-1.1", "fbe659eae28091df95de005129bd83b4f2d193497bd82b12054590eb4685e866"),
+    ("Unicode-3.0", "709193255cb8fb784e604deba2bc28a3961d1294a6a8b4cd632fbda6602e169a"),
 ]
 #: One-line notices (identifier, line).
 NOTICES = [
@@ -89,29 +141,39 @@ def canonical_line(line: Column) -> Column:
     for pattern, plain in SPELLINGS:
         form = F.regexp_replace(form, pattern, plain)
     form = F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
-    return F.when(~low.rlike(COPYRIGHT_LINE) & (form != ""), form)
+    return F.when((~low.rlike(COPYRIGHT_LINE) | low.rlike(BUT)) & (form != ""), form)
 
 
-def _canonical_lines(text: Column) -> Column:
+def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_BREAK), canonical_line), lambda x: x.isNotNull())
 
 
-def known_digests(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    """(license_id, digest) of the given texts, made canonical by the same expressions."""
-    known = spark.createDataFrame(rows, "license_id string, text string")
-    return known.select("license_id", F.sha2(F.array_join(_canonical_lines(F.col("text")), " "), 256).alias("digest")).distinct()
+def text_digest(lines: Column) -> Column:
+    """The digest of a text from its canonical lines; null for a text without words."""
+    return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
+
+
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]], digests: list[tuple[str, str]] = ()) -> DataFrame:
+    """(license_id, digest) of the given texts, made canonical by the same expressions, and of the given digests."""
+    known = spark.createDataFrame(texts, "license_id string, text string").select("license_id", text_digest(canonical_lines(F.col("text"))).alias("digest"))
+    return known.unionByName(spark.createDataFrame(list(digests), "license_id string, digest string")).where("digest is not null").distinct()
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
     """docs with text_digest, license_id (of the whole text), n_notices and notice_ids (of single lines, sorted, comma-joined)."""
-    spark = docs.sparkSession
-    columns = [c for c in docs.columns if c not in RESULTS and c != "canonical"]
-    base = docs.select(*columns, _canonical_lines(F.col("text").cast("string")).alias("canonical"))
-    digest = F.when(F.size("canonical") > 0, F.sha2(F.array_join("canonical", " "), 256))
-    whole = known_digests(spark, texts).withColumnRenamed("digest", "known_digest")
-    # both digest tables are constants of this module: a few dozen short rows
-    found = base.withColumn("text_digest", digest).join(F.broadcast(whole), F.col("text_digest") == F.col("known_digest"), "left")
-    lines = known_digests(spark, notices).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("known_lines"))
-    ids = F.filter(F.transform("canonical", lambda x: F.element_at("known_lines", F.sha2(x, 256))), lambda x: x.isNotNull())
-    marked = found.join(F.broadcast(lines)).withColumn("ids", ids)  # one row: the notices as a map
-    return marked.select(*columns, "text_digest", "license_id", F.size("ids").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("ids")), ",").alias("notice_ids"))
+    spark, shield = docs.sparkSession, Shield(docs)
+    lines = shield.frame.withColumn("lines", canonical_lines(shield["text"].cast("string"))).withColumn("text_digest", text_digest(F.col("lines")))
+    whole = known_digests(spark, texts, digests).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    # the digests of known texts are constants of the caller: a few dozen short rows
+    found = lines.join(F.broadcast(whole.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
+    stated = known_digests(spark, notices).groupBy("digest").agg(F.array_sort(F.collect_set("license_id")).alias("ids")).collect()  # one row a notice
+    if stated:
+        by_digest = F.create_map(*[x for r in stated for x in (F.lit(r["digest"]), F.array(*[F.lit(i) for i in r["ids"]]))])
+        hits = F.filter(F.transform("lines", lambda x: F.element_at(by_digest, F.sha2(x, 256))), lambda x: x.isNotNull())
+    else:
+        hits = F.array().cast("array<array<string>>")
+    marked = found.withColumn("hits", hits)
+    return marked.select(
+        *shield.restored(RESULTS), "text_digest", "license_id", F.size("hits").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten("hits"))), ",").alias("notice_ids"),
+    )

@@ -97,16 +97,17 @@ def _licence_sql() -> str:
     for pattern, plain in licenses.SPELLINGS:
         form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(plain.replace('$', chr(92)))}, 'g')"
     form = f"trim(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    line = f"case when not regexp_matches(lower(x), {quoted(licenses.COPYRIGHT_LINE)}) then nullif({form}, '') end"
+    line = f"case when not regexp_matches(lower(x), {quoted(licenses.COPYRIGHT_LINE)}) or regexp_matches(lower(x), {quoted(licenses.BUT)}) then nullif({form}, '') end"
     lines = f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), {quoted(licenses.LINE_BREAK)}), lambda x: {line}), lambda x: x is not null)"
     values = lambda rows: ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in rows)
-    return f"""with known as (select distinct id, sha256(array_to_string({lines}, ' ')) as digest from (values {values(licenses.TEXTS)}) k(id, text)),
+    return f"""with digests as (select id, sha256(array_to_string({lines}, ' ')) as digest from (values {values(licenses.TEXTS)}) k(id, text) union select * from (values {values(licenses.DIGESTS)}) k(id, digest)),
+ known as (select digest, min(id) as id from digests group by 1),
  notice as (select distinct id, sha256(array_to_string({lines}, ' ')) as digest from (values {values(licenses.NOTICES)}) k(id, text)),
- base as (select doc_id, {lines} as canonical from documents),
- hits as (select doc_id, id from (select doc_id, unnest(canonical) as l from base) join notice on sha256(l) = digest),
- per as (select doc_id, count(*) as n, string_agg(distinct id, ',' order by id) as ids from hits group by 1)
+ base as (select row_number() over () as row, doc_id, {lines} as canonical from documents),
+ hits as (select row, nth, id from (select row, unnest(canonical) as l, generate_subscripts(canonical, 1) as nth from base) join notice on sha256(l) = digest),
+ per as (select row, count(distinct nth) as n, string_agg(distinct id, ',' order by id) as ids from hits group by 1)
  select b.doc_id, case when len(canonical) > 0 then sha256(array_to_string(canonical, ' ')) end as text_digest, id as license_id, coalesce(n, 0) as n_notices, coalesce(ids, '') as notice_ids
- from base b left join known on len(canonical) > 0 and sha256(array_to_string(canonical, ' ')) = digest left join per on b.doc_id = per.doc_id"""
+ from base b left join known on len(canonical) > 0 and sha256(array_to_string(canonical, ' ')) = digest left join per on b.row = per.row"""
 
 
 #: All pairs of a label by exact cosine; components by the smallest vector that links reach.
