@@ -2,20 +2,23 @@
 
 A text is the weighted set of its five-word shingles (lower-cased letter and digit runs): weight =
 (1 + ln tf) * (1 + IDF_SHARE * mean idf of the shingle's words), the idf scaled to 0..1 from document
-counts of all texts kept in a hashed table of fixed size. The share is small, because edited words are
-rare: a larger one would put copies below the threshold that share 80 % of their shingles. Consistent weighted samples of the set are banded;
-texts that share a band are candidates, and a candidate pair is a link if its weighted Jaccard
+counts of all texts kept in a hashed table of fixed size. Consistent weighted samples of the set are
+banded; texts that share a band are candidates, and a candidate pair is a link if its weighted Jaccard
 similarity, computed from the whole texts, is at least `SIMILARITY`. Classes are the connected
 components of the links; equal texts are collapsed before, so copies never meet in pairs.
 
-Large buckets of a band are cut into blocks and compared block by block, so a bucket is never one task,
-and tasks return a forest that spans the links they found, never pairs of a whole bucket. No link that
-the bands can see is lost.
+Buckets of a band that are larger than a block are compared in two rounds. The first looks inside each
+block, to which the `LEADERS` first texts of the bucket are added, so every text moves once; in a group
+of copies that joins nearly all. The second compares blocks with each other where their texts are not
+yet in one component, and there only pairs of different components. No link that the bands can see and
+that would join two components is lost; pairs never become rows, and a bucket is never one task.
 
 Defined cases: texts without words (null, empty, punctuation) link with nothing; a text of fewer than
-five words is one shingle; equal texts are one class; rows that share a doc_id count as one document;
-a null doc_id is never linked and always kept; an empty table gives an empty result; other columns are
-carried where whole documents are returned.
+five words is one shingle; texts of any length are compared whole; equal texts are one class; a document
+is a pair of doc_id and text, so rows that repeat both count once and rows that share a doc_id alone are
+told apart; of a class the document with the smallest doc_id stays; a null doc_id is never linked and
+always kept; an empty table gives an empty result; other columns are carried where whole documents are
+returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .textarrays import blocks, mix64, shingles, tokens
 from ..workspace import stored
+from .columns import Shield
+from .textarrays import blocks, mix64, shingles, tokens
 
 WIDTH, SIMILARITY = 5, 0.8
-IDF_SHARE = 0.25
+IDF_SHARE = 2.0
 BANDS, SAMPLES_PER_BAND = 12, 3
 IDF_BUCKETS, SLICES = 1 << 18, 16
-#: Texts in a block of a bucket.
-BLOCK_TEXTS = 128
+#: Texts in a block of a bucket, and texts of the bucket that every block sees.
+BLOCK_TEXTS, LEADERS = 128, 4
 BLOCK = 1 << 18
 
 
@@ -146,29 +150,27 @@ def band_keys(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(doc_id, digest, mass, bands) of every row; bands is null for texts without words."""
+    """(doc_id, digest, bands) of every row; bands is null for texts without words."""
 
-    @F.pandas_udf("mass float, bands array<long>")
-    def sampled(texts: pd.Series) -> pd.DataFrame:
-        mass, bands = np.zeros(len(texts), dtype=np.float32), [None] * len(texts)
+    @F.pandas_udf("array<long>")
+    def sampled(texts: pd.Series) -> pd.Series:
+        bands = [None] * len(texts)
         for first, sets in weights.sets(texts.tolist()):
             filled = [i for i, (keys, _) in enumerate(sets) if len(keys)]
             if filled:
                 for i, row in zip(filled, band_keys([sets[i] for i in filled]).view(np.int64)):
-                    mass[first + i] = sets[i][1].sum(dtype=np.float64)
                     bands[first + i] = row
-        return pd.DataFrame({"mass": mass, "bands": bands})
+        return pd.Series(bands)
 
-    found = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), sampled(F.col("text")).alias("found"))
-    return found.select("doc_id", "digest", "found.mass", "found.bands")
+    return docs.select("doc_id", _digest(F.col("text")).alias("digest"), sampled(F.col("text")).alias("bands"))
 
 
-def _forest(ids: list[int], sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links between rows of `left` and `right` that span what all their links connect.
+def _forest(nodes: list[int], groups: list[int], sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between rows of `left` and of `right` that join what is in different groups and linked.
 
     The dot product of the square roots of the weights is at least the sum of the minima, so pairs whose
     similarity under that bound is below SIMILARITY are no links; the others are verified exactly unless
-    they are connected already.
+    they are joined already.
     """
     mass = np.array([w.sum(dtype=np.float64) for _, w in sets])
     sizes = np.array([len(k) for k, _ in sets])
@@ -189,7 +191,9 @@ def _forest(ids: list[int], sets: list[tuple[np.ndarray, np.ndarray]], left: np.
         both += dense @ dense.T
     both *= 1 + 1e-5  # rounding must not lose a pair
     near = both >= SIMILARITY * (mass[:, None] + mass[None, :] - both)
-    parent = list(range(len(sets)))
+    group = np.array(groups)
+    near &= (left[:, None] & right[None, :]) & (group[:, None] != group[None, :])
+    parent = {g: g for g in groups}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -197,76 +201,119 @@ def _forest(ids: list[int], sets: list[tuple[np.ndarray, np.ndarray]], left: np.
             x = parent[x]
         return x
 
-    for i, j in zip(*np.nonzero(near & left[:, None] & right[None, :])):
-        if i != j and root(i) != root(j) and weighted_jaccard(sets[i], sets[j]) >= SIMILARITY:
-            parent[root(i)] = root(j)
-            yield ids[i], ids[j]
+    for i, j in zip(*np.nonzero(near)):
+        if root(groups[i]) != root(groups[j]) and weighted_jaccard(sets[i], sets[j]) >= SIMILARITY:
+            parent[root(groups[i])] = root(groups[j])
+            yield nodes[i], nodes[j]
 
 
 def _compare(weights: Weights):
-    """Groups of rows (task, low, high, block, rep, text), one after the other: the links found in each."""
+    """Tasks, rows (task, low, high, block, node, grp, text) of which follow each other: the links found in each."""
 
-    def linked(group: list[tuple]) -> list[tuple[int, int]]:
-        rows = {r[4]: r for r in group if r[5] is not None}  # a doc_id that repeats is compared once
-        if len(rows) < 2:
+    def linked(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows = list({(r[4], r[3]): r for r in rows}.values())  # rows that repeat a document have its text
+        if len({r[5] for r in rows}) < 2:
             return []
-        rows = list(rows.values())
-        sets = [s for _, found in weights.sets([r[5] for r in rows]) for s in found]
-        block = np.array([r[3] for r in rows])
-        return list(_forest([r[4] for r in rows], sets, block == rows[0][1], block == rows[0][2]))
+        sets = [s for _, found in weights.sets([r[6] for r in rows]) for s in found]
+        block, low, high = np.array([r[3] for r in rows]), rows[0][1], rows[0][2]
+        return list(_forest([r[4] for r in rows], [r[5] for r in rows], sets, block == low, (block == high) | (block < 0) if low == high else block == high))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: list[tuple] = []
+        task: list[tuple] = []
         for batch in batches:
             found: list[tuple[int, int]] = []
             for row in batch.itertuples(index=False, name=None):
-                if group and row[:3] != group[0][:3]:
-                    found += linked(group)
-                    group = []
-                group.append(row)
+                if task and row[:3] != task[0][:3]:
+                    found += linked(task)
+                    task = []
+                task.append(row)
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-        yield pd.DataFrame(linked(group) if group else [], columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(linked(task) if task else [], columns=["a", "b"], dtype=np.int64)
 
     return compare
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _run(tasks: DataFrame, docs: DataFrame, classes: DataFrame, weights: Weights, label: str) -> DataFrame:
+    """The links (a, b) of tasks(task, low, high, block, node, grp); texts come from the document that stands for a class."""
+    named = tasks.join(classes.select("node", F.col("rep").alias("doc_id"), "digest"), "node")
+    texts = docs.where("text is not null").select("doc_id", "text", _digest(F.col("text")).alias("digest"))
+    key = ["task", "low", "high"]
+    rows = named.join(texts, ["doc_id", "digest"]).select(*key, "block", "node", "grp", "text")
+    return stored(rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_compare(weights), "a long, b long"), label)
+
+
 def links(docs: DataFrame, classes: DataFrame, weights: Weights) -> DataFrame:
-    """Verified links that connect the classes; classes(rep, bands) has one row for each distinct text.
+    """Verified links (a, b) that connect the classes; classes(node, rep, digest, bands) has one row for each distinct text.
 
-    A bucket is compared in one task, or in one task for each pair of its blocks where it is large.
-    Buckets of several bands that hold the same texts are compared once. Texts move to their tasks;
-    pairs never become rows.
+    Buckets of several bands that hold the same texts are compared once.
     """
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    mark = F.xxhash64("rep")
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("members > 1")
-    distinct = buckets.groupBy("members", "x", "y").agg(F.min(F.struct("band", "key")).alias("of")).select("of.band", "of.key", "x", "members")
-    blocks_of = distinct.withColumn("blocks", F.ceil(F.col("members") / BLOCK_TEXTS).cast("int"))
-    placed = banded.join(blocks_of, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("x", "band", "key").alias("task"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep"
+    banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("members > 1")
+    distinct = buckets.groupBy("members", "x", "y").agg(F.min(F.struct("band", "key")).alias("of")).select("of.band", "of.key", F.xxhash64("x", "of").alias("task"), F.ceil(F.col("members") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    placed = stored(banded.join(distinct, ["band", "key"]).select("task", "blocks", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int").alias("block"), "node"), "dup-buckets")
+    large = placed.where("blocks > 1")
+    # the leaders of a bucket have the smallest hashes; a cut leaves few rows of it to rank
+    wanted = F.lit(4_294_967_296.0) * (LEADERS + 30) / (F.col("blocks") * BLOCK_TEXTS)
+    hashed = large.withColumn("place", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(4_294_967_296))).where(F.col("place") < wanted)
+    ranked = hashed.withColumn("nth", F.row_number().over(Window.partitionBy("task").orderBy("place", "node"))).where(F.col("nth") <= LEADERS)
+    leaders = ranked.select("task", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(-1).alias("block"), "node")
+    inside = placed.select("task", F.col("block").alias("low"), "block", "node").unionByName(leaders)
+    first = _run(inside.select("task", "low", F.col("low").alias("high"), "block", "node", F.col("node").alias("grp")), docs, classes, weights, "dup-links")
+    joined = large.join(components(first), "node", "left").select("task", "blocks", "block", "node", F.coalesce("component", "node").alias("grp"))
+    joined = stored(joined, "dup-joined")
+    # a block that is whole in one component meets only blocks that are not whole in the same
+    shape = joined.groupBy("task", "block").agg(F.min("grp").alias("low_grp"), F.max("grp").alias("high_grp"))
+    whole = F.when(F.col("low_grp") == F.col("high_grp"), F.col("low_grp"))
+    shape = shape.select("task", "block", whole.alias("whole"))
+    main = shape.where("whole is not null").groupBy("task", "whole").count().groupBy("task").agg(F.max_by("whole", F.struct("count", "whole")).alias("main"))
+    odd = shape.join(main, "task", "left").select("task", "block", (~F.coalesce(F.col("whole") == F.col("main"), F.lit(False))).alias("odd"))
+    members = joined.join(odd, ["task", "block"])
+    partners = odd.where("odd").select("task", F.col("block").alias("other"), F.lit(True).alias("other_odd"))
+    partners = odd.where("odd").select("task", F.col("block").alias("other"))
+    crossed = members.where("not odd").join(partners, "task").select("task", "block", "other", "node", "grp").unionByName(
+        members.where("odd").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block").select("task", "block", "other", "node", "grp")
     )
-    with_text = tasks.join(docs.where("text is not null").select(F.col("doc_id").alias("rep"), "text"), "rep").select("task", "low", "high", "block", "rep", "text")
-    key = ["task", "low", "high"]
-    return stored(with_text.repartition(*key).sortWithinPartitions(*key).mapInPandas(_compare(weights), "a long, b long"), "dup-links")
+    second = _run(crossed.select("task", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "grp"), docs, classes, weights, "dup-crossed")
+    return first.unionByName(second)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, kept) for every row: class_id is the smallest doc_id of the class."""
+def _decisions(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, class_id) for every row; digest is null for rows that link with nothing."""
     weights = Weights.of(docs)
     signed = stored(signatures(docs, weights), "dup-signatures")
     worded = signed.where("bands is not null and doc_id is not null")
-    classes = stored(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("mass").alias("mass"), F.first("bands").alias("bands")), "dup-classes")
+    grouped = worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "dup-classes")
     found = components(links(docs, classes, weights))
-    ids = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    out = signed.select("doc_id", F.when(F.col("bands").isNotNull() & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(ids, "digest", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    placed = classes.select("digest", "rep", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("class_id"))
+    ids = placed.join(least, "component").select("digest", "class_id")
+    rows = signed.select("doc_id", F.when(F.col("bands").isNotNull() & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return rows.join(ids, "digest", "left").select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, kept) for every row: class_id is the smallest doc_id of the class; every row of that doc_id in the class is marked as kept."""
+    found = _decisions(docs.select("doc_id", "text"))
+    return found.select("doc_id", "class_id", (F.col("digest").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of docs."""
-    found = stored(near_duplicates(docs.select("doc_id", "text")), "dup-decisions")
-    kept = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    found = stored(_decisions(docs.select("doc_id", "text")).where("digest is not null"), "dup-decisions")
+    documents = found.groupBy("class_id", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    chosen = documents.groupBy("class_id").agg(F.min(F.struct("doc_id", "digest", "copies")).alias("of")).select("of.*")
+    shield = Shield(docs)
+    rows = shield.frame.select("*", shield["doc_id"].alias("doc_id"), _digest(shield["text"]).alias("digest"))
+    # what a class loses is narrow: one row a document, not one a text
+    lost = documents.join(chosen.select("doc_id", "digest", F.lit(True).alias("stays")), ["doc_id", "digest"], "left").where("stays is null").select("doc_id", "digest")
+    kept = rows.join(lost, ["doc_id", "digest"], "left_anti")
+    again = chosen.where("copies > 1").select("doc_id", "digest")
+    if again.limit(1).count():
+        once = kept.join(again, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+        kept = kept.join(again, ["doc_id", "digest"], "left_anti").unionByName(once)
+    return kept.select(*shield.restored())
