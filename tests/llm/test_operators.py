@@ -426,3 +426,152 @@ def test_short_items_are_found_word_for_word(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()} == {(1, 1), (3, 2), (3, 3)}
     assert {r["doc_id"] for r in decontamination.decontaminated(docs, bench).collect()} == {2, 4, 5, 6, 7, 8}
+
+
+def test_guards_of_disguises_are_no_narrower_than_the_patterns():
+    for text, found in (("plus one 415 five five five 2671", "plus one 415 five five five 2671"), ("call plus one four 1 five 555 two six 7 one.", "plus one four 1 five 555 two six 7 one"), ("write bosbt.42 at mail8.EXAMPLE.COM soon", "bosbt.42 at mail8.EXAMPLE.COM")):
+        assert [text[s["start"] : s["end"]] for s in pii.spans(text) if not s["plain"]] == [found]
+
+
+def test_thresholds_act_by_language():
+    logit = np.array([3.0, 2.0, 1.0, 0.0, 9.0, 8.0, 7.0, 6.0])
+    y, lang = np.array([1, 1, 0, 0, 1, 1, 0, 0]), np.array([0] * 4 + [1] * 4)
+    cuts = toxicity._thresholds(logit, y, lang)
+    assert 1.0 < cuts[0] <= 2.0 and 7.0 < cuts[1] <= 8.0
+
+
+def test_toxicity_of_a_few_hundred_labels(spark):
+    """The same rules at every size: at sf0.01 some 300 labels are learnt from."""
+    folder = "/root/testdata/sf0.01"
+    from noticelake.llm import queries
+
+    scores = queries.op2_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("toxic in (0, 1)").select("predicted", "toxic").collect()
+    hits = sum(r["predicted"] and r["toxic"] for r in scores)
+    assert 2 * hits / (sum(r["predicted"] for r in scores) + sum(r["toxic"] for r in scores)) >= 0.7
+
+
+def test_rare_languages_are_learnt_beside_common_ones(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_PER_LANGUAGE", 30)
+    rows = [(i, "text", f"l{i % 22}") for i in range(6600)] + [(9000 + i, "text", f"r{i % 3}") for i in range(90)]
+    _, langs = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(collections.Counter(langs).values()) == {30} and len(set(langs)) == 25
+
+
+def test_every_name_can_be_a_callers(spark):
+    """Names that operators use inside are carried, unless a result replaces them."""
+    rows = [(i, prose(30, i % 7), "en" if i % 2 else "fr", "ab"[i % 2], 1) for i in range(12)]
+    inner = ["found", "copy", "id_key", "id_null", "source_key", "source_null", "mix_key", "slice", "rank_before", "each", "extra", "known_digest", "known_lines", "ids", "canonical", "line", "digest", "rows", "place", "part", "_0", "_1", "lam", "rate", "of", "docs", "bucket", "chunk", "nth", "fold", "label"]
+    docs = spark.createDataFrame(rows, DOCS).select("*", *[F.concat(F.lit("mine-"), F.col("doc_id")).alias(n) for n in inner])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of this is there at all now")], "item_id long, text string")
+    for out in (
+        language.identify(docs, docs), toxicity.score(docs, labels), toxicity.clean_documents(docs, labels.where("toxic = 0")), sharding.assign_shards(docs), pii.detect(docs), mixing.mix(docs), mixing.mixed_documents(docs),
+        licenses.scan(docs), decontamination.decontaminated(docs, bench), neardup.deduplicated(docs),
+    ):
+        assert set(inner) <= set(out.columns)
+        found = out.collect()
+        assert found and all(r[n] == f"mine-{r['doc_id']}" for r in found for n in inner)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b, c = prose(60, 901), prose(60, 902), prose(60, 903)
+    rows = [(3, b), (9, a), (9, b), (12, a), (12, a), (None, a), (None, a), (20, c), (20, c), (20, c + " tail"), (21, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in neardup.deduplicated(docs).collect())
+    assert {k: n for k, n in kept.items() if k[0] != 20} == {(3, b): 1, (9, a): 1, (None, a): 2, (21, ""): 1}
+    assert sum(n for k, n in kept.items() if k[0] == 20) == 1
+    assert collections.Counter((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(docs).collect()) == {(3, 3): 1, (9, 9): 1, (9, 3): 1, (12, 9): 2, (None, None): 2, (20, 20): 3, (21, 21): 1}
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_near_duplicates_of_many_texts_against_every_hundredth(spark, monkeypatch, block):
+    """Queries: ids divisible by 100, against all rows by weighted Jaccard; linked pairs are in one class, and classes hold nothing unlinked."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", block)
+    r = random.Random(31)
+    texts = []
+    for i in range(1500):
+        if i % 3 and texts:
+            words = texts[r.randrange(max(0, i - 40), i)].split()
+            for _ in range(r.choice([1, 1, 2, 3])):
+                words[r.randrange(len(words))] = r.choice(WORDS)
+            texts.append(" ".join(words))
+        else:
+            texts.append(prose(r.randint(40, 160), 10_000 + i))
+    base = prose(100, 77).split()
+    texts += [" ".join(base[:k] + ["swap"] + base[k + 1 :]) for k in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(docs).collect()}
+    weights = neardup.Weights.of(docs)
+    sets = [weights.one(t) for t in texts]
+    linked = hits = 0
+    for i in range(0, len(texts), 100):
+        for j in range(len(texts)):
+            if i != j and neardup.weighted_jaccard(sets[i], sets[j]) >= neardup.SIMILARITY:
+                linked += 1
+                hits += found[i] == found[j]
+    print("links", linked, "recall", hits / linked)
+    assert linked >= 10 and hits >= 0.95 * linked
+    members = collections.defaultdict(list)
+    for i, k in found.items():
+        members[k].append(i)
+    for k, own in members.items():
+        reached, open_ = {own[0]}, [own[0]]
+        while open_:
+            i = open_.pop()
+            for j in own:
+                if j not in reached and neardup.weighted_jaccard(sets[i], sets[j]) >= neardup.SIMILARITY:
+                    reached.add(j)
+                    open_.append(j)
+        assert reached == set(own)
+
+
+def test_pivot_recall_where_the_index_prunes(spark):
+    """Clustered vectors of 64 dimensions, three labels of unequal size; queries are the ids divisible by 100."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(900, 64))
+    label = np.array([0 if k % 3 else 1 + k % 2 for k in range(900)])
+    at = r.integers(0, 900, 9000)
+    vectors = centres[at] + r.uniform(0.15, 0.4, (9000, 1)) * r.normal(size=(9000, 64))
+    rows = [(i, vectors[i].tolist(), int(label[at[i]])) for i in range(9000)]
+    found = {x["vec_id"]: x for x in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    got = true = 0
+    for i in range(0, 9000, 100):
+        n = int(((unit @ unit[i] >= pivots.COSINE) & (label[at] == label[at[i]])).sum()) - 1
+        assert found[i]["n_links"] <= n
+        got, true = got + found[i]["n_links"], true + n
+    print("links", true, "recall", got / true)
+    assert true > 100 and got >= 0.9 * true
+
+
+def test_vectors_of_extreme_length_and_shared_ids(spark):
+    rows = [(1, [1e-200, 0.0], 0), (2, [2e-200, 0.0], 0), (3, [1e200, 1e200], 0), (4, [2e200, 2e200], 0), (5, [0.0, 1.0], 0), (5, [0.0, -1.0], 0), (6, [0.0, 1.0], 0), (7, [0.0, -2.0], 0)]
+    found = collections.Counter((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert found == {(1, 1, 1, True): 1, (2, 1, 1, False): 1, (3, 1, 3, True): 1, (4, 1, 3, False): 1, (5, 1, 5, True): 2, (6, 1, 5, False): 1, (7, 1, 5, False): 1}
+
+
+def test_whole_licences_by_digest_alone(spark):
+    import pathlib
+
+    long_text = "Some Licence of Ours\n\n  Version 7\n" + "\n".join(prose(12, k) for k in range(300))
+    known = [("OURS-7", licenses.known_digests(spark, [("x", long_text)]).first()["digest"])]
+    other = "(c) 2021 Them\n" + long_text.upper().replace("LICENCE", "license").replace("VERSION 7", "v7")
+    rows = [(1, other), (2, long_text + " more"), (3, "Copyright 2020 A. SPDX-License-Identifier: MIT"), (4, "Two names."), (5, "two; NAMES\nand\nTwo names")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(docs, [("B", "same"), ("A", "Same!")], [("N2", "Two names"), ("N1", "two names")], known).collect()}
+    assert found[1]["license_id"] == "OURS-7" and found[2]["license_id"] is None
+    assert found[3]["text_digest"] is not None and found[4]["notice_ids"] == "N1,N2" and found[5]["n_notices"] == 2
+    assert licenses.scan(spark.createDataFrame([(1, "SAME")], "doc_id long, text string"), [("B", "same"), ("A", "Same!")]).first()["license_id"] == "A"
+    assert licenses.scan(docs, [], [], []).count() == 5
+    folder = pathlib.Path("/usr/share/common-licenses")  # public texts, where the system carries them
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(name, (folder / name).read_text(encoding="utf-8")) for name in names if (folder / name).exists()]
+    if texts:
+        assert {r["name"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(texts, "name string, text string")).collect()} == {n: names[n] for n, _ in texts}
+
+
+def test_mix_without_solution_raises(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    docs = spark.createDataFrame([(i, prose(5 + i, i), "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    with pytest.raises(RuntimeError):
+        mixing.mix(docs).collect()
