@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns as P
+from .text import let, normalize
+
 
 def valid_day(text: Column) -> Column:
     """A strict yyyy-MM-dd date, else null."""
@@ -14,9 +17,7 @@ def valid_day(text: Column) -> Column:
 def clock_minutes(text: Column) -> Column:
     """Minutes of HH:MM; 24:00 is legal and anything else past 23:59 is null."""
     hour, minute = (F.regexp_extract(text, r"^(\d{2}):(\d{2})$", i) for i in (1, 2))
-    value = F.expr("try_cast(null as int)")
-    value = F.when(text.rlike(r"^([01]\d|2[0-3]):[0-5]\d$|^24:00$"), hour.cast("int") * 60 + minute.cast("int"))
-    return value
+    return F.when(text.rlike(r"^([01]\d|2[0-3]):[0-5]\d$|^24:00$"), hour.cast("int") * 60 + minute.cast("int"))
 
 
 def exact_instant(day: Column, clock: Column, ambiguous: Column) -> Column:
@@ -25,21 +26,86 @@ def exact_instant(day: Column, clock: Column, ambiguous: Column) -> Column:
     return F.when(~F.coalesce(ambiguous, F.lit(False)) & minutes.isNotNull(), F.timestamp_add("MINUTE", minutes, day.cast("timestamp_ntz")))
 
 
-def status_at(now: Column, deadline: Column, ends: Column, opened: Column, platform: Column, last_seen: Column) -> Column:
-    """closed, upcoming, active or unknown at an instant. `ends` is the exact instant of the deadline, where its clock is known."""
+def status_at(now: Column, deadline: Column, ends: Column, opened: Column, platform: Column, last_seen: Column, starts: Column | None = None, ambiguous: Column | None = None) -> Column:
+    """closed, upcoming, active or unknown at an instant.
+
+    `ends` and `starts` are the exact instants of the deadline and the opening where their clocks are known.
+    Ambiguous dates count as none. A platform that says open is believed if the notice was seen in the last three days.
+    """
     today = now.cast("date")
+    clear = ~F.coalesce(ambiguous, F.lit(False)) if ambiguous is not None else F.lit(True)
+    deadline, ends, opened = (F.when(clear, x) for x in (deadline, ends, opened))
+    starts = F.when(clear, starts) if starts is not None else F.lit(None).cast("timestamp_ntz")
     return (
         F.when(platform == "closed", "closed")
         .when(F.coalesce(ends <= now, deadline < today), "closed")
-        .when(opened > today, "upcoming")
+        .when(opened.isNotNull() & F.coalesce(starts > now, opened > today), "upcoming")
         .when(deadline.isNotNull(), "active")
-        .when((platform == "open") & (F.date_diff(today, last_seen) <= 3), "active")
+        .when((platform == "open") & last_seen.between(F.date_sub(today, 3), today), "active")
         .otherwise("unknown")
     )
 
 
+def _iso_day(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+
+def _full_day(token: Column) -> Column:
+    return _iso_day(*[F.regexp_extract(token, r"^(\d+)\D+(\d+)\D+(\d+)", i) for i in (1, 2, 3)])
+
+
 def extract_dates(text: Column) -> Column:
-    """All valid full dates of a text, in order; invalid ones are dropped."""
-    found = F.regexp_extract_all(text, F.lit(r"(20\d{2})\s*[.\-/]\s*(\d{1,2})\s*[.\-/]\s*(\d{1,2})"), F.lit(0))
-    padded = F.transform(found, lambda x: F.concat_ws("-", *[F.lpad(F.regexp_extract(x, r"(\d+)\D+(\d+)\D+(\d+)", i), n, "0") for i, n in ((1, 4), (2, 2), (3, 2))]))
-    return F.filter(F.transform(padded, lambda x: F.try_to_date(x, "yyyy-MM-dd")), lambda x: x.isNotNull())
+    """All valid dates with a year of a text, in order; invalid ones are dropped."""
+    found = F.regexp_extract_all(text, F.lit(P.FULL_DATE), F.lit(0))
+    return F.filter(F.transform(found, _full_day), lambda x: x.isNotNull())
+
+
+TOKEN = f"{P.FULL_DATE}|{P.SHORT_DATE}"
+
+
+def years_of(text: Column) -> Column:
+    """The distinct years that stand alone in a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<!\d)(20\d{2})(?!\d)"), F.lit(1)))
+
+
+def only_year(text: Column) -> Column:
+    return let(years_of(text), lambda years: F.when(F.size(years) == 1, years[0]))
+
+
+def date_tokens(text: Column, year: Column) -> Column:
+    """The dates of a text in order, null where one is impossible. Dates without a year take the only year of the other dates, else `year`; with neither they are no dates."""
+    full = lambda x: x.rlike(r"^20\d{2}\s*[.\-/년]")
+    short = lambda x, i: F.regexp_extract(x, r"^(\d+)\D+(\d+)", i)
+
+    def dated(tokens: Column) -> Column:
+        years = F.array_distinct(F.transform(F.filter(tokens, full), lambda x: F.left(x, F.lit(4))))
+        own = let(years, lambda y: F.when(F.size(y) == 1, y[0]).otherwise(year.cast("string")))
+        return let(own, lambda y: F.transform(F.filter(tokens, lambda x: full(x) | y.isNotNull()), lambda x: F.when(full(x), _full_day(x)).otherwise(_iso_day(y, short(x, 1), short(x, 2)))))
+
+    return let(F.regexp_extract_all(normalize(text), F.lit(TOKEN), F.lit(0)), dated)
+
+
+def date_range(days: Column) -> Column:
+    """struct(starts, ends) of exactly two valid dates in order, else null."""
+    pair = (F.size(days) == 2) & days[0].isNotNull() & (days[0] <= days[1])
+    return F.when(pair, F.struct(days[0].alias("starts"), days[1].alias("ends")))
+
+
+def clock_of(text: Column) -> Column:
+    """The first clock of a text as HH:MM; halves of the day are resolved, impossible clocks are null."""
+    pattern = r"(?iu)(?:(오전|오후|AM|PM)\s*)?(?<!\d)(\d{1,2})\s*(?::\s*(\d{2})|시\s*(?:(\d{1,2})\s*분)?)(?!\d)"
+
+    def parts(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, pattern, i)
+        minute = F.coalesce(F.nullif(part(3), F.lit("")), F.nullif(part(4), F.lit("")), F.lit("0")).cast("int")
+        return F.struct(F.lower(part(1)).alias("half"), part(2).cast("int").alias("hour"), minute.alias("minute"))
+
+    def turned(x: Column) -> Column:
+        hour = F.when(x["half"] == "", x["hour"]).when(x["hour"].between(1, 12), x["hour"] % 12 + F.when(x["half"].isin("오후", "pm"), 12).otherwise(0))
+        return F.struct(hour.alias("hour"), x["minute"].alias("minute"))
+
+    def shown(x: Column) -> Column:
+        valid = (x["minute"] <= 59) & ((x["hour"] < 24) | ((x["hour"] == 24) & (x["minute"] == 0)))
+        return F.when(valid, F.concat(F.lpad(x["hour"].cast("string"), 2, "0"), F.lit(":"), F.lpad(x["minute"].cast("string"), 2, "0")))
+
+    return let(let(let(F.regexp_substr(text, F.lit(pattern)), parts), turned), shown)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import fields as L
 from ..sources import html as H
 from ..sources.attachments import attachment_text
 from ..tables import NOTICES_SQL, OBSERVATIONS_SQL, Tables, notices, observations
@@ -19,7 +20,7 @@ def attachment_status(spark, d):
 @query(f"with {NOTICES_SQL} select id, 'submission' as kind, cast(deadline as varchar) as day from notices where deadline >= date '2000-01-01'")
 def milestone_dates(spark, d):
     text = F.concat(F.lit("안내\n결과물 제출 마감: "), F.date_format("deadline", "yyyy. M. d."), F.lit(" 18:00\n시상식 일시: 미정"))
-    rows = notices(Tables(spark, d)).select("id", F.explode(H.milestones_column(text, F.lit(""))).alias("m"))
+    rows = notices(Tables(spark, d)).select("id", F.explode(L.milestones(text, F.lit(""))).alias("m"))
     return rows.select("id", "m.kind", "m.day")
 
 

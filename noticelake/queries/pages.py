@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import fields as L
+from ..functions import text as X
 from ..sources import html as H
 from ..tables import NOTICES_SQL, Tables, notices
 
@@ -16,22 +18,27 @@ def pages_links(spark, d):
 
 @query()
 def listing_udtf(spark, d):
-    """Rows of listings: links with a title of some length, the last of an address kept, with the count that was recognised."""
+    """Rows of listings: own links with a title of some length, one row an address; its last title counts, but a generic one never replaces a real one."""
     pages = Tables(spark, d).pages
-    links = pages.select("page_id", H.page_links(F.col("url"), F.col("html")).alias("links"))
-    rows = links.select("page_id", F.size("links").cast("long").alias("recognised"), F.explode("links").alias("link"))
-    return rows.where(F.length("link.title") >= 4).groupBy("page_id", "recognised", "link.url").agg(F.max("link.title").alias("title"))
+    links = pages.select("page_id", "url", H.page_column(F.col("url"), F.col("html")).alias("page")).select("page_id", H.own_links(F.col("page.links"), F.col("url")).alias("own"), "page.links")
+    rows = links.select("page_id", F.size("own").cast("long").alias("recognised"), F.transform("own", lambda x: x["url"]).alias("wanted"), F.posexplode("links").alias("place", "link"))
+    titled = rows.where(F.array_contains("wanted", F.col("link.url")) & (F.length("link.title") >= 4))
+    real = F.when(~X.generic_title(F.col("link.title")), F.col("place"))
+    return titled.groupBy("page_id", "recognised", "link.url").agg(F.coalesce(F.max_by("link.title", real), F.max_by("link.title", "place")).alias("title"))
 
 
 @query()
 def detail_extract(spark, d):
-    pages = Tables(spark, d).pages
-    return pages.select("page_id", H.details(F.col("html")).alias("found")).select("page_id", "found.*")
+    """What every page states of its notice; nested results as JSON."""
+    found = H.details(Tables(spark, d).pages.select("page_id", "url", "html")).drop("url", "html")
+    return found.withColumns({"milestones": F.to_json("milestones"), "facets": F.to_json("facets")})
 
 
-@query("select page_id, not contains(url, '/en/') as allowed from pages")
+@query("""select page_id, case page_id % 3 when 0 then not contains(url, '/en/') when 1 then true else false end as allowed from pages""")
 def robots_gate(spark, d):
-    robots = F.lit("User-agent: *\nDisallow: /en/\n")
+    """Three files of rules: one closed folder, no file, and everything closed but to another agent."""
+    which = F.col("page_id") % 3
+    robots = F.when(which == 0, "User-agent: *\nDisallow: /en/\n").when(which == 2, "User-agent: other\nAllow: /\n\nUser-agent: *\nDisallow: /\n")
     return Tables(spark, d).pages.select("page_id", H.robots_allowed(robots, F.col("url")).alias("allowed"))
 
 
@@ -41,4 +48,5 @@ def registration_window(spark, d):
     rows = notices(Tables(spark, d)).where("deadline is not null")
     period = lambda shift: F.concat(F.lit("접수기간: "), F.date_format(F.date_add("opened", shift), "yyyy. M. d."), F.lit(" ~ "), F.date_format(F.date_add("deadline", shift), "yyyy. M. d."))
     text = F.when(F.col("id") % 3 == 0, F.concat_ws("\n", period(0), period(1))).when(F.col("deadline") < F.lit("2000-01-21").cast("date"), F.lit("접수기간: 9/1 ~ 10/31")).otherwise(period(0))
-    return rows.select("id", H.registration_column(text, F.lit("")).alias("w")).select("id", "w.starts", "w.ends")
+    found = rows.select("id", L.registration(L.entries(text), F.lit(None).cast("string")).alias("w"))
+    return found.select("id", F.col("w.starts").cast("string").alias("starts"), F.col("w.ends").cast("string").alias("ends"))

@@ -38,9 +38,9 @@ def preferred_title(spark, d):
     return Tables(spark, d).pages.select("page_id", X.preferred_title(first, second).alias("title"))
 
 
-@query("select doc_id, replace(regexp_replace(text, '[0-9]', '#', 'g'), '|', ' ') as text from (select doc_id, replace(text, chr(160), ' ') as text from documents) where doc_id % 2 = 0")
+@query("select doc_id, replace(regexp_replace(text, '[0-9]', '#', 'g'), '|', ' ') as text from (select doc_id, replace(text, chr(160), ' ') as text from documents)")
 def normalize_text(spark, d):
-    return _normalized(Tables(spark, d).documents.where("doc_id % 2 = 0"))
+    return _normalized(Tables(spark, d).documents)
 
 
 @query("select doc_id, replace(regexp_replace(text, '[0-9]', '#', 'g'), '|', ' ') as text from (select doc_id, replace(text, chr(160), ' ') as text from documents)")
@@ -66,7 +66,7 @@ def sanitize(spark, d):
         F.when(F.col("s_suppkey") % 4 == 0, F.lit("측 책임을 부담")).otherwise(F.col("s_name")).alias("organizer"),
         F.when(F.col("s_suppkey") % 5 == 0, F.lit("환수 조건")).otherwise(F.concat(F.lit("prize "), F.col("s_suppkey"))).alias("benefits"),
     )
-    return rows.select("s_suppkey", F.when(~F.col("organizer").rlike("책임을?\\s*부담|제3자에게|리더보드"), F.col("organizer")).alias("organizer"), F.when(~F.col("benefits").rlike("^(지급과|지급을|환수|반환|취소)"), F.col("benefits")).alias("benefits"))
+    return rows.select("s_suppkey", X.sane_organizer(F.col("organizer")).alias("organizer"), X.sane_benefits(F.col("benefits")).alias("benefits"))
 
 
 @query()
@@ -101,14 +101,8 @@ def conditions_facets(spark, d):
         F.when(F.col("c_custkey") % 2 == 0, "진행 방식: 온라인").otherwise("진행 방식: 현장"),
         F.when(F.col("c_custkey") % 5 == 0, "참가비: 무료").otherwise("참가비: 30,000원"),
     )
-    first = lambda p: F.try_element_at(F.filter(F.split("lines", "\n"), lambda x: x.rlike(p)), F.lit(1))
-    rows = Tables(spark, d).customer.select("c_custkey", lines.alias("lines")).select("c_custkey", first("^(참가|지원) ?대상").alias("a"), first("^진행 ?(방식|형태)").alias("m"), first("^(참가비|수강료)").alias("c"))
-    closed = F.col("a").rlike("제외|불가|제한|아닌|외에는")
-    audience = F.when(closed, "unknown").when(F.col("a").rlike("누구나|전\\s*국민"), "undergraduate,graduate,general").when(F.col("a").rlike("대학생|학부생"), "undergraduate").otherwise("unknown")
-    online, onsite = F.col("m").rlike("온라인|비대면"), F.col("m").rlike("오프라인|현장")
-    mode = F.when(online & onsite, "hybrid").when(online, "online").when(onsite, "onsite").otherwise("unknown")
-    cost = F.when(F.col("c").rlike("무료|없음"), "free").when(F.col("c").rlike("유료|[1-9][\\d,]*\\s*(만\\s*)?원"), "paid").otherwise("unknown")
-    return rows.select("c_custkey", audience.alias("audience"), mode.alias("mode"), cost.alias("cost"))
+    found = Tables(spark, d).customer.select("c_custkey", X.facets(lines).alias("f"))
+    return found.select("c_custkey", *[F.array_join(f"f.{name}.values", ",").alias(name) for name in ("audience", "mode", "cost")])
 
 
 @query("""select o_orderkey, case when o_orderstatus = 'F' then 'platform_closed' when o_orderstatus = 'P' then 'no_clock' when o_orderpriority = '1-URGENT' then 'ambiguous'
@@ -151,10 +145,9 @@ def ratio_round(spark, d):
     return Tables(spark, d).lineitem.groupBy("l_returnflag").agg(F.count_if(F.col("l_tax") > 0.04).alias("n"), F.count("*").alias("d")).withColumn("rest", F.greatest(F.col("d") - 20000, F.lit(0)))
 
 
-@query("select doc_id, coalesce(substr(regexp_extract(text, '[^\\n]*All rights reserved[^\\n]*'), 1, 160), '') as evidence from documents where contains(text, 'All rights reserved')")
+@query("select doc_id, coalesce(substr(regexp_extract(text, '[^\\n]*All rights reserved[^\\n]*'), 1, 160), '') as evidence from documents")
 def evidence_window(spark, d):
-    docs = Tables(spark, d).documents.where(F.col("text").contains("All rights reserved"))
-    return docs.select("doc_id", X.evidence(F.regexp_replace("text", r"(?<=[.!?])[ \t]+", "\u2003"), "All rights reserved", "^문의").alias("evidence"))
+    return Tables(spark, d).documents.select("doc_id", X.evidence(F.regexp_replace("text", r"(?<=[.!?])[ \t]+", "\u2003"), "All rights reserved", "^문의").alias("evidence"))
 
 
 @query("select page_id, case when url like '%//blog.%' then 'contest' when page_id % 3 = 0 then 'contest' when page_id % 3 = 1 then 'program' else 'other' end as kind from pages")
@@ -175,5 +168,4 @@ def relevant_by_mode(spark, d):
 def classify_tristate(spark, d):
     title = F.when(F.col("p_partkey") % 4 == 0, "수상 소식").when(F.col("p_partkey") % 4 == 1, "AI 모델 챌린지").otherwise(F.col("p_name"))
     summary = F.when((F.col("p_partkey") % 4 == 2) & (F.col("p_size") > 25), "공공 데이터 활용").otherwise("")
-    topical = title.rlike(f"(?iu){X.AI_TOPIC}") | summary.rlike(f"(?iu){X.AI_TOPIC}")
-    return Tables(spark, d).part.select("p_partkey", F.when(title.rlike(f"(?iu){X.EXCLUDED}"), "excluded").when(topical, "included").otherwise("pending").alias("verdict"))
+    return Tables(spark, d).part.select("p_partkey", X.classify(title, summary, F.lit(None).cast("string"), F.lit(False))["status"].alias("verdict"))

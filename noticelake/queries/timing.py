@@ -13,15 +13,13 @@ def _now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
-@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ',' || strftime(cast(o_orderdate as date) + 9, '%Y-%m-%d') as days from orders")
+@query("""select o_orderkey, strftime(o_orderdate + interval 20 year, '%Y-%m-%d') || ',' || strftime(cast(o_orderdate + interval 20 year as date) + 9, '%Y-%m-%d') || case when o_orderkey % 3 = 0 then ',' || strftime(o_orderdate + interval 20 year, '%Y-%m-28') else '' end as days from orders""")
 def extract_dates(spark, d):
-    """Dates out of a labelled text; an impossible date in between is dropped."""
-    text = F.concat(F.lit("접수기간: "), F.date_format("o_orderdate", "yyyy. M. d."), F.lit(" ~ 2026-13-45, "), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 9), "yyyy/MM/dd"))
-    found = F.transform(M.extract_dates(F.regexp_replace(text, "199", "200")), lambda x: F.date_format(F.add_months(x, -120), "yyyy-MM-dd"))
-    shifted = F.transform(M.extract_dates(text), lambda x: F.date_format(x, "yyyy-MM-dd"))
-    late = F.year("o_orderdate") >= 2000
-    plain = F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 9), "yyyy-MM-dd"))
-    return Tables(spark, d).orders.select("o_orderkey", F.array_join(F.when(late & (F.size(shifted) == 2), shifted).otherwise(plain), ",").alias("days"))
+    """Dates out of a labelled text, in several notations; an impossible date in between, and longer numbers, are none. The order dates lie twenty years later here."""
+    day = F.add_months(F.col("o_orderdate").cast("date"), 240)
+    more = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(", "), F.date_format(day, "yyyy년 M월"), F.lit(" 28일 마감"))).otherwise(F.concat(F.lit(" 1"), F.date_format(day, "yyyy-MM-dd"), F.lit(" 12026-01-01 2026-01-012")))
+    text = F.concat(F.lit("접수기간: "), F.date_format(day, "yyyy. M. d."), F.lit(" ~ 2026-13-45, "), F.date_format(F.date_add(day, 9), "yyyy/MM/dd"), more)
+    return Tables(spark, d).orders.select("o_orderkey", F.array_join(F.transform(M.extract_dates(text), lambda x: x.cast("string")), ",").alias("days"))
 
 
 @query("select o_orderkey, cast(o_orderdate as date) as starts, cast(cast(o_orderdate as date) + 9 as date) as ends from orders where o_orderkey % 3 <> 0 and o_orderdate >= timestamp '2000-01-01'")

@@ -111,22 +111,6 @@ def test_grouping_is_guarded_and_keeps_the_oldest(spark):
     assert found == {r["id"]: (r["grp"], r["members"]) for r in grouped(notices.repartition(3)).collect()}
 
 
-@pytest.mark.parametrize(
-    "text, title, starts, ends, clock",
-    [
-        ("접수기간 : 2026. 9. 1.(화) ~ 9. 30.(수) 18:00", "", "2026-09-01", "2026-09-30", "18:00"),
-        ("접수기간: 9/1 ~ 10/31", "AI 2026", "2026-09-01", "2026-10-31", None),
-        ("접수기간: 9/1 ~ 10/31", "", None, None, None),
-        ("접수기간: 2026.9.1 ~ 2026.9.3\n신청기간: 2026.9.1 ~ 2026.9.9", "", None, None, None),
-        ("접수기간: 2026.9.9 ~ 2026.9.1", "", None, None, None),
-        ("당초 접수기간: 2026.9.1 ~ 2026.9.3\n변경 접수기간: 2026.9.2 ~ 2026.9.5", "", "2026-09-02", "2026-09-05", None),
-    ],
-)
-def test_registration(text, title, starts, ends, clock):
-    found = H.registration(text, title)
-    assert (found["starts"], found["ends"], found["clock"]) == (starts, ends, clock)
-
-
 def test_page_parsing():
     page = H.parsed('<html><title>T</title><body><a href="/x#f">Long link</a><del>2026. 1. 1.</del><script type="application/ld+json">{"@type": "Event", "name": "E"}</script><p>text')
     assert page.links == [("/x#f", "Long link")]
@@ -142,9 +126,29 @@ def test_embedded_registration_needs_the_own_id_and_agreement():
     assert H.embedded_registration([block], "9")["ends"] is None
 
 
-def test_milestones_need_one_date():
-    text = "결과물 제출 마감\n2026. 9. 1. 18:00\n시상식 일시: 2026.9.3 또는 2026.9.4"
-    assert [(m["kind"], m["day"]) for m in H.milestones(text)] == [("submission", "2026-09-01")]
+def test_embedded_dates_of_other_notices_are_none():
+    other = '{"id": 7, "recommended": [{"receiptEndDate": "2026-01-01"}], "apply-start-date": "2026-09-01", "apply_deadline": "2026-09-30T18:00:00+09:00"}'
+    assert H.embedded_registration([other], "7") == {"starts": "2026-09-01", "ends": "2026-09-30", "clock": "18:00"}
+    assert H.embedded_registration([], "7", marks=[{"data-registration-end": "2026-09-30"}])["ends"] == "2026-09-30"
+    assert H.embedded_registration([other], "7", marks=[{"data-registration-end": "2026-10-01"}])["ends"] is None
+    assert H.embedded_registration(["[" * 5000, "{", other[:-1] + " " * 2_000_000 + "}"], "7")["ends"] is None
+    graph = '{"@graph": [{"@type": ["Thing", "SportsEvent"], "name": "E", "startDate": "2026-01-02", "url": "/e/1"}]}'
+    assert H.embedded_event([graph], "https://x.org/e/1")["start"] == "2026-01-02" and H.embedded_event([graph], "https://x.org/e/2") is None
+    assert [H.identity_of(u) for u in ("https://x.org/competitions/official/12/a", "https://x.org/v?vid=3", "https://x.org/")] == ["12", "3", ""]
+
+
+def test_details_of_a_page(spark):
+    html = """<html><head><title>2026 AI 경진대회 | DACON</title><meta name="description" content="d"></head><body><h1>공지사항</h1><p>주최: 가나 대학교</p><p>참가 대상: 누구나</p>
+<p>접수기간: 9.1 ~ 9.30 18:00</p><p>대회기간: 10.1 ~ 10.3</p><p>시상식 일시: 10.9</p><a href="/apply">참가 신청하기</a><a href="https://o.org/">공식 홈페이지</a></body></html>"""
+    other = "<title>2026 공모전 접수 9.1 ~ 9.3</title><p>내용<script type='application/json'>{\"applyEndDate\": \"2026-09-03\"}</script>"
+    rows = spark.createDataFrame([(1, "https://x.org/n", html), (2, "https://x.org/m", other), (3, None, None), (4, "http://[bad", "<a href='x'>y</a>")], "page_id int, url string, html string")
+    found = {r["page_id"]: r for r in H.details(rows).collect()}
+    one = found[1]
+    assert (one["title"], one["starts"], one["ends"], one["clock"], one["date_status"]) == ("2026 AI 경진대회", "2026-09-01", "2026-09-30", "18:00", "complete")
+    assert (one["organizer"], one["eligibility"], one["event_starts"], one["event_ends"]) == ("가나 대학교", "누구나", "2026-10-01", "2026-10-03")
+    assert (one["application_url"], one["website_url"]) == ("https://x.org/apply", "https://o.org/") and one["milestones"][0]["day"] == "2026-10-09" and one["facets"]["audience"]["values"][0] == "undergraduate"
+    assert (found[2]["starts"], found[2]["ends"], found[2]["date_status"]) == ("2026-09-01", "2026-09-03", "complete") and found[2]["error"] is None
+    assert found[3]["ends"] is None and found[4]["error"].startswith("ValueError") and found[4]["title"] == ""
 
 
 def test_attachments():
