@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..operators.upsert import claimed
 from ..plans import day_diff as plan
+from ..plans.compare import classes_of_day, status_of_day
 from ..tables import NOTICES_SQL, NOW, OBSERVATIONS_SQL, Tables, notices, observations
 
 _WEAK = "value < 15"
@@ -28,8 +30,43 @@ def snapshot_capture(spark, d):
 def claim_once(spark, d):
     """One claim a day, none where the day is claimed already."""
     rows = Tables(spark, d).events.withColumn("day", F.col("ts").cast("date"))
-    claimed = rows.where("event_type = 'signup' and value > 250").select("day").distinct()
-    return rows.join(claimed, "day", "left_anti").groupBy("day").agg(F.min("event_id").alias("run"))
+    return claimed(rows.where("event_type = 'signup' and value > 250").select("day"), rows.select("day", F.col("event_id").alias("run")), "day", ["run"])
+
+
+@query(f"""with {OBSERVATIONS_SQL}, base as (select distinct case when notice like '%:view' then replace(notice, 'view', 'click') else notice end as id from observations where day < date '2024-01-10'),
+ items as (select notice as id, min(source) as source from observations where day = date '2024-01-10' group by 1), log as (select notice as id, bool_or(value > 200) as imported, bool_or(value < 30) as updated from observations where seen_at > timestamp '2024-01-09 12:00:00' and seen_at <= timestamp '2024-01-10 18:00:00' group by 1),
+ k as (select i.id, i.source, case when b.id is not null then case when l.updated then 'updated' end when coalesce(l.imported, false) or i.source = 'error' then 'initial' when i.source = 'signup' then 'unverified' else 'new' end as kind from items i left join base b on b.id = i.id left join log l on l.id = i.id)
+ select * from k where kind is not null""")
+def day_classes(spark, d):
+    """New, initial, unverified and updated notices of one day against all days before: one source is younger than the base, one was incomplete, and ids have later names."""
+    seen = observations(Tables(spark, d))
+    base = seen.where("day < date '2024-01-10'").select(F.col("notice").alias("id"))
+    items = seen.where("day = date '2024-01-10'").groupBy(F.col("notice").alias("id")).agg(F.min("source").alias("source"))
+    before = seen.where("source <> 'error'").select("source").distinct().withColumn("status", F.when(F.col("source") == "signup", "partial").otherwise("ok"))
+    kind = F.when(F.col("value") > 200, "initial").when(F.col("value") < 30, "updated").otherwise("other")
+    changes = seen.select(F.col("notice").alias("id"), kind.alias("kind"), F.col("seen_at").alias("at"))
+    aliases = base.where(F.col("id").endswith(":view")).distinct().select(F.col("id").alias("old_id"), F.regexp_replace("id", "view", "click").alias("id"))
+    instant = lambda x: F.lit(x).cast("timestamp_ntz")
+    return classes_of_day(items, base, before, changes, instant("2024-01-09 12:00:00"), instant("2024-01-10 18:00:00"), aliases)
+
+
+@query(f"""with {OBSERVATIONS_SQL}, days as (select day, max(seen_at) as at from observations group by 1), s as (select day, source, count(*) as n from observations group by 1, 2),
+ t as (select d.day, (select max(day) from days b where b.day < d.day) as base_day from days d where d.day <= date '2024-01-05')
+ select day, case when base_day is null then 'baseline' when day - base_day = 1 then 'comparable' else 'gap' end as status, base_day,
+ coalesce((select bool_or(n.n < 60 or coalesce(o.n < 60, false)) from s n left join s o on o.day = t.base_day and o.source = n.source where n.day = t.day), false) as partial from t""")
+def day_status(spark, d):
+    """How each of the first days compares with the day before; sources with few rows count as partial."""
+    seen = observations(Tables(spark, d))
+    days = seen.groupBy("day").agg(F.max("seen_at").alias("at"))
+    sources = seen.groupBy("day", "source").agg(F.when(F.count("*") < 60, "partial").otherwise("ok").alias("status"))
+    out = None
+    for k in range(1, 6):  # five reports, each of its own day
+        today = F.lit(f"2024-01-0{k}").cast("date")
+        last = F.lit(f"2024-01-0{k} 18:00:00").cast("timestamp_ntz")
+        now, then = sources.where(F.col("day") == today), sources.where(F.col("day") == F.date_sub(today, 1))
+        row = status_of_day(days, now.select("source", "status"), then.select("source", "status"), today, last).select(today.alias("day"), "status", "base_day", "partial")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(f"with {NOTICES_SQL} select owner_id, min(deadline) as first_due, count(*) as due from notices where owner_id < 10 and deadline >= date '{NOW}' and id in (select l_orderkey from lineitem) group by 1")

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators.asof import asof
-from ..operators.upsert import upsert
+from ..operators.upsert import Rules, merge, upsert
+from ..plans.compare import regressions
 from ..tables import NOTICES_SQL, OBSERVATIONS_SQL, Tables, notices, observations
 
 
@@ -106,8 +107,7 @@ def event_new_vs_repost(spark, d):
 @query("select l_suppkey as member, max(l_orderkey) as event from lineitem group by 1")
 def member_explode_join(spark, d):
     """Members to their event; the later event wins."""
-    sets = Tables(spark, d).lineitem.groupBy(F.col("l_orderkey").alias("event")).agg(F.collect_set("l_suppkey").alias("members"))
-    return sets.select("event", F.explode("members").alias("member")).groupBy("member").agg(F.max("event").alias("event"))
+    return Tables(spark, d).lineitem.groupBy(F.col("l_suppkey").alias("member")).agg(F.max("l_orderkey").alias("event"))
 
 
 @query(f"with {NOTICES_SQL} select a.id as a, b.id as b from notices a join notices b on a.owner_id = b.owner_id and a.deadline = b.deadline and a.id < b.id and a.source_id <> b.source_id")
@@ -129,9 +129,8 @@ def stable_event_ids(spark, d):
 @query("select distinct l_orderkey as event from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal > 5000)")
 def watchlist_semi(spark, d):
     t = Tables(spark, d)
-    watched = t.supplier.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("member"))
-    sets = t.lineitem.groupBy(F.col("l_orderkey").alias("event")).agg(F.collect_set("l_suppkey").alias("members"))
-    return sets.select("event", F.explode("members").alias("member")).join(watched, "member", "left_semi").select("event").distinct()
+    watched = t.supplier.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
+    return t.lineitem.join(watched, "l_suppkey", "left_semi").select(F.col("l_orderkey").alias("event")).distinct()
 
 
 @query("select distinct coalesce(n.n_regionkey + 1000, c.c_nationkey) as favourite from customer c left join nation n on c.c_nationkey = n.n_nationkey and n.n_nationkey % 2 = 0")
@@ -149,13 +148,51 @@ def dim_lookup(spark, d):
     return rows.select("s_suppkey", F.coalesce("n_name", F.concat(F.lit("nation "), F.col("s_nationkey"))).alias("nation"), F.coalesce("r_name", F.lit("unknown")).alias("region"))
 
 
-@query(f"""with {OBSERVATIONS_SQL}, q as (select day, source, list(distinct notice) as ids, list(distinct notice) filter (where value > 20) as known from observations group by 1, 2)
- select a.day, a.source, cast(len(list_intersect(a.ids, b.ids)) as bigint) as common, cast(len(list_intersect(list_intersect(a.ids, b.ids), b.known)) as bigint) - cast(len(list_intersect(list_intersect(a.ids, b.ids), a.known)) as bigint) as lost
- from q a join q b on a.source = b.source and a.day = b.day + 1 where len(a.ids) >= 5 and len(b.ids) >= 5 and len(list_intersect(a.ids, b.ids)) >= 5""")
+_QUALITY = f"""{OBSERVATIONS_SQL}, n as (select day, source, notice, max(value > 20) as known from observations group by 1, 2, 3), z as (select day, source, count(*) as items from n group by 1, 2),
+ c as (select a.day, a.source, count(*) as common, count(*) filter (where b.known) as previous_known, count(*) filter (where a.known) as current_known from n a join n b on a.source = b.source and a.notice = b.notice and a.day = b.day + 1 group by 1, 2),
+ q as (select c.* from c join z on c.day = z.day and c.source = z.source join z y on c.day = y.day + 1 and c.source = y.source where z.items >= 5 and y.items >= 5 and common >= 5)"""
+
+
+def _regressions(spark, d):
+    seen = observations(Tables(spark, d))
+    samples = seen.select("day", "source", "notice", (F.col("value") > 20).alias("known"))
+    status = F.when(F.avg("value") < 23, "error").otherwise("ok")
+    return regressions(samples, seen.groupBy("day", "source").agg(status.alias("status")))
+
+
+@query(f"with {_QUALITY} select day, source, common, previous_known - current_known as lost from q")
 def quality_regression(spark, d):
     """Yesterday against today on the common ids of each source."""
-    q = observations(Tables(spark, d)).groupBy("day", "source").agg(F.collect_set("notice").alias("ids"), F.collect_set(F.when(F.col("value") > 20, F.col("notice"))).alias("known"))
-    before = q.select(F.date_add("day", 1).alias("day"), "source", F.col("ids").alias("old_ids"), F.col("known").alias("old_known"))
-    both = q.join(before, ["day", "source"]).withColumn("shared", F.array_intersect("ids", "old_ids")).where("size(ids) >= 5 and size(old_ids) >= 5 and size(shared) >= 5")
-    count = lambda c: F.size(F.array_intersect("shared", c))
-    return both.select("day", "source", F.size("shared").cast("long").alias("common"), (count("old_known") - count("known")).cast("long").alias("lost"))
+    return _regressions(spark, d).select("day", "source", "common", (F.col("previous_known") - F.col("current_known")).alias("lost"))
+
+
+@query(f"""with {_QUALITY}, t as (select day, source, case when avg(value) < 23 then 'error' else 'ok' end as status from observations group by 1, 2)
+ select q.day, q.source, previous_known - current_known >= 3 and (previous_known - current_known) / common >= 0.3 as regressed, coalesce(o.status = 'ok' and n.status = 'error', false) as failed
+ from q left join t n on n.day = q.day and n.source = q.source left join t o on o.day + 1 = q.day and o.source = q.source""")
+def quality_alerts(spark, d):
+    """Alerts: a steep fall of known dates on the same notices, and a source that fails after it was well."""
+    return _regressions(spark, d).select("day", "source", "regressed", "failed")
+
+
+@query("""with old as (select o_orderkey as id, o_custkey % 5 as source, o_orderpriority as title, cast(o_orderdate as date) as due, lpad(cast(o_orderkey % 24 as varchar), 2, '0') || ':00' as due_clock from orders where o_orderkey % 3 <> 0),
+ raw as (select o_orderkey as id, o_custkey % 5 as source, case when o_orderkey % 5 = 0 then null else o_orderpriority end as title, case when o_orderkey % 7 = 0 then cast(o_orderdate as date) + 3 when o_orderkey % 7 = 1 then null else cast(o_orderdate as date) end as due,
+ case when o_orderkey % 2 = 0 then '23:59' end as due_clock, o_orderkey % 11 = 0 as ambiguous, 0 as nth from orders where o_orderkey % 4 <> 0),
+ batch as (select * from raw union all select id, source, 'again', due, due_clock, ambiguous, 1 from raw where id % 13 = 0), new as (select * from batch qualify row_number() over (partition by id order by nth desc) = 1),
+ m as (select coalesce(n.id, o.id) as id, coalesce(n.source, o.source) as source, coalesce(n.title, o.title) as title, case when n.id is null then o.due when n.ambiguous then null else coalesce(n.due, o.due) end as due,
+ case when n.id is null then o.due_clock when n.ambiguous then null when n.due is not null and n.due is distinct from o.due then n.due_clock else coalesce(n.due_clock, o.due_clock) end as due_clock, o.id is not null as known, n.id is not null as seen, o.title as t, o.due as d, o.due_clock as c from old o full join new n on o.id = n.id),
+ k as (select *, case when not seen then null when not known then case when source < 4 then 'new' else 'initial' end when title is distinct from t or due is distinct from d or due_clock is distinct from c then 'updated' end as change from m)
+ select id, source, title, due, due_clock, change, case when change = 'updated' then d end as old_due, case when change = 'updated' then due end as new_due,
+ case when known then timestamp '1998-01-01' else timestamp '1998-08-01' end as first_seen, case when seen then timestamp '1998-08-01' else timestamp '1998-01-01' end as last_seen, case when change is not null then timestamp '1998-08-01' else timestamp '1998-01-01' end as last_changed from k""")
+def upsert_rules(spark, d):
+    """A batch with repeated keys, missing values, new dates with and without clocks, and ambiguous rows, merged into the state."""
+    order = F.col("o_orderdate").cast("date")
+    rows = Tables(spark, d).orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("source"), F.col("o_orderpriority").alias("title"), order.alias("due"), F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":00")).alias("due_clock"))
+    then = F.lit("1998-01-01").cast("timestamp_ntz")
+    state = rows.where("id % 3 <> 0").select("*", *[then.alias(c) for c in ("first_seen", "last_seen", "last_changed")])
+    batch = rows.where("id % 4 <> 0").withColumns({
+        "title": F.when(F.col("id") % 5 != 0, F.col("title")), "due": F.when(F.col("id") % 7 == 0, F.date_add("due", 3)).when(F.col("id") % 7 != 1, F.col("due")),
+        "due_clock": F.when(F.col("id") % 2 == 0, "23:59"), "ambiguous": F.col("id") % 11 == 0, "nth": F.lit(0),
+    })
+    batch = batch.unionByName(batch.where("id % 13 = 0").withColumns({"title": F.lit("again"), "nth": F.lit(1)}))
+    rules = Rules("id", "source", ["source", "title", "due", "due_clock"], ["title", "due", "due_clock"], ["nth"], (("ambiguous", ["due", "due_clock"]),), (("due", "due_clock"),))
+    return merge(state, batch, rules, rows.where("source < 4").select("source"), F.lit("1998-08-01").cast("timestamp_ntz")).drop("old_due_clock", "new_due_clock")

@@ -4,19 +4,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import urls as U
 from ..operators.budget import fair_budget as take_fairly
+from ..operators.upsert import trimmed
 from ..tables import NOTICES_SQL, NOW, OBSERVATIONS_SQL, Tables, notices, observations
 from .timing import STATUS_SQL, with_status
 
-_HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
-
-
-@query(f"with k as (select page_id, {_HOST} as host, contains(url, '?') as odd from pages) select page_id, host, first_value(page_id) over w as primary_id, row_number() over w > 1 as duplicate from k window w as (partition by host order by odd, page_id)")
+@query("""with k as (select page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]utm_[a-z]+=[^&#]*', '', 'g') as address, contains(url, '?') as odd from pages)
+ select page_id, arg_min(page_id, (odd, page_id)) over (partition by address) as primary_id, page_id <> arg_min(page_id, (odd, page_id)) over (partition by address) as duplicate from k""")
 def dedupe_primary(spark, d):
-    """The plain address, then the oldest id, is the primary of a key; the others point to it."""
-    w = Window.partitionBy("host").orderBy(F.col("url").contains("?"), "page_id")
-    rows = Tables(spark, d).pages.withColumn("host", F.regexp_extract("url", "^https?://([^/?#]+)", 1))
-    return rows.select("page_id", "host", F.first("page_id").over(w).alias("primary_id"), (F.row_number().over(w) > 1).alias("duplicate"))
+    """Of the pages of one canonical address, the plain address, then the oldest id, is the primary; the others point to it."""
+    rows = Tables(spark, d).pages.select("page_id", U.canonical_url(F.col("url")).alias("address"), F.col("url").contains("?").alias("odd"))
+    first = rows.groupBy("address").agg(F.min_by("page_id", F.struct("odd", "page_id")).alias("primary_id"))
+    return rows.join(first, "address").select("page_id", "primary_id", (F.col("page_id") != F.col("primary_id")).alias("duplicate"))
 
 
 @query(f"with {NOTICES_SQL} select owner_id, id as winner from (select *, row_number() over (partition by owner_id order by priority = '1-URGENT' desc, deadline_time is not null desc, opened, id) as r from notices) where r = 1")
@@ -64,10 +64,11 @@ def _next_lines(docs):
     return lines.select("doc_id", (F.col("at") + 1).alias("n"), F.length("line").cast("long").alias("chars"), after.cast("long").alias("next_chars"))
 
 
-@query(f"with {OBSERVATIONS_SQL}, days as (select distinct source, day from observations) select source, day from (select *, row_number() over (partition by source order by day desc) as r from days) where r <= 14")
+@query(f"with {OBSERVATIONS_SQL} select distinct source, day from observations where day >= date '2024-01-28' - 14")
 def retention_trim(spark, d):
-    days = observations(Tables(spark, d)).select("source", "day").distinct()
-    return days.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("day")))).where("r <= 14").select("source", "day")
+    """Days that are at most fourteen days old at a given instant."""
+    days = observations(Tables(spark, d)).select("source", F.col("day").cast("timestamp_ntz").alias("at")).distinct()
+    return trimmed(days, "at", F.lit("2024-01-28 00:00:00").cast("timestamp_ntz"), 14).select("source", F.col("at").cast("date").alias("day"))
 
 
 _TIER = "case when status = 'closed' then 2 when deadline_time is null then 1 else 0 end"
