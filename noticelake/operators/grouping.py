@@ -2,57 +2,53 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import stored
 from .graph import components
 
-GROUPS = "id long, grp long, members long"
+MAX_ROUNDS = 20
 
 
-def _guarded(rows: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over the notices of one component, in birth order.
+def _settled(rows: DataFrame, fact: str, allowed: str, within: list[str]) -> DataFrame:
+    """rows with `fact` filled in where it is open, from the oldest notice that shares a key and the columns `within` and knows it.
 
-    Two notices that share a key are merged only if every pair across their clusters is compatible:
-    equal scope, and years that overlap or are not known.
+    `allowed` lists what a row may take; an empty list allows everything. Rows that learn a fact pass it on in the next round. Facts meet rows by key,
+    one row a (key, fact), so a key is never one group.
     """
-    rows = rows.sort_values(["first_seen", "id"], kind="stable", na_position="last").reset_index(drop=True)
-    scope = rows["scope"].tolist()
-    years = [set(y) if y is not None else set() for y in rows["years"]]
-    cluster = {i: [i] for i in range(len(rows))}
-    home = list(range(len(rows)))
-
-    def compatible(i: int, j: int) -> bool:
-        return scope[i] == scope[j] and (not years[i] or not years[j] or bool(years[i] & years[j]))
-
-    buckets: dict[str, list[int]] = {}
-    for i, keys in enumerate(rows["keys"]):
-        for key in keys:
-            buckets.setdefault(key, []).append(i)
-    for members in buckets.values():
-        for place, j in enumerate(members):
-            for i in members[:place]:
-                a, b = home[i], home[j]
-                if a != b and all(compatible(x, y) for x in cluster[a] for y in cluster[b]):
-                    low, high = min(a, b), max(a, b)
-                    cluster[low] += cluster.pop(high)
-                    for x in cluster[low]:
-                        home[x] = low
-    ids = rows["id"].tolist()
-    return pd.DataFrame([(ids[i], ids[home[i]], len(cluster[home[i]])) for i in range(len(rows))], columns=["id", "grp", "members"])
+    for _ in range(MAX_ROUNDS):
+        keyed = rows.select("id", "birth", fact, allowed, *within, F.explode("keys").alias("key"))
+        known = keyed.where(F.col(fact).isNotNull()).groupBy("key", *within, F.col(fact).alias("told")).agg(F.min("birth").alias("of"))
+        may = (F.size(allowed) == 0) | F.array_contains(allowed, F.col("told"))
+        learnt = keyed.where(F.col(fact).isNull()).join(known, ["key", *within]).where(may).groupBy("id").agg(F.min(F.struct("of", "told")).alias("best"))
+        learnt = stored(learnt.select("id", "best.told"), "group-facts")
+        if not learnt.limit(1).count():
+            return rows
+        rows = stored(rows.join(learnt, "id", "left").withColumn(fact, F.coalesce(fact, "told")).drop("told"), "group-rows")
+    raise RuntimeError(f"{fact} did not settle in {MAX_ROUNDS} rounds")
 
 
 def grouped(notices: DataFrame) -> DataFrame:
-    """(id, grp, members) of notices(id, first_seen, scope, years array, keys array); grp is the oldest member's id.
+    """(id, grp, members) of notices(id, first_seen, scope, years array, keys array[, official]); grp is the oldest member's id.
 
-    Notices of different scope are never merged, so what can be merged at all is found first: the
-    components of notices that share a key and a scope, computed in Spark on stars around each key. The
-    exact, order-dependent merge then runs inside one component at a time. A notice without keys is a
-    group of its own.
+    Notices belong together where they share a key and agree: equal scope, one year, and no two official ids. A notice that names no year, or
+    several, takes the year of the oldest notice that shares a key with it and fits; one without an official id takes that of the oldest that shares a key,
+    scope and year. After that agreement is equality, so groups are the components of notices that share a key and all three, found in Spark; there is no
+    order in which merging could matter. Notices that find no year are groups among themselves, by equal lists of years. A notice without keys is a group
+    of its own.
     """
-    keyed = notices.select("id", "scope", F.explode("keys").alias("key"))
-    first = keyed.groupBy("scope", "key").agg(F.min("id").alias("a"))
-    stars = keyed.join(first, ["scope", "key"]).select("a", F.col("id").alias("b"))
-    joined = notices.join(components(stars).withColumnRenamed("node", "id"), "id", "left")
-    return joined.withColumn("component", F.coalesce("component", "id")).groupBy("component").applyInPandas(_guarded, GROUPS)
+    official = F.col("official") if "official" in notices.columns else F.lit(None).cast("string")
+    years = F.coalesce("years", F.array().cast(notices.schema["years"].dataType))
+    rows = notices.select("id", "scope", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), F.struct(F.col("first_seen").isNull().alias("unseen"), "first_seen", "id").alias("birth"), F.array_sort(F.array_distinct(years)).alias("years"), official.alias("official"))
+    rows = rows.withColumns({"year": F.when(F.size("years") == 1, F.col("years")[0]), "any": F.array().cast("array<string>")})
+    rows = _settled(stored(rows, "group-rows"), "year", "years", ["scope"])
+    rows = rows.withColumn("era", F.when(F.col("year").isNotNull(), F.col("year").cast("string")).otherwise(F.concat_ws(",", F.lit("?"), F.col("years").cast("array<string>"))))
+    rows = _settled(rows, "official", "any", ["scope", "era"])
+    same: list[Column] = [F.col("scope"), F.col("era"), F.coalesce("official", F.lit("")).alias("official")]
+    keyed = rows.select("id", *same, F.explode("keys").alias("key"))
+    first = keyed.groupBy("scope", "era", "official", "key").agg(F.min("id").alias("a"))
+    edges = keyed.join(first, ["scope", "era", "official", "key"]).select("a", F.col("id").alias("b"))
+    joined = rows.select("id", "birth").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = joined.groupBy("component").agg(F.min("birth").alias("oldest"), F.count("*").alias("members"))
+    return joined.join(groups, "component").select("id", F.col("oldest.id").alias("grp"), "members")

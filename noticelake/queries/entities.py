@@ -48,7 +48,10 @@ def event_diff(spark, d):
     return found.select("event", F.when(F.col("base") == 0, "new").when(F.col("fresh") > 0, "updated").otherwise("old").alias("kind"), F.greatest(F.col("fresh") - 1, F.lit(0)).alias("reposts"), "extended")
 
 
-@query()
+@query(f"""with recursive {NOTICES_SQL}, n as (select id, opened, source_id % 2 as scope, year(deadline) as year, 'owner:' || owner_id || ':' || strftime(deadline, '%Y-%m') as k1, 'price:' || owner_id || ':' || cast(floor(price / 20000) as bigint) as k2 from notices),
+ keyed as (select id, scope, year, k1 as key from n union all select id, scope, year, k2 from n), stars as (select id, min(id) over (partition by scope, year, key) as star from keyed),
+ links as (select id as a, star as b from stars union select star, id from stars), reach(a, b) as (select id, id from n union select r.a, l.b from reach r join links l on r.b = l.a)
+ select a as id, arg_min(b, (n.opened, b)) as grp, count(*) as members from reach join n on b = n.id group by 1""")
 def event_groups(spark, d):
     """Guarded groups: notices share an owner and a month or an owner and a price class; track and year must agree."""
     keys = F.array(F.concat_ws(":", F.lit("owner"), "owner_id", F.date_format("deadline", "yyyy-MM")), F.concat_ws(":", F.lit("price"), "owner_id", F.floor(F.col("price") / 20000)))

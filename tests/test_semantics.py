@@ -111,6 +111,49 @@ def test_grouping_is_guarded_and_keeps_the_oldest(spark):
     assert found == {r["id"]: (r["grp"], r["members"]) for r in grouped(notices.repartition(3)).collect()}
 
 
+def test_grouping_by_official_ids_and_bridges(spark):
+    day = D(2026, 1, 1)
+    rows = [
+        (1, day, "", [2026], ["a"], "x"), (2, day, "", [2026], ["a"], "y"), (3, day, "", [2026], ["a", "b"], None),  # 3 goes with the oldest of its key
+        (4, day, "", [2026], ["b"], None), (5, day, "", [], ["b", "c"], None), (6, day, "", [2026], ["c"], None),  # 5 learns the year and bridges
+        (7, day, "", [], ["z"], None), (8, day, "", [], ["z"], None), (9, day, "", [2025, 2027], ["a"], None), (10, None, None, None, None, None),
+    ]
+    notices = spark.createDataFrame(rows, "id long, first_seen date, scope string, years array<int>, keys array<string>, official string")
+    found = {r["id"]: (r["grp"], r["members"]) for r in grouped(notices).collect()}
+    assert found == {1: (1, 5), 3: (1, 5), 4: (1, 5), 5: (1, 5), 6: (1, 5), 2: (2, 1), 7: (7, 2), 8: (7, 2), 9: (9, 1), 10: (10, 1)}
+    assert grouped(notices.limit(0)).count() == 0
+
+
+def test_merge_rules_case_by_case(spark):
+    from noticelake.operators.upsert import Rules, claimed, merge
+
+    schema = "id long, source string, title string, due date, clock string"
+    then, now = (F.lit(x).cast("timestamp_ntz") for x in ("2026-01-01", "2026-02-01"))
+    state = spark.createDataFrame([(1, "a", "one", D(2026, 3, 1), "18:00"), (2, "a", "two", D(2026, 3, 2), "09:00"), (3, "a", "three", D(2026, 3, 3), "10:00"), (4, "a", "four", None, None)], schema).select("*", *[then.alias(c) for c in ("first_seen", "last_seen", "last_changed")])
+    batch = spark.createDataFrame([(1, "a", None, D(2026, 3, 9), None, False, 1), (2, "a", "two", D(2026, 3, 2), None, False, 1), (3, "a", "three", None, None, True, 1), (5, "b", "old", None, None, False, 1), (5, "b", "five", None, None, False, 2)], schema + ", vague boolean, nth int")
+    rules = Rules("id", "source", ["source", "title", "due", "clock"], ["title", "due", "clock"], ["nth"], (("vague", ["due", "clock"]),), (("due", "clock"),))
+    found = {r["id"]: r for r in merge(state, batch, rules, spark.createDataFrame([("a",)], "source string"), now).collect()}
+    assert [found[i]["change"] for i in range(1, 6)] == ["updated", None, "updated", None, "initial"]
+    assert (found[1]["title"], found[1]["due"], found[1]["clock"], found[1]["old_due"], found[1]["new_due"]) == ("one", D(2026, 3, 9), None, D(2026, 3, 1), D(2026, 3, 9))
+    assert found[2]["clock"] == "09:00" and found[3]["due"] is None and found[3]["clock"] is None and found[5]["title"] == "five" and len(found) == 5
+    assert found[4]["last_seen"].month == 1 and found[2]["last_seen"].month == 2 and found[2]["last_changed"].month == 1 and found[5]["first_seen"].month == 2
+    wanted = spark.createDataFrame([("d1", 5), ("d1", 3), ("d2", 1)], "day string, run int")
+    given = claimed(spark.createDataFrame([("d2",)], "day string"), wanted, "day", ["run"])
+    assert [tuple(r) for r in given.collect()] == [("d1", 3)] and claimed(given, wanted, "day", ["run"]).where("day = 'd1'").count() == 0
+
+
+def test_status_of_a_day(spark):
+    from noticelake.plans.compare import status_of_day
+
+    days = spark.createDataFrame([(D(2026, 1, 1), "2026-01-01 12:00:00")], "day date, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    told = lambda today, at, now, then: tuple(status_of_day(days, spark.createDataFrame(now, "source string, status string"), spark.createDataFrame(then, "source string, status string"), F.lit(today).cast("date"), F.lit(at).cast("timestamp_ntz")).select("status", "partial").first())
+    ok = [("a", "ok"), ("b", "disabled")]
+    assert told("2026-01-02", "2026-01-02 09:00:00", ok, ok) == ("comparable", False)
+    assert told("2026-01-03", "2026-01-03 09:00:00", ok, [("a", "partial")]) == ("gap", True)
+    assert told("2026-01-03", "2026-01-02 09:00:00", ok, ok)[0] == "stale" and told("2026-01-01", "2026-01-01 09:00:00", ok, ok)[0] == "baseline"
+    assert told("2026-01-02", "2026-01-02 09:00:00", [("a", "error")], ok)[0] == "unobserved"
+
+
 def test_page_parsing():
     page = H.parsed('<html><title>T</title><body><a href="/x#f">Long link</a><del>2026. 1. 1.</del><script type="application/ld+json">{"@type": "Event", "name": "E"}</script><p>text')
     assert page.links == [("/x#f", "Long link")]
