@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import own_folder
+from ..operators.upsert import Rules, claimed, merge
+from ..workspace import own_folder, stored
 
 
 def _work(spark: SparkSession, label: str) -> str:
@@ -52,3 +53,56 @@ def day_buckets(events: DataFrame, hours_ahead: int) -> DataFrame:
     """Calendar-day counts in a fixed local time."""
     local = F.timestamp_add("HOUR", F.lit(hours_ahead), F.col("seen_at"))
     return events.groupBy(local.cast("date").alias("day")).agg(F.count("*").alias("n"))
+
+
+def _versions(spark: SparkSession, folder: str, before: int) -> list[int]:
+    """The numbers of the batches that were written whole, below `before`."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path) if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(name.removeprefix("v")) for name in names if name.startswith("v") and int(name.removeprefix("v")) < before)
+
+
+def claim_stream(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Claims (key, the other columns) of a stream, each key given once over all batches.
+
+    A batch reads the claims of earlier batches only and writes its own anew, so a replay gives the same claims again.
+    """
+    spark, work = stream.sparkSession, _work(stream.sparkSession, "claims")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        earlier = [f"{work}/claims/v{n}" for n in _versions(spark, f"{work}/claims", number)]
+        known = spark.read.schema(stream.schema).parquet(*earlier) if earlier else batch.limit(0)
+        claimed(known, batch, key, order).select(*stream.columns).write.mode("overwrite").parquet(f"{work}/claims/v{number}")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{work}/state").foreachBatch(apply).start().awaitTermination()
+    written = [f"{work}/claims/v{n}" for n in _versions(spark, f"{work}/claims", 1 << 62)]
+    return spark.read.schema(stream.schema).parquet(*written) if written else spark.createDataFrame([], stream.schema)
+
+
+def merge_stream(stream: DataFrame, rules: Rules, initialised: DataFrame, at: Column) -> tuple[DataFrame | None, DataFrame | None]:
+    """(state, log of changes) of a stream of batches merged by the rules of `merge`.
+
+    Version n of the state is made of version n - 1 and batch n, so a replay writes the same version again.
+    """
+    spark, work = stream.sparkSession, _work(stream.sparkSession, "merged")
+    stamps = ["first_seen", "last_seen", "last_changed"]
+
+    def apply(batch: DataFrame, number: int) -> None:
+        earlier = _versions(spark, f"{work}/state", number)
+        never = F.lit(None).cast("timestamp_ntz")
+        old = spark.read.parquet(f"{work}/state/v{earlier[-1]}") if earlier else batch.limit(0).select(rules.key, *rules.columns, *[never.alias(c) for c in stamps])
+        merged = stored(merge(old, batch, rules, initialised, at), "merged-batch")
+        merged.where("change is not null").write.mode("overwrite").parquet(f"{work}/log/v{number}")
+        merged.select(rules.key, *rules.columns, *stamps).write.mode("overwrite").parquet(f"{work}/state/v{number}")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{work}/checkpoint").foreachBatch(apply).start().awaitTermination()
+    versions = _versions(spark, f"{work}/state", 1 << 62)
+    return (spark.read.parquet(f"{work}/state/v{versions[-1]}"), spark.read.parquet(*[f"{work}/log/v{n}" for n in versions])) if versions else (None, None)
+
+
+def within(events: DataFrame, key: str, at: str, days: int) -> DataFrame:
+    """The first row of each key; the state of a key expires when no row of it came for so many days."""
+    return events.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark([key])

@@ -154,6 +154,23 @@ def test_status_of_a_day(spark):
     assert told("2026-01-02", "2026-01-02 09:00:00", [("a", "error")], ok)[0] == "unobserved"
 
 
+def test_streams_of_several_batches(spark, tmp_path):
+    from noticelake.operators.upsert import Rules
+    from noticelake.streaming import twins as S
+
+    schema = "id long, source string, title string"
+    for n, rows in enumerate([[(1, "a", "one"), (2, "a", "two")], [(1, "a", "ONE"), (3, "b", "three")], [(2, "a", None), (1, "a", "ONE")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    ready, now = spark.createDataFrame([("a",)], "source string"), F.lit("2026-01-01").cast("timestamp_ntz")
+    state, log = S.merge_stream(stream(), Rules("id", "source", ["source", "title"], ["title"]), ready, now)
+    assert {r["id"]: r["title"] for r in state.collect()}.keys() == {1, 2, 3} and state.where("id = 2").first()["title"] == "two"
+    kinds = sorted((r["id"], r["change"]) for r in log.collect())
+    assert {k for k in kinds if k[1] in ("new", "initial")} == {(1, "new"), (2, "new"), (3, "initial")} and len([k for k in kinds if k[1] != "updated"]) == 3
+    claims = S.claim_stream(stream(), "id", ["title"]).collect()
+    assert sorted(r["id"] for r in claims) == [1, 2, 3]
+
+
 def test_page_parsing():
     page = H.parsed('<html><title>T</title><body><a href="/x#f">Long link</a><del>2026. 1. 1.</del><script type="application/ld+json">{"@type": "Event", "name": "E"}</script><p>text')
     assert page.links == [("/x#f", "Long link")]
