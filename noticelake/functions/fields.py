@@ -102,7 +102,7 @@ def registration(found: Column, year: Column) -> Column:
             how = F.when(F.coalesce(pair, F.lit(False)), "period").when(single, side).otherwise("open")
             return F.struct(how.alias("how"), F.try_element_at(days, F.lit(1)).alias("a"), F.try_element_at(days, F.lit(2)).alias("b"))
 
-        return let(M.date_tokens(e["value"], year), told)
+        return let(M.plain_date_tokens(e["value"], year), told)
 
     def sides(parts: Column) -> Column:
         of = lambda how: F.array_distinct(F.filter(parts, lambda x: x["how"] == how))
@@ -132,7 +132,7 @@ def registration_clocks(found: Column, year: Column) -> Column:
         def clocks(x: Column) -> Column:
             return F.struct(x["days"].alias("days"), x["gaps"].alias("gaps"), M.clock_of(F.try_element_at(x["gaps"], F.lit(2))).alias("first"), M.clock_of(F.try_element_at(x["gaps"], F.lit(3))).alias("second"))
 
-        return let(let(F.struct(M.date_tokens(e["value"], year).alias("days"), F.split(normalize(e["value"]), M.TOKEN, -1).alias("gaps")), clocks), told)
+        return let(let(F.struct(M.plain_date_tokens(e["value"], year).alias("days"), F.split(e["value"], M.TOKEN, -1).alias("gaps")), clocks), told)
 
     def sides(parts: Column) -> Column:
         of = lambda name: F.array_distinct(F.array_compact(F.transform(parts, lambda x: x[name])))
@@ -155,7 +155,7 @@ def title_registration(title: Column) -> Column:
         return F.struct(M.only_year(plain).alias("year"), tail.alias("tail"), F.trim(F.regexp_substr(tail, F.lit(rf"(?:{day})?\s*[~～∼]\s*(?:{day})"))).alias("evidence"))
 
     def window(x: Column) -> Column:
-        own = registration(entries(F.concat(F.lit("접수기간: "), F.coalesce(x["evidence"], F.lit("")))), x["year"])
+        own = registration(F.array(F.struct(F.lit("registration").alias("kind"), F.lit("접수기간").alias("label"), F.coalesce(x["evidence"], F.lit("")).alias("value"))), x["year"])
         usable = x["year"].isNotNull() & x["evidence"].isNotNull() & ~x["tail"].rlike(P.OTHER_PERIOD)
         return let(own, lambda w: F.when(usable & w["ends"].isNotNull(), F.struct(w["starts"].alias("starts"), w["ends"].alias("ends"), x["evidence"].alias("evidence"))))
 
@@ -176,10 +176,10 @@ def milestones(text: Column, title: Column) -> Column:
         return F.struct(x["line"].alias("line"), label(x["line"]).alias("label"), F.when(body.rlike(r"\d"), body).otherwise(F.concat_ws(" ", body, x["after"])).alias("body"))
 
     def read(x: Column) -> Column:
-        days = F.array_distinct(F.array_compact(M.date_tokens(x["body"], year)))
+        days = F.array_distinct(F.array_compact(M.plain_date_tokens(x["body"], year)))
         day = let(days, lambda d: F.when(F.size(d) == 1, d[0].cast("string")))
         clock = F.regexp_substr(x["body"], F.lit(r"(?<!\d)(?:[01]?\d|2[0-3]):[0-5]\d(?!\d)"))
         return F.struct(F.when(x["label"].contains("제출"), "submission").otherwise("event").alias("kind"), x["label"].alias("label"), day.alias("day"), clock.alias("clock"), F.left(x["line"], F.lit(350)).alias("evidence"))
 
-    found = F.transform(F.transform(let(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), paired), bodied), read)
+    found = F.transform(F.transform(let(F.split(normalize(F.coalesce(text, F.lit(""))), r"\r\n|[\n\r]"), paired), bodied), read)
     return F.slice(F.array_distinct(F.filter(found, lambda x: x["day"].isNotNull())), 1, 12)

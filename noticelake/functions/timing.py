@@ -74,6 +74,11 @@ def only_year(text: Column) -> Column:
 
 def date_tokens(text: Column, year: Column) -> Column:
     """The dates of a text in order, null where one is impossible. Dates without a year take the only year of the other dates, else `year`; with neither they are no dates."""
+    return plain_date_tokens(normalize(text), year)
+
+
+def plain_date_tokens(text: Column, year: Column) -> Column:
+    """date_tokens of a text that is normalised already."""
     full = lambda x: x.rlike(r"^20\d{2}\s*[.\-/년]")
     short = lambda x, i: F.regexp_extract(x, r"^(\d+)\D+(\d+)", i)
 
@@ -82,7 +87,7 @@ def date_tokens(text: Column, year: Column) -> Column:
         own = let(years, lambda y: F.when(F.size(y) == 1, y[0]).otherwise(year.cast("string")))
         return let(own, lambda y: F.transform(F.filter(tokens, lambda x: full(x) | y.isNotNull()), lambda x: F.when(full(x), _full_day(x)).otherwise(_iso_day(y, short(x, 1), short(x, 2)))))
 
-    return let(F.regexp_extract_all(normalize(text), F.lit(TOKEN), F.lit(0)), dated)
+    return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), dated)
 
 
 def date_range(days: Column) -> Column:

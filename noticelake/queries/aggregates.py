@@ -43,9 +43,11 @@ def quality_totals(spark, d):
     return notices(Tables(spark, d)).agg(F.count("*").alias("total"), F.count("deadline_time").alias("known"), F.count_if(F.col("platform_status") == "closed").alias("closed"))
 
 
-@query(f"with {OBSERVATIONS_SQL} select day, source, count(*) as items, count(*) filter (where value > 20) as known, array_to_string(list_sort(list_distinct(list(notice))), ',') as ids from observations group by 1, 2")
+@query(f"with {OBSERVATIONS_SQL} select day, source, count(*) as items, count(*) filter (where value > 20) as known, count(distinct notice) as notices, min(notice) as first_notice, max(notice) as last_notice from observations group by 1, 2")
 def quality_sample(spark, d):
-    return observations(Tables(spark, d)).groupBy("day", "source").agg(F.count("*").alias("items"), F.count_if(F.col("value") > 20).alias("known"), F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("ids"))
+    """What a day shows of each source; the notices themselves stay rows (see plans.compare.regressions)."""
+    rows = observations(Tables(spark, d)).groupBy("day", "source")
+    return rows.agg(F.count("*").alias("items"), F.count_if(F.col("value") > 20).alias("known"), F.count_distinct("notice").alias("notices"), F.min("notice").alias("first_notice"), F.max("notice").alias("last_notice"))
 
 
 @query(f"""with {OBSERVATIONS_SQL}, s as (select day, source, count(*) as n from observations group by 1, 2)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import urls as U
 from ..operators.budget import fair_budget as take_fairly
+from ..operators.ranks import ranked
 from ..operators.upsert import trimmed
 from ..tables import NOTICES_SQL, NOW, OBSERVATIONS_SQL, Tables, notices, observations
 from .timing import STATUS_SQL, with_status
@@ -79,15 +80,18 @@ def deadline_order(spark, d):
     """Rank of each source's notices: dated ones first (farthest first), then unknown, then closed."""
     rows = with_status(notices(Tables(spark, d)))
     tier = F.when(F.col("status") == "closed", 2).when(F.col("deadline_time").isNull(), 1).otherwise(0)
-    w = Window.partitionBy("source_id").orderBy("tier", F.desc("deadline"), F.desc(F.col("deadline_time").isNotNull()), F.desc_nulls_last("deadline_time"), "title")
-    return rows.withColumn("tier", tier).select("id", "tier", F.row_number().over(w).alias("place"))
+    order = [F.col("tier"), F.desc("deadline"), F.desc("clocked"), F.desc_nulls_last("deadline_time"), F.col("title")]
+    rows = rows.select("id", "source_id", "deadline", "deadline_time", "title", tier.alias("tier"), F.col("deadline_time").isNotNull().alias("clocked"))
+    return ranked(rows, "source_id", order, "place").select("id", "tier", "place")
 
 
 @query(f"""with {NOTICES_SQL} select id, row_number() over (partition by owner_id order by deadline, id) as remaining, row_number() over (partition by owner_id order by deadline desc, id) as deadline_rank,
  row_number() over (partition by owner_id order by opened desc, title collate nocase, id) as newest from notices""")
 def three_sort_modes(spark, d):
-    place = lambda *by: F.row_number().over(Window.partitionBy("owner_id").orderBy(*by))
-    return notices(Tables(spark, d)).select("id", place("deadline", "id").alias("remaining"), place(F.desc("deadline"), "id").alias("deadline_rank"), place(F.desc("opened"), F.lower("title"), "id").alias("newest"))
+    rows = notices(Tables(spark, d)).select("id", "owner_id", "deadline", "opened", F.lower("title").alias("name"))
+    for name, order in (("remaining", [F.col("deadline")]), ("deadline_rank", [F.desc("deadline")]), ("newest", [F.desc("opened"), F.col("name")])):
+        rows = ranked(rows, "owner_id", [*order, F.col("id")], name)
+    return rows.select("id", "remaining", "deadline_rank", "newest")
 
 
 @query(f"with {NOTICES_SQL}, s as (select *, {STATUS_SQL} as status from notices) select id, deadline from s where status <> 'closed' order by deadline, id limit 100")
