@@ -171,6 +171,24 @@ def test_streams_of_several_batches(spark, tmp_path):
     assert sorted(r["id"] for r in claims) == [1, 2, 3]
 
 
+def test_policy_of_a_state(spark):
+    from noticelake.plans import policy
+
+    sources = spark.createDataFrame([("inha", "https://www.inha.ac.kr/x", "k2web", True, "contest"), ("ds", "https://ds.inha.ac.kr/", "k2web", None, "contest"), ("dacon", "https://dacon.io/", "dacon", True, "contest"), ("cp", "https://campuspick.com", "campuspick", False, "contest")], "id string, url string, kind string, enabled boolean, mode string")
+    told = {r["id"]: (r["enabled"], r["mode"]) for r in policy.effective_sources(sources).collect()}
+    assert told == {"inha": (False, "candidate"), "ds": (True, "candidate"), "dacon": (True, "candidate_platform"), "cp": (False, "ai_platform")}
+    assert {r["id"]: (r["enabled"], r["mode"]) for r in policy.effective_sources(sources, strict=False, with_main=True).collect()}["inha"] == (True, "contest")
+    schema = "id string, source string, url string, first_seen date, detail_title string, listing_title string, title string, organizer string, benefits string, schedule string, summary string, body string, checked boolean"
+    rows = [
+        ("1", "ds", "https://e.org/a?utm_source=x", D(2026, 1, 1), "공지사항", "AI 공모전 2026", "x", "측 안내", None, None, None, None, False), ("2", "ds", "https://e.org/a", D(2026, 1, 2), None, None, "인공지능 대회", "가나", None, None, None, None, False),
+        ("3", "cp", "https://e.org/c", D(2026, 1, 1), None, None, "AI 대회", None, None, None, None, None, False), ("4", "ds", "bad", None, None, None, "요리 대회", None, None, None, None, "요리", True), ("5", "ds", None, None, None, None, None, None, None, None, None, None, None),
+    ]
+    found = {r["id"]: r for r in policy.applied(spark.createDataFrame(rows, schema), policy.effective_sources(sources)).collect()}
+    assert found["1"]["duplicate_of"] == "2" and found["1"]["title"] == "AI 공모전 2026" and found["1"]["organizer"] is None and found["2"]["duplicate_of"] is None
+    assert [found[i]["relevance"] for i in "12345"] == ["included", "included", "excluded", "excluded", "pending"]
+    assert [r["id"] for r in policy.visible(policy.applied(spark.createDataFrame(rows, schema), sources)).collect()] == ["2"]
+
+
 def test_page_parsing():
     page = H.parsed('<html><title>T</title><body><a href="/x#f">Long link</a><del>2026. 1. 1.</del><script type="application/ld+json">{"@type": "Event", "name": "E"}</script><p>text')
     assert page.links == [("/x#f", "Long link")]
