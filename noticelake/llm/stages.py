@@ -1,7 +1,9 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) -> documents.
 
 Each stage works on every row that it is given; all but the last return the columns of documents.
-Null and empty texts pass every filter.
+Null and empty texts pass every filter; texts of any length are read whole; repeated rows are one document for the
+near-duplicate stage and rows of their own for the others; an empty table stays empty; other columns are carried whatever their names,
+but the last stage replaces those named like its results.
 """
 
 from __future__ import annotations
