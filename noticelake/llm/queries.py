@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, katz, language, licenses, mixing, neardup, pii, pivots, sharding, toxicity
+from . import decontamination, katz, language, licenses, merkle, mixing, neardup, pii, pivots, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    return merkle.verified(docs, held_out(7, 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -118,5 +123,43 @@ _PIVOTS_SQL = f"""with recursive v as (select vec_id, label, embedding::double[]
  select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c on vec_id = c.a left join n on vec_id = n.a"""
 
 
+def _merkle_sql() -> str:
+    """Both trees level by level; a document's siblings are found by its place, and its root is folded along its way."""
+
+    def framed(x: str) -> str:
+        return f"case when {x} is null then '-' else strlen({x}::varchar) || ':' || {x}::varchar end"
+
+    def leaf(n_chars: str) -> str:
+        return "sha256(" + " || ".join(f"({framed(n_chars if f == 'n_chars' else f)})" for f in merkle.FIELDS) + ")"
+
+    bits = "flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "case when b >= 0 then xor(a, b) else xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end) end"
+    crc = f"xor(list_reduce({bits}, lambda a, b: {step}, 4294967295::bigint), 4294967295)"
+
+    def up(source: str) -> str:
+        """Levels of the trees of a source(tree, place, n, digest)."""
+        return f"""select tree, 0 as lvl, place, n, digest from {source} union all
+ select tree, lvl + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by place)) from {source}_nodes where n > 1 group by tree, lvl, place // 2, n"""
+
+    def walk(source: str, start: str) -> str:
+        """A node's way up: its level, its place there, the siblings so far and what it folds to."""
+        turned = "sha256(case when w.place % 2 = 1 then coalesce(s.digest, '') || w.node else w.node || coalesce(s.digest, '') end)"
+        return f"""{start} union all
+ select w.id, w.tree, w.lvl + 1, w.place // 2, (w.n + 1) // 2, w.proof || coalesce(s.digest, ''), {turned}
+ from {source}_walk w left join {source}_nodes s on s.tree = w.tree and s.lvl = w.lvl and s.place = xor(w.place, 1) where w.n > 1"""
+
+    return f"""with recursive base as (select doc_id, row_number() over () as id, case when lang is null then '-' else ':' || lang end as tree, {leaf("n_chars")} as digest,
+ {leaf(f"(n_chars + case when coalesce({crc} % 7 = 0, false) then 1 else 0 end)")} as changed from documents),
+ low as (select *, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as place, count(*) over (partition by tree) as n from base),
+ low_nodes(tree, lvl, place, n, digest) as ({up("low")}),
+ high as (select '' as tree, tree as name, digest, row_number() over (order by tree) - 1 as place, count(*) over () as n from low_nodes where n = 1),
+ high_nodes(tree, lvl, place, n, digest) as ({up("high")}),
+ low_walk(id, tree, lvl, place, n, proof, node) as ({walk("low", "select id, tree, 0, place, n, '', changed from low")}),
+ high_walk(id, tree, lvl, place, n, proof, node) as ({walk("high", "select w.id, '', 0, h.place, h.n, w.proof, w.node from low_walk w join high h on h.name = w.tree where w.n = 1")}),
+ top as (select digest as root from high_nodes where n = 1)
+ select l.doc_id, l.digest as leaf, h.digest as subroot, root, sha256(w.proof) as proof_sha256, w.node as folded_root, w.node = root as verified
+ from low l join high h on h.name = l.tree join high_walk w on w.id = l.id and w.n = 1, top"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_pivots": _PIVOTS_SQL, "op10_licenses": _licence_sql()}
+    return {"op6_pivots": _PIVOTS_SQL, "op10_licenses": _licence_sql(), "op13_merkle": _merkle_sql()}
