@@ -47,9 +47,9 @@ class ByteVocabulary:
         """Ids of a text; strings of special tokens are those tokens."""
         return np.asarray(self.encoding.encode_to_numpy(text, allowed_special=self.special), dtype=np.uint32)
 
-    def plain_ids(self, text: str) -> list[int]:
+    def plain_ids(self, text: str) -> np.ndarray:
         """Ids of a text in which strings of special tokens are plain text."""
-        return self.encoding.encode_ordinary(text)
+        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), dtype=np.int64)
 
 
 class PieceVocabulary:
