@@ -1,54 +1,121 @@
-"""Guarded grouping: notices of one real event."""
+"""Guarded grouping: notices of one real event.
+
+Notices that share a key are merged, oldest first, unless some pair of the two groups disagrees: other rounds or tracks (scope), lists of years without a common
+year, or two official ids. Whether a pair was merged decides what may be merged later, so the order is part of the rule: buckets of a key in the order in
+which keys first appear, notices of a bucket by (first_seen, id), each against the groups before it. A notice that is not yet with a group of the bucket
+joins the first that agrees with it; the groups of a bucket disagree with each other, so it joins no second one.
+
+That is one decision after the other, but few notices take part in any. They are first contracted where the rule leaves no choice:
+
+* keys that one notice has alone merge nothing;
+* notices of one scope, list of years, official id and set of keys always end together: the younger meets what the older has met;
+* notices with one year and an official id (or where everything that keys connect has at most one official id) always end together if they share a
+  key: whatever has joined one of them has that year and id, or leaves them open.
+
+What remains is a table of classes by key, decided by component of keys, one group of `applyInPandas` each. Its size follows the different facts and key sets of a component,
+not its notices: a key of a million equal notices is one row.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import stored
+from ..workspace import discard, stored
 from .graph import components
 
-MAX_ROUNDS = 20
+_BIRTH = ["unseen", "first_seen", "id"]
 
 
-def _settled(rows: DataFrame, fact: str, allowed: str, within: list[str]) -> DataFrame:
-    """rows with `fact` filled in where it is open, from the oldest notice that shares a key and the columns `within` and knows it.
+def _linked(tokens: DataFrame, by: list[str]) -> DataFrame:
+    """(node, component) of nodes(node, ...) that have all columns `by` in common, directly or through others."""
+    first = tokens.groupBy(*by).agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return components(tokens.join(first, by).select("a", F.col("node").alias("b")))
 
-    `allowed` lists what a row may take; an empty list allows everything. Rows that learn a fact pass it on in the next round. Facts meet rows by key,
-    one row a (key, fact), so a key is never one group.
-    """
-    for _ in range(MAX_ROUNDS):
-        keyed = rows.select("id", "birth", fact, allowed, *within, F.explode("keys").alias("key"))
-        known = keyed.where(F.col(fact).isNotNull()).groupBy("key", *within, F.col(fact).alias("told")).agg(F.min("birth").alias("of"))
-        may = (F.size(allowed) == 0) | F.array_contains(allowed, F.col("told"))
-        learnt = keyed.where(F.col(fact).isNull()).join(known, ["key", *within]).where(may).groupBy("id").agg(F.min(F.struct("of", "told")).alias("best"))
-        learnt = stored(learnt.select("id", "best.told"), "group-facts")
-        if not learnt.limit(1).count():
-            return rows
-        rows = stored(rows.join(learnt, "id", "left").withColumn(fact, F.coalesce(fact, "told")).drop("told"), "group-rows")
-    raise RuntimeError(f"{fact} did not settle in {MAX_ROUNDS} rounds")
+
+def _agree(a: tuple[set, str | None], b: tuple[set, str | None]) -> bool:
+    """Whether all pairs of two groups agree, from their different lists of years and official id."""
+    if a[1] is not None and b[1] is not None and a[1] != b[1]:
+        return False
+    return all(x & y for x in a[0] for y in b[0])
+
+
+def _decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Groups of one component from rows(node, years, official, key, order of the bucket, order inside it)."""
+    rows = rows.sort_values(["key_unseen", "key_first_seen", "key_id", "key_pos", "key", *_BIRTH], kind="stable")
+    into: dict[int, int] = {}
+    facts: dict[int, tuple[set, str | None]] = {}
+    for node, years, official in zip(rows["node"], rows["years"], rows["official"]):
+        into[node] = node
+        facts[node] = {frozenset(years)} if len(years) else set(), official if isinstance(official, str) else None
+
+    def root(x: int) -> int:
+        while into[x] != x:
+            into[x] = into[into[x]]
+            x = into[x]
+        return x
+
+    bucket, groups = None, []
+    for token, node in zip(rows["key"], rows["node"]):
+        if token != bucket:
+            bucket, groups = token, []
+        mine = root(node)
+        groups = [root(g) for g in groups]
+        if mine in groups:
+            continue
+        for i, other in enumerate(groups):
+            if _agree(facts[mine], facts[other]):
+                into[mine] = other
+                facts[other] = facts[other][0] | facts[mine][0], facts[other][1] if facts[other][1] is not None else facts[mine][1]
+                break
+        else:
+            groups.append(mine)
+    nodes = list(into)
+    return pd.DataFrame({"node": nodes, "cluster": [root(x) for x in nodes]}, dtype="int64")
 
 
 def grouped(notices: DataFrame) -> DataFrame:
     """(id, grp, members) of notices(id, first_seen, scope, years array, keys array[, official]); grp is the oldest member's id.
 
-    Notices belong together where they share a key and agree: equal scope, one year, and no two official ids. A notice that names no year, or
-    several, takes the year of the oldest notice that shares a key with it and fits; one without an official id takes that of the oldest that shares a key,
-    scope and year. After that agreement is equality, so groups are the components of notices that share a key and all three, found in Spark; there is no
-    order in which merging could matter. Notices that find no year are groups among themselves, by equal lists of years. A notice without keys is a group
-    of its own.
+    ids are of any type that can be ordered and tell notices apart; an official id that is only a link to a page is no official id and should be null; a null or empty list
+    of years agrees with every list; a null scope is an empty one; a notice without keys is a group of its own; null first_seen comes last; an empty table gives
+    an empty result.
     """
-    official = F.col("official") if "official" in notices.columns else F.lit(None).cast("string")
-    years = F.coalesce("years", F.array().cast(notices.schema["years"].dataType))
-    rows = notices.select("id", "scope", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), F.struct(F.col("first_seen").isNull().alias("unseen"), "first_seen", "id").alias("birth"), F.array_sort(F.array_distinct(years)).alias("years"), official.alias("official"))
-    rows = rows.withColumns({"year": F.when(F.size("years") == 1, F.col("years")[0]), "any": F.array().cast("array<string>")})
-    rows = _settled(stored(rows, "group-rows"), "year", "years", ["scope"])
-    rows = rows.withColumn("era", F.when(F.col("year").isNotNull(), F.col("year").cast("string")).otherwise(F.concat_ws(",", F.lit("?"), F.col("years").cast("array<string>"))))
-    rows = _settled(rows, "official", "any", ["scope", "era"])
-    same: list[Column] = [F.col("scope"), F.col("era"), F.coalesce("official", F.lit("")).alias("official")]
-    keyed = rows.select("id", *same, F.explode("keys").alias("key"))
-    first = keyed.groupBy("scope", "era", "official", "key").agg(F.min("id").alias("a"))
-    edges = keyed.join(first, ["scope", "era", "official", "key"]).select("a", F.col("id").alias("b"))
-    joined = rows.select("id", "birth").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = joined.groupBy("component").agg(F.min("birth").alias("oldest"), F.count("*").alias("members"))
-    return joined.join(groups, "component").select("id", F.col("oldest.id").alias("grp"), "members")
+    official = F.col("official").cast("string") if "official" in notices.columns else F.lit(None).cast("string")
+    text_list = lambda name: F.array_distinct(F.filter(F.coalesce(F.col(name).cast("array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    rows = notices.select(
+        "id", F.col("first_seen").isNull().alias("unseen"), "first_seen", F.coalesce(F.col("scope").cast("string"), F.lit("")).alias("scope"),
+        F.array_sort(text_list("years")).alias("years"), official.alias("official"), text_list("keys").alias("keys"),
+    )
+    rows = stored(rows.withColumn("node", F.monotonically_increasing_id()), "group-rows")
+    birth: Column = F.struct(*_BIRTH)
+    tokens = rows.select("node", "scope", *_BIRTH, "years", "official", F.posexplode("keys").alias("pos", "key"))
+    held = stored(tokens.groupBy("scope", "key").agg(F.count("*").alias("sharers"), F.min(F.struct(*_BIRTH, "pos")).alias("opened")), "group-keys")
+    opened = held.groupBy("key").agg(F.min("opened").alias("opened"))  # a bucket's turn is that of its key, whichever scope has it first
+    buckets = held.where("sharers > 1").select("scope", "key").join(opened, "key")
+    placed = stored(tokens.join(buckets, ["scope", "key"]), "group-tokens")
+    # a component is what keys of one scope connect; officials that all agree there are as good as none
+    connected = stored(_linked(placed.select("node", "scope", "key"), ["scope", "key"]), "group-connected")
+    tokens = placed.join(connected, "node")
+    known = tokens.groupBy("component").agg(F.min("official").alias("low"), F.max("official").alias("high"))
+    alike = F.coalesce(F.col("low") == F.col("high"), F.lit(True))
+    tokens = tokens.join(known, "component").withColumn("official", F.when(~alike, F.col("official")))
+    settled = (F.size("years") == 1) & (F.col("official").isNotNull() | alike)
+    settled_tokens = tokens = stored(tokens.withColumn("settled", settled).drop("low", "high"), "group-tokens")
+    sure = _linked(tokens.where("settled").select("node", "key", "component", "years", F.coalesce("official", F.lit("")).alias("official")), ["component", "key", "years", "official"])
+    twins = tokens.where("not settled").groupBy("node", "component", "years", F.coalesce("official", F.lit("")).alias("official")).agg(F.array_sort(F.collect_list("key")).alias("held"))
+    eldest = twins.groupBy("component", "years", "official", "held").agg(F.min("node").alias("class"))
+    same = twins.join(eldest, ["component", "years", "official", "held"]).select("node", "class")
+    classes = stored(sure.select("node", F.col("component").alias("class")).unionByName(same), "group-classes")
+    tokens = tokens.join(classes, "node", "left").withColumn("node", F.coalesce("class", "node"))
+    # one row a class and key, at the place of its oldest notice there; keys that one class has alone are done
+    places = stored(tokens.groupBy("component", "node", "years", "official", "key", "opened").agg(F.min(birth).alias("born")), "group-places")
+    open_keys = places.groupBy("component", "key").agg(F.count("*").alias("holders")).where("holders > 1").drop("holders")
+    left = places.join(open_keys, ["component", "key"], "left_semi").select("component", "node", "years", "official", "key", "born.*", *[F.col(f"opened.{n}").alias(f"key_{n}") for n in (*_BIRTH, "pos")])
+    decided = stored(left.groupBy("component").applyInPandas(_decide, "node long, cluster long"), "group-decided")
+    out = rows.select("id", *_BIRTH, "node").join(classes, "node", "left").withColumn("node", F.coalesce("class", "node"))
+    out = stored(out.join(decided, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")).select("cluster", "id", *_BIRTH[:2]), "group-clusters")
+    discard(rows, held, placed, connected, settled_tokens, classes, places, decided)
+    groups = out.groupBy("cluster").agg(F.min(birth)["id"].alias("grp"), F.count("*").alias("members"))
+    return out.join(groups, "cluster").select("id", "grp", "members")

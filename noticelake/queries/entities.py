@@ -57,3 +57,20 @@ def event_groups(spark, d):
     keys = F.array(F.concat_ws(":", F.lit("owner"), "owner_id", F.date_format("deadline", "yyyy-MM")), F.concat_ws(":", F.lit("price"), "owner_id", F.floor(F.col("price") / 20000)))
     rows = notices(Tables(spark, d))
     return grouped(rows.select("id", F.col("opened").alias("first_seen"), (F.col("source_id") % 2).alias("scope"), F.array(F.year("deadline")).alias("years"), keys.alias("keys")))
+
+
+@query("""with recursive n as (select l_orderkey as o, row_number() over (partition by l_orderkey order by l_shipdate, l_orderkey || '-' || l_linenumber) as i, l_orderkey || '-' || l_linenumber as id,
+ case when l_linenumber % 3 = 0 then [] else list_distinct([year(l_shipdate) - l_linenumber % 4, year(l_shipdate) + l_suppkey % 2]) end as years, case when l_partkey % 5 = 0 then l_suppkey % 2 end as official from lineitem),
+ b as (select o, list(id order by i) as ids, list(years order by i) as years, list(official order by i) as officials, count(*) as n from n group by 1),
+ g(o, i, own) as (select o, 0, []::bigint[] from b union all
+ select g.o, g.i + 1, list_append(own, coalesce(list_filter(range(1, g.i + 1), lambda c: own[c] = c and len(list_filter(range(1, g.i + 1), lambda j: own[j] = c and not
+   ((len(b.years[j]) = 0 or len(b.years[g.i + 1]) = 0 or list_has_any(b.years[j], b.years[g.i + 1])) and coalesce(b.officials[j] = b.officials[g.i + 1], true)))) = 0)[1], g.i + 1)) from g join b on g.o = b.o where g.i < b.n)
+ select unnest(ids) as id, unnest(list_transform(own, lambda c: ids[c])) as grp, unnest(list_transform(own, lambda c: len(list_filter(own, lambda x: x = c)))) as members from g join b on g.o = b.o where g.i = b.n""")
+def event_groups_open(spark, d):
+    """Guarded groups where notices name several years, or none, and some an official id: the lines of an order share a key."""
+    ship = F.col("l_shipdate")
+    named = F.array_distinct(F.array(F.year(ship) - F.col("l_linenumber") % 4, F.year(ship) + F.col("l_suppkey") % 2))
+    years = F.when(F.col("l_linenumber") % 3 == 0, F.array().cast("array<int>")).otherwise(named.cast("array<int>"))
+    official = F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey") % 2)
+    lines = Tables(spark, d).lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), ship.alias("first_seen"), F.lit("").alias("scope"), years.alias("years"), official.alias("official"), F.array(F.col("l_orderkey").cast("string")).alias("keys"))
+    return grouped(lines)
