@@ -49,9 +49,19 @@ def _value(kind: Column, label: Column, raw: Column) -> Column:
 
 def entries(text: Column) -> Column:
     """array<struct<kind, label, value>> of a text's labelled fields, in order."""
-    plain = F.regexp_replace(normalize(F.coalesce(text, F.lit(""))), r"[\[【]([^\]\n】]{1,40})[\]】]", " $1 ")
-    cut = let(plain, lambda x: F.struct(F.regexp_extract_all(x, F.lit(LABEL), F.lit(0)).alias("labels"), F.split(x, LABEL, -1).alias("gaps")))
-    return let(let(cut, _joined), _cleaned)
+    return plain_entries(normalize(F.coalesce(text, F.lit(""))))
+
+
+def plain_entries(text: Column) -> Column:
+    """`entries` of a normalised text. Its labels are found in one pass, which sets them off by signs that no text holds."""
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", ""), r"[\[【]([^\]\n】]{1,40})[\]】]", " $1 ")
+    part = lambda x, which: F.substring_index(x, "\u0002", which)
+
+    def cut(pieces: Column) -> Column:
+        after = F.slice(pieces, F.lit(2), F.size(pieces))
+        return F.struct(F.transform(after, lambda x: part(x, 1)).alias("labels"), F.concat(F.slice(pieces, 1, 1), F.transform(after, lambda x: part(x, -1))).alias("gaps"))
+
+    return let(let(let(F.split(F.regexp_replace(plain, LABEL, "\u0001$0\u0002"), "\u0001", -1), cut), _joined), _cleaned)
 
 
 def _joined(cut: Column) -> Column:
@@ -164,6 +174,11 @@ def title_registration(title: Column) -> Column:
 
 def milestones(text: Column, title: Column) -> Column:
     """array<struct<kind, label, day, clock, evidence>>: labelled milestones of one date each, at most twelve; a label alone takes its date from the next line."""
+    return plain_milestones(normalize(F.coalesce(text, F.lit(""))), title)
+
+
+def plain_milestones(text: Column, title: Column) -> Column:
+    """`milestones` of a normalised text."""
     label = lambda line: F.regexp_substr(line, F.lit(P.MILESTONE))
     year = M.only_year(F.coalesce(title, F.lit("")))
 
@@ -181,5 +196,5 @@ def milestones(text: Column, title: Column) -> Column:
         clock = F.regexp_substr(x["body"], F.lit(r"(?<!\d)(?:[01]?\d|2[0-3]):[0-5]\d(?!\d)"))
         return F.struct(F.when(x["label"].contains("제출"), "submission").otherwise("event").alias("kind"), x["label"].alias("label"), day.alias("day"), clock.alias("clock"), F.left(x["line"], F.lit(350)).alias("evidence"))
 
-    found = F.transform(F.transform(let(F.split(normalize(F.coalesce(text, F.lit(""))), r"\r\n|[\n\r]"), paired), bodied), read)
+    found = F.transform(F.transform(let(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), paired), bodied), read)
     return F.slice(F.array_distinct(F.filter(found, lambda x: x["day"].isNotNull())), 1, 12)

@@ -16,6 +16,7 @@ from noticelake.operators.grouping import grouped
 from noticelake.operators.upsert import upsert
 from noticelake.plans.day_diff import day_diff
 from noticelake.sources import html as H
+from noticelake.sources.tree import Page
 from noticelake.sources.attachments import extract
 
 D = datetime.date
@@ -190,11 +191,11 @@ def test_policy_of_a_state(spark):
 
 
 def test_page_parsing():
-    page = H.parsed('<html><title>T</title><body><a href="/x#f">Long link</a><del>2026. 1. 1.</del><script type="application/ld+json">{"@type": "Event", "name": "E"}</script><p>text')
-    assert page.links == [("/x#f", "Long link")]
-    assert "2026" not in H.visible_text(page) and "text" in H.visible_text(page)
-    assert H.embedded_event(page.json)["name"] == "E"
-    assert H.embedded_event(page.json * 2) is None
+    page = Page('<html><title>T</title><body><a href="/x#f">Long link</a><del>2026. 1. 1.</del><script type="application/ld+json">{"@type": "Event", "name": "E"}</script><p>text')
+    assert [(href, a.line()) for a, href in page.links()] == [("/x#f", "Long link")]
+    assert page.text(None) == "Long link\ntext"
+    assert H.embedded_event(page.scripts())["name"] == "E"
+    assert H.embedded_event(page.scripts() * 2) is None
 
 
 def test_embedded_registration_needs_the_own_id_and_agreement():
