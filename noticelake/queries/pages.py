@@ -12,19 +12,31 @@ from ..tables import NOTICES_SQL, Tables, notices
 @query()
 def pages_links(spark, d):
     """Same-host links of every page."""
-    pages = Tables(spark, d).pages
+    pages = H.spread(Tables(spark, d).pages)
     return pages.select("page_id", F.posexplode(H.page_links(F.col("url"), F.col("html"))).alias("place", "link")).select("page_id", "place", "link.url", "link.title")
 
 
-@query()
+def _canonical_sql(url: str, base: str) -> str:
+    """Addresses of the pages' links, which are paths on the page's host without queries; the page's own scheme and host in lower case."""
+    return f"lower(regexp_extract({base}, '^(https?://[^/?#]+)', 1)) || regexp_replace({url}, '#.*$', '')"
+
+
+_ANCHORS_SQL = """anchors as (select page_id, url as base, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as title, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) as place from pages)"""
+
+
+@query(f"""with {_ANCHORS_SQL}, kinds as (select *, case page_id % 3 when 0 then 'k2web' when 1 then 'mangboard' else 'dacon' end as kind, {_canonical_sql("href", "base")} as target from anchors where starts_with(href, '/')),
+ good as (select page_id, kind, target, trim(regexp_replace(title, '\\s+', ' ', 'g')) as title, place from kinds where length(trim(title)) >= 4 and regexp_matches(target, case page_id % 3 when 0 then '/[a-m][^/]*$' when 1 then '/[^/]*e[^/]*$' else '/[^/]+$' end)),
+ ranked as (select *, row_number() over (partition by page_id, target order by place desc) as nth from good)
+ select page_id, target as url, left(sha256(target), 20) as id, title, kind = 'dacon' as platform, count(*) over (partition by page_id) as recognised from ranked where nth = 1""")
 def listing_udtf(spark, d):
-    """Rows of listings: own links with a title of some length, one row an address; its last title counts, but a generic one never replaces a real one."""
+    """Notices that listings show, by a table of sources with a pattern of addresses each; here every page is a listing of its own source."""
     pages = Tables(spark, d).pages
-    links = pages.select("page_id", "url", H.page_column(F.col("url"), F.col("html")).alias("page")).select("page_id", H.own_links(F.col("page.links"), F.col("url")).alias("own"), "page.links")
-    rows = links.select("page_id", F.size("own").cast("long").alias("recognised"), F.transform("own", lambda x: x["url"]).alias("wanted"), F.posexplode("links").alias("place", "link"))
-    titled = rows.where(F.array_contains("wanted", F.col("link.url")) & (F.length("link.title") >= 4))
-    real = F.when(~X.generic_title(F.col("link.title")), F.col("place"))
-    return titled.groupBy("page_id", "recognised", "link.url").agg(F.coalesce(F.max_by("link.title", real), F.max_by("link.title", "place")).alias("title"))
+    which = F.col("page_id") % 3
+    kind = F.when(which == 0, "k2web").when(which == 1, "mangboard").otherwise("dacon")
+    pattern = F.when(which == 0, "/[a-m][^/]*$").when(which == 1, "/[^/]*e[^/]*$").otherwise("/[^/]+$")
+    sources = pages.select(F.col("page_id").cast("string").alias("id"), kind.alias("kind"), F.lit("platform").alias("mode"), "url", pattern.alias("link_pattern"))
+    shown = H.listings(pages.select("page_id", F.col("page_id").cast("string").alias("source_id"), F.col("url").alias("page_url"), "html"), sources)
+    return shown.select("page_id", "url", "id", "title", (F.col("page_id") % 3 == 2).alias("platform"), "recognised")
 
 
 @query()

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.upsert import Rules, claimed, merge
-from ..workspace import own_folder, stored
+from ..operators.upsert import Rules
+from ..workspace import own_folder
+
+#: Spark's setting for the state store.
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _work(spark: SparkSession, label: str) -> str:
@@ -55,52 +63,156 @@ def day_buckets(events: DataFrame, hours_ahead: int) -> DataFrame:
     return events.groupBy(local.cast("date").alias("day")).agg(F.count("*").alias("n"))
 
 
-def _versions(spark: SparkSession, folder: str, before: int) -> list[int]:
-    """The numbers of the batches that were written whole, below `before`."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(path) if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(name.removeprefix("v")) for name in names if name.startswith("v") and int(name.removeprefix("v")) < before)
+class _Kept:
+    """Value state of a key: one JSON text, which goes when nothing of the key came for `idle_days` (never where that is None)."""
 
+    def __init__(self, idle_days: int | None):
+        self.ttl = None if idle_days is None else idle_days * 86_400_000
 
-def claim_stream(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Claims (key, the other columns) of a stream, each key given once over all batches.
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("kept", "json string", self.ttl)
 
-    A batch reads the claims of earlier batches only and writes its own anew, so a replay gives the same claims again.
-    """
-    spark, work = stream.sparkSession, _work(stream.sparkSession, "claims")
+    def get(self) -> dict | None:
+        return json.loads(self.value.get()[0]) if self.value.exists() else None
+
+    def put(self, value: dict) -> None:
+        self.value.update((json.dumps(value, ensure_ascii=False),))
+
+
+class _Claims(StatefulProcessor):
+    """The first row of a key, once: the smallest by `rank` of the batch that first has the key."""
+
+    def __init__(self, idle_days: int | None):
+        self.kept = _Kept(idle_days)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept.open(handle)
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        if self.kept.get() is not None:
+            return
+        best = min(((rank, row) for part in rows for rank, row in zip(part["rank"], part["row"])), default=None)
+        if best is not None:
+            self.kept.put({"claimed": True})
+            yield pd.DataFrame({"row": [best[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+class _Merges(StatefulProcessor):
+    """`operators.upsert.merge` for one key: its row so far is state, and only keys of a batch are read and written."""
+
+    def __init__(self, rules: Rules, idle_days: int | None):
+        self.rules, self.kept = rules, _Kept(idle_days)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept.open(handle)
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        last = max(((rank, row, bool(ready), at) for part in rows for rank, row, ready, at in zip(part["rank"], part["row"], part["ready"], part["at"])), default=None)
+        if last is None:
+            return
+        new, old = json.loads(last[1]), self.kept.get()
+        merged = self._merged(new, (old or {}).get("row", {}))
+        at, change = last[3], None
+        if old is None:
+            change, stamps = "new" if last[2] else "initial", {"first_seen": at, "last_seen": at, "last_changed": at}
+        else:
+            changed = any(merged.get(c) != old["row"].get(c) for c in self.rules.tracked)
+            change = "updated" if changed else None
+            stamps = {"first_seen": old["first_seen"], "last_seen": at, "last_changed": at if changed else old["last_changed"]}
+        self.kept.put({"row": merged, **stamps})
+        yield pd.DataFrame({"row": [json.dumps(merged, ensure_ascii=False)], "change": pd.Series([change], dtype=object), **{k: [v] for k, v in stamps.items()}})
+
+    def _merged(self, new: dict, old: dict) -> dict:
+        out = {c: new[c] if new.get(c) is not None else old.get(c) for c in self.rules.columns}
+        for date, clock in self.rules.clocks:
+            if new.get(date) is not None and new[date] != old.get(date):
+                out[clock] = new.get(clock)
+        for flag, names in self.rules.cleared:
+            if new.get(flag):
+                out.update(dict.fromkeys((n for n in names if n in out)))
+        return {c: v for c, v in out.items() if v is not None}
 
-    def apply(batch: DataFrame, number: int) -> None:
-        earlier = [f"{work}/claims/v{n}" for n in _versions(spark, f"{work}/claims", number)]
-        known = spark.read.schema(stream.schema).parquet(*earlier) if earlier else batch.limit(0)
-        claimed(known, batch, key, order).select(*stream.columns).write.mode("overwrite").parquet(f"{work}/claims/v{number}")
+    def close(self) -> None:
+        pass
 
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{work}/state").foreachBatch(apply).start().awaitTermination()
-    written = [f"{work}/claims/v{n}" for n in _versions(spark, f"{work}/claims", 1 << 62)]
-    return spark.read.schema(stream.schema).parquet(*written) if written else spark.createDataFrame([], stream.schema)
 
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Arbitrary keyed state needs the state store that keeps changes on disk; the session's own choice comes back afterwards."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
-def merge_stream(stream: DataFrame, rules: Rules, initialised: DataFrame, at: Column) -> tuple[DataFrame | None, DataFrame | None]:
+
+def _ranked(stream: DataFrame, order: list[str]) -> Column:
+    """A text that sorts as the columns do: whole numbers shifted above zero and padded, other values (fractions, too) by their text, nulls first."""
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+
+    def sortable(name: str) -> Column:
+        if isinstance(kinds[name], T.IntegralType):
+            shifted = F.col(name).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+            return F.lpad(shifted.cast("string"), 20, "0")
+        return F.col(name).cast("string")
+
+    return F.concat(*[F.coalesce(F.concat(F.lit("\u0002"), sortable(c)), F.lit("\u0001")) for c in order])
+
+
+def claim_stream(stream: DataFrame, key: str, order: list[str], idle_days: int | None = None) -> DataFrame:
+    """Claims (key, the other columns) of a stream, each key given once over all batches: the first of its first batch by `order`.
+
+    That a key was claimed is state of the key, so a batch costs its own rows however many came before; a replayed batch finds the state before it and gives
+    the same claims. With `idle_days` a claim is forgotten after so many days. Keys that are null claim once, too.
+    """
+    rest = [c for c in stream.columns if c != key]
+    packed = stream.select(F.col(key), _ranked(stream, [*order, *[c for c in rest if c not in order]]).alias("rank"), F.to_json(F.struct(*stream.columns)).alias("row"))
+    with _keyed_state(stream.sparkSession):
+        found = drained(packed.groupBy(key).transformWithStateInPandas(_Claims(idle_days), "row string", "Append", "processingTime" if idle_days else "none"), "claims")
+    return found.select(F.from_json("row", stream.schema).alias("r")).select("r.*")
+
+
+def merge_stream(stream: DataFrame, rules: Rules, initialised: DataFrame, at: Column, idle_days: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(state, log of changes) of a stream of batches merged by the rules of `merge`.
 
-    Version n of the state is made of version n - 1 and batch n, so a replay writes the same version again.
+    The row of a key is state of the key: a batch reads and writes the keys that it has, never the whole state, and a replay starts from the state before it. Every batch
+    gives the rows that it merged; `state` is the last one of each key. With `idle_days` a key that was not seen for so many days is forgotten and new again.
     """
-    spark, work = stream.sparkSession, _work(stream.sparkSession, "merged")
+    rank = _ranked(stream, [*rules.order, *[c for c in stream.columns if c != rules.key and c not in rules.order]])
+    ready = initialised.select(F.col(initialised.columns[0]).alias(rules.source), F.lit(True).alias("ready")).distinct()
+    packed = stream.join(ready, rules.source, "left").select(rules.key, rank.alias("rank"), F.to_json(F.struct(*stream.columns)).alias("row"), F.coalesce("ready", F.lit(False)).alias("ready"), at.cast("string").alias("at"))
+    key = stream.schema[rules.key].dataType.simpleString()
+    out = f"{rules.key} {key}, row string, change string, first_seen string, last_seen string, last_changed string"
+    with _keyed_state(stream.sparkSession):
+        keyed = packed.groupBy(rules.key).transformWithStateInPandas(_Keyed(_Merges(rules, idle_days), rules.key), out, "Append", "processingTime" if idle_days else "none")
+        merged = drained(keyed, "merged")
+    read = T.StructType([f for f in stream.schema.fields if f.name in rules.columns and f.name != rules.key])
     stamps = ["first_seen", "last_seen", "last_changed"]
+    rows = merged.select("batch", rules.key, F.from_json("row", read).alias("r"), "change", *[F.col(c).cast("timestamp_ntz").alias(c) for c in stamps]).select("batch", rules.key, "r.*", "change", *stamps)
+    state = latest(rows.drop("change"), rules.key, [*[f.name for f in read.fields], *stamps])
+    return state, rows.where("change is not null").drop("batch")
+
+
+class _Keyed(StatefulProcessor):
+    """Another processor whose rows get their key in front."""
+
+    def __init__(self, inner: StatefulProcessor, key: str):
+        self.inner, self.key = inner, key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        for part in self.inner.handleInputRows(key, rows, timers):
+            part.insert(0, self.key, [key[0]] * len(part))
+            yield part
 
-    def apply(batch: DataFrame, number: int) -> None:
-        earlier = _versions(spark, f"{work}/state", number)
-        never = F.lit(None).cast("timestamp_ntz")
-        old = spark.read.parquet(f"{work}/state/v{earlier[-1]}") if earlier else batch.limit(0).select(rules.key, *rules.columns, *[never.alias(c) for c in stamps])
-        merged = stored(merge(old, batch, rules, initialised, at), "merged-batch")
-        merged.where("change is not null").write.mode("overwrite").parquet(f"{work}/log/v{number}")
-        merged.select(rules.key, *rules.columns, *stamps).write.mode("overwrite").parquet(f"{work}/state/v{number}")
-
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{work}/checkpoint").foreachBatch(apply).start().awaitTermination()
-    versions = _versions(spark, f"{work}/state", 1 << 62)
-    return (spark.read.parquet(f"{work}/state/v{versions[-1]}"), spark.read.parquet(*[f"{work}/log/v{n}" for n in versions])) if versions else (None, None)
+    def close(self) -> None:
+        self.inner.close()
 
 
 def within(events: DataFrame, key: str, at: str, days: int) -> DataFrame:
