@@ -100,3 +100,26 @@ ALONE, TOGETHER, TEAM_ONLY = r"개인|1\s*인|1\s*[~∼-]", r"팀|[2-9]\s*인",
 ONLINE, ONSITE = r"온라인|비대면", r"오프라인|현장|(?<!비)대면"
 FREE, NOT_FREE, PAID = r"무료|없음|\b0\s*원", r"유료|\d+[1-9]\d*\s*원|[1-9]\d*\s*만원", r"유료|[1-9][\d,]*\s*(?:만\s*)?원"
 BLOCK_PAGE = r"(?i)access denied|captcha|verify you are human|too many requests"
+
+#: Rounds, audiences and named tracks in a title; what is taken off a title before titles are compared; addresses of single events.
+ROUNDS = r"\d+\s*차|(?:시즌|season)\s*\d+|(?:주제|트랙|부문|track)\s*[:：]?\s*[0-9A-Z]+"
+AUDIENCES = r"(?:학부생|대학원생|학생|일반|청소년|초급|고급)\s*(?:부문|트랙|부|팀)"
+NAMED_TRACKS = r"[가-힣A-Za-z]+\s*(?:부문|트랙)"
+TITLE_BADGE, TITLE_NOTE = r"^\s*\[(?:행사|홍보|공모|모집|공지|안내)\]\s*", r"\s*(?:개최\s*안내|참가자?\s*모집\s*안내|개최)$"
+EVENT_ADDRESS = r"/(?:contest|competition|hackathon|challenge|event)s?/[^/]{3,}"
+#: Platforms whose addresses number their events, as host and path; hosts whose pages are no event's own.
+PLATFORM_EVENTS = {"dacon": (("dacon.io", "www.dacon.io"), r"^/competitions/(official|open)/(\d+)"), "aifactory": (("aifactory.space", "www.aifactory.space"), r"^/(?:ko/)?competitions/()(\d+)")}
+BOARD_HOSTS = ("campuspick.com", "inha.ac.kr")
+#: Endings of hosts and networks (first address, prefix length) that are not public; two addresses inside one of them are.
+INNER_HOSTS = (".local", ".localhost", ".internal", ".lan")
+INNER_NETWORKS = [
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
+    ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4),
+]
+PUBLIC_INSIDE = ("192.0.0.9", "192.0.0.10")
+MAX_ADDRESS = 1800
+#: Why a date is or is not known, as far as a collector reports it.
+REPORTED_REASONS = (
+    "manual_date", "manual_review", "not_requested", "budget_deferred", "network_error", "robots_disallowed", "robots_unavailable", "http_401", "http_403", "http_404", "http_429", "access_blocked",
+    "browser_failed", "browser_denied", "render_unconfirmed", "no_explicit_date", "date_conflict", "schedule_error", "parser_error", "confirmed", "partial_date", "stale_evidence", "cached_date",
+)

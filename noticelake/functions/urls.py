@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns as P
+
 #: Query keys that carry no identity.
 TRACKING = ["jsessionid", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mode"]
 
@@ -45,11 +47,32 @@ def url_id(url: Column) -> Column:
     return F.left(F.sha2(url, 256), F.lit(20))
 
 
+def _number(octets: Column) -> Column:
+    """The 32 bits of an address in four parts; null for what is none."""
+    parts = F.transform(F.split(octets, r"\."), lambda x: x.cast("long"))
+    valid = octets.rlike(r"^(?:(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])(?:\.(?!$)|$)){4}$")
+    return F.when(valid, F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * 256 + x))
+
+
 def public_url(url: Column) -> Column:
-    """Whether an address is https, without user, on the default port, and no private network."""
-    host = F.lower(F.regexp_extract(url, r"^https://([^/?#]+)", 1))
-    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.)")
-    return (host != "") & ~host.contains("@") & (~host.contains(":") | host.endswith(":443")) & ~private
+    """Whether an address is https, without user, on the default port, not too long, and leads to a host of the public network.
+
+    Hosts without a dot, with an inner ending, and numeric ones that are no public address are refused, as are addresses with blanks, quotes, brackets or backslashes.
+    """
+    authority = F.regexp_extract(url, r"^(?i:https)://([^/?#]+)", 1)
+    host = F.lower(F.regexp_replace(authority, r":(?:443)?$", ""))
+    number = _number(host)
+    inner = F.lit(False)
+    for first, bits in P.INNER_NETWORKS:
+        low = sum(int(x) << shift for x, shift in zip(first.split("."), (24, 16, 8, 0)))
+        inner = inner | number.between(low, low + (1 << (32 - bits)) - 1)
+    numeric = host.rlike(r"^[\d.]+$")
+    ending = F.lit(False)
+    for x in P.INNER_HOSTS:
+        ending = ending | host.endswith(x)
+    named = (host != "") & ~host.contains("@") & ~host.contains(":") & host.contains(".") & ~ending
+    spelled = (F.length(url) <= P.MAX_ADDRESS) & ~url.rlike(r'[\s\\<>"\x00-\x1f]')
+    return F.coalesce(spelled & named & (~numeric | (number.isNotNull() & (~inner | host.isin(*P.PUBLIC_INSIDE)))), F.lit(False))
 
 
 def platform_key(url: Column) -> Column:

@@ -3,26 +3,32 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import identity as I
 from ..operators.grouping import grouped
+from ..operators.registry import registered
 from ..tables import NOTICES_SQL, Tables, notices
 
 
-@query("select o_orderkey, cast(year(o_orderdate) as varchar) as years, case when o_orderkey % 2 = 0 then 'track a' else '' end as scope from orders")
+@query("""select o_orderkey, case when o_orderkey % 5 = 4 then cast(year(cast(o_orderdate as date) - 20) as varchar) || case when year(cast(o_orderdate as date) - 20) < year(o_orderdate) then ',' || year(o_orderdate) else '' end else '20' || lpad(cast(o_orderkey % 90 as varchar), 2, '0') end as years,
+ case o_orderkey % 5 when 0 then 'Track A' when 1 then '2차' when 2 then '3차/부문 AI/학생 부문/학생 부문' when 3 then 'season 2' else '' end as scope from orders""")
 def scope_guard(spark, d):
-    """Years and track named by a title."""
-    title = F.concat(F.lit("Challenge "), F.year("o_orderdate"), F.when(F.col("o_orderkey") % 2 == 0, " Track A").otherwise(""))
-    years = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(title, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), F.lit(1)))), ",")
-    return Tables(spark, d).orders.select("o_orderkey", years.alias("years"), F.lower(F.regexp_extract(title, r"(?i)(track\s*[:：]?\s*[0-9A-Z]+)", 1)).alias("scope"))
+    """Years, rounds, seasons, tracks and audiences that a title names; without a year those of its dates. Dates before 2000 are dates here."""
+    which = F.col("o_orderkey") % 5
+    named = F.when(which == 0, "Challenge Track A").when(which == 1, "AI 교육 2차").when(which == 2, "학생 부문 AI 대회 3차").when(which == 3, "AI season 2").otherwise("AI 대회")
+    title = F.when(which == 4, named).otherwise(F.concat_ws(" ", F.concat(F.lit("20"), F.lpad((F.col("o_orderkey") % 90).cast("string"), 2, "0")), named))
+    day = F.col("o_orderdate").cast("date")
+    found = Tables(spark, d).orders.select("o_orderkey", I.scope(title, F.date_sub(day, 20).cast("string"), day.cast("string")).alias("s"))
+    return found.select("o_orderkey", F.array_join("s.years", ",").alias("years"), F.replace(F.col("s.scope"), F.lit("\u0001"), F.lit("/")).alias("scope"))
 
 
-@query(f"with {NOTICES_SQL} select id, case when id % 7 = 0 then '' else 'challengeorder' || id || '|' || 'owner' || owner_id || '|' || opened || '|' || deadline end as key from notices")
+@query(f"with {NOTICES_SQL} select id, case when id % 7 = 0 or deadline is null then '' else 'challengeorder' || id || '|' || 'owner' || owner_id || '|' || opened || '|' || deadline end as key from notices")
 def title_key(spark, d):
     """Normalised title, organiser and period; empty without enough of them."""
     rows = notices(Tables(spark, d))
-    title = F.lower(F.regexp_replace(F.regexp_replace(F.concat(F.lit("[행사] Challenge, "), F.col("title"), F.lit(" 개최")), r"^\s*\[(행사|홍보|공모)\]\s*|\s*(개최 안내|개최)$", ""), r"[\s\W_]+", ""))
-    organiser = F.when(F.col("id") % 7 == 0, "x").otherwise(F.concat(F.lit("owner"), F.col("owner_id")))
-    key = F.when((F.length(title) >= 12) & (F.length(organiser) >= 2) & F.col("opened").isNotNull() & F.col("deadline").isNotNull(), F.concat_ws("|", title, organiser, "opened", "deadline"))
-    return rows.select("id", F.coalesce(key, F.lit("")).alias("key"))
+    title = F.concat(F.lit("[행사] Challenge, "), F.col("title"), F.lit(" 개최"))
+    organiser = F.when(F.col("id") % 7 == 0, "x").otherwise(F.concat(F.lit("owner-"), F.col("owner_id")))
+    starts, ends = F.col("opened").cast("string"), F.col("deadline").cast("string")
+    return rows.select("id", I.comparable_title(title, organiser, starts, ends, F.array(F.year("deadline").cast("string"))).alias("key"))
 
 
 @query("""select l_orderkey as event, min(l_shipdate) as first_seen, max(l_shipdate) as last_seen, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') as sources,
@@ -74,3 +80,14 @@ def event_groups_open(spark, d):
     official = F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey") % 2)
     lines = Tables(spark, d).lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), ship.alias("first_seen"), F.lit("").alias("scope"), years.alias("years"), official.alias("official"), F.array(F.col("l_orderkey").cast("string")).alias("keys"))
     return grouped(lines)
+
+
+@query("""with g as (select o_orderkey as id, cast(o_orderdate as date) as day, o_custkey % 997 as was, o_custkey % 997 % 100 as now from orders), first as (select was, 'evt_' || arg_min(id, (day, id)) as event from g group by 1),
+ m as (select g.id, g.day, g.now, f.event from g join first f using (was)), live as (select now, arg_min(event, (day, id)) as event from m group by 1) select m.id, live.event from m join live using (now)""")
+def registry_ids(spark, d):
+    """Event ids after two groupings: what was registered first stays, and merged events lead on to it."""
+    rows = Tables(spark, d).orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("first_seen"), (F.col("o_custkey") % 997).alias("was"), (F.col("o_custkey") % 997 % 100).alias("now"))
+    empty = spark.createDataFrame([], "id long, event string"), spark.createDataFrame([], "old string, live string")
+    registry, aliases = registered(rows.select("id", "first_seen", F.col("was").alias("grp")), *empty)
+    registry, _ = registered(rows.select("id", "first_seen", F.col("now").alias("grp")), registry, aliases)
+    return registry

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import canonical
 from ..functions import text as X
+from ..plans import diagnostics
 from ..tables import Tables
 
 _TITLE_OF = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -105,11 +107,52 @@ def conditions_facets(spark, d):
     return found.select("c_custkey", *[F.array_join(f"f.{name}.values", ",").alias(name) for name in ("audience", "mode", "cost")])
 
 
-@query("""select o_orderkey, case when o_orderstatus = 'F' then 'platform_closed' when o_orderstatus = 'P' then 'no_clock' when o_orderpriority = '1-URGENT' then 'ambiguous'
- when o_totalprice > 400000 then 'needs_review' else 'known' end as reason from orders""")
+_LADDER_SQL = """ladder as (select *, case when manual then (case when needs_review then 'manual_review' else 'manual_date' end) when known and code = 'budget_deferred' then 'cached_date'
+ when known and (coalesce(detail = 'error', false) or coalesce(code <> 'confirmed', false)) then 'stale_evidence' when ambiguous or status = 'conflict' then 'date_conflict'
+ when known then (case when starts is not null then 'confirmed' else 'partial_date' end) when code is not null then (case when code in ('budget_deferred', 'confirmed', 'network_error', 'robots_disallowed') or code like 'http_%' then code else 'parser_error' end)
+ when attempted is null then 'not_requested' when detail = 'error' then 'network_error' when starts is not null then 'partial_date' else 'no_explicit_date' end as reason from
+ (select *, ends is not null and not ambiguous as known from (select o_orderkey, o_custkey % 7 as source, o_orderkey % 23 = 0 as manual, o_custkey % 3 = 0 as needs_review, o_orderkey % 19 = 0 as ambiguous,
+ case when o_orderkey % 3 <> 0 then cast(cast(o_orderdate as date) as varchar) end as ends, case when o_custkey % 2 = 0 then cast(cast(o_orderdate as date) - 20 as varchar) end as starts, case when o_orderkey % 29 = 0 then 'conflict' end as status,
+ case o_custkey % 11 when 0 then 'budget_deferred' when 1 then 'http_503' when 2 then 'confirmed' when 3 then 'odd' when 4 then 'robots_disallowed' when 5 then '' end as raw, nullif(case o_custkey % 11 when 0 then 'budget_deferred' when 1 then 'http_503' when 2 then 'confirmed' when 3 then 'odd' when 4 then 'robots_disallowed' when 5 then '' end, '') as code,
+ case when o_orderkey % 5 = 0 then 'error' else 'ok' end as detail, case when o_orderkey % 13 <> 0 then '2026-01-01' end as attempted, case when o_orderstatus <> 'P' then '18:00' end as clock from orders)))"""
+
+
+def _read_notices(spark, d):
+    """Orders as notices in every state of reading."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.col("o_orderdate").cast("date")
+    code = F.create_map(*[F.lit(x) for pair in ((0, "budget_deferred"), (1, "http_503"), (2, "confirmed"), (3, "odd"), (4, "robots_disallowed"), (5, "")) for x in pair])
+    return Tables(spark, d).orders.select(
+        "o_orderkey", (cust % 7).alias("source_id"), (key % 23 == 0).alias("manual"), (cust % 3 == 0).alias("needs_review"), (key % 19 == 0).alias("registration_ambiguous"), F.when(key % 3 != 0, day.cast("string")).alias("deadline"),
+        F.when(cust % 2 == 0, F.date_sub(day, 20).cast("string")).alias("registration_start"), F.when(key % 29 == 0, "conflict").alias("date_status"), code[(cust % 11).cast("int")].alias("date_failure_code"),
+        F.when(key % 5 == 0, "error").otherwise("ok").alias("detail_status"), F.when(key % 13 != 0, "2026-01-01").alias("detail_attempted_at"), F.when(F.col("o_orderstatus") != "P", "18:00").alias("deadline_time"), F.lit(False).alias("registration_time_ambiguous"),
+    )
+
+
+@query(f"with {_LADDER_SQL} select o_orderkey, reason from ladder")
 def reason_code(spark, d):
-    ladder = F.when(F.col("o_orderstatus") == "F", "platform_closed").when(F.col("o_orderstatus") == "P", "no_clock").when(F.col("o_orderpriority") == "1-URGENT", "ambiguous").when(F.col("o_totalprice") > 400000, "needs_review").otherwise("known")
-    return Tables(spark, d).orders.select("o_orderkey", ladder.alias("reason"))
+    """Why the date of each notice is or is not known."""
+    return _read_notices(spark, d).select("o_orderkey", diagnostics.reason().alias("reason"))
+
+
+@query(f"""with {_LADDER_SQL}, counts as (select source, reason, count(*) as n from ladder group by 1, 2)
+ select source as source_id, count(*) as denominator, cast(sum(known::int) as bigint) as deadline_known, cast(sum((known and starts is not null)::int) as bigint) as start_and_end_known, cast(sum((known and clock is not null)::int) as bigint) as deadline_time_known,
+ cast(sum(manual::int) as bigint) as manual_count, round(100.0 * sum(known::int) / count(*), 1) as deadline_coverage, (select string_agg(reason || ':' || n, ',' order by reason) from counts c where c.source = l.source) as reasons from ladder l group by 1""")
+def reason_report(spark, d):
+    """What the notices of each source say about the reading of their dates."""
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("reasons")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return diagnostics.report(_read_notices(spark, d)).withColumn("reasons", shown)
+
+
+@query("""select c_custkey, left(sha256('{"address": {"nation": ' || c_nationkey || ', "street": "' || replace(replace(c_name, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"}, "balance": ' || cast(c_acctbal::decimal(12,2) as varchar) || ', "key": ' || c_custkey || ', "tags": ["' || c_mktsegment || '", null, "' || lower(c_mktsegment) || '"]}'), 20) as hash from customer""")
+def canonical_hash(spark, d):
+    """Content hash of a nested value, whatever the order of its fields."""
+    value = F.struct(
+        F.array("c_mktsegment", F.lit(None).cast("string"), F.lower("c_mktsegment")).alias("tags"), F.col("c_custkey").alias("key"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance"),
+        F.struct(F.col("c_name").alias("street"), F.col("c_nationkey").alias("nation")).alias("address"),
+    )
+    rows = Tables(spark, d).customer.select("c_custkey", value.alias("value"))
+    return rows.select("c_custkey", canonical.content_hash(F.col("value"), rows.schema["value"].dataType).alias("hash"))
 
 
 @query("""select l_orderkey, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') as suppliers, cast(len(list_intersect(list_distinct(list(l_suppkey)), list_distinct(list(l_partkey)))) as bigint) as shared,

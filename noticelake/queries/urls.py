@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import identity as I
 from ..functions import urls as U
 from ..tables import Tables
 
@@ -32,16 +33,14 @@ def platform_key(spark, d):
     return Tables(spark, d).pages.select("page_id", U.platform_key(F.col("url")).alias("key"))
 
 
-@query("""select page_id, case when page_id % 3 = 0 then 'site:' || page_id when page_id % 3 = 1 then '' else 'linked:https://x.org/event/' || page_id end as key from pages""")
+@query("""select page_id, case page_id % 5 when 0 then 'dacon:official:' || page_id when 1 then '' when 2 then 'aifactory:' || page_id when 3 then 'linked:https://x.org/events/name' || page_id else '' end as key from pages""")
 def official_key(spark, d):
-    """Own platform key, else the only linked one, else the first event-like link; several linked platforms give none."""
-    own = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("site:"), F.col("page_id"))).otherwise("")
-    linked = F.when(F.col("page_id") % 3 == 1, F.array(F.lit("a:1"), F.lit("b:2"))).otherwise(F.expr("array()").cast("array<string>"))
-    links = F.array(F.concat(F.lit("https://x.org/event/"), F.col("page_id")))
-    known = F.array_distinct(linked)
-    eventlike = F.try_element_at(F.filter(links, lambda x: x.rlike("/(contest|competition|hackathon|challenge|event)s?/[^/]+")), F.lit(1))
-    key = F.when(own != "", own).when(F.size(known) == 1, F.try_element_at(known, F.lit(1))).when(F.size(known) > 1, "").otherwise(F.coalesce(F.concat(F.lit("linked:"), eventlike), F.lit("")))
-    return Tables(spark, d).pages.select("page_id", key.alias("key"))
+    """Own platform id, else the only linked one, else the first linked address of a single event; several linked platforms give none."""
+    which, number = F.col("page_id") % 5, F.col("page_id").cast("string")
+    own = F.when(which == 0, F.concat(F.lit("https://dacon.io/competitions/official/"), number, F.lit("/overview/"))).otherwise(F.col("url"))
+    application = F.when(which.isin(1, 2), F.concat(F.lit("https://aifactory.space/ko/competitions/"), number)).when(which == 3, F.lit("https://www.campuspick.com/contest/view"))
+    website = F.when(which == 1, F.concat(F.lit("https://www.dacon.io/competitions/open/"), number)).when(which == 3, F.concat(F.lit("https://x.org/events/name"), number)).when(which == 4, F.lit("https://x.org/"))
+    return Tables(spark, d).pages.select("page_id", I.official_key(own, application, website, F.lit(None).cast("string")).alias("key"))
 
 
 @query("select page_id, false as blocked from pages where not regexp_matches(left(html, 12000), '(?i)access denied|captcha|verify you are human|too many requests')")
