@@ -114,3 +114,46 @@ def clock_of(text: Column) -> Column:
         return F.when(valid, F.concat(F.lpad(x["hour"].cast("string"), 2, "0"), F.lit(":"), F.lpad(x["minute"].cast("string"), 2, "0")))
 
     return let(let(let(F.regexp_substr(text, F.lit(pattern)), parts), turned), shown)
+
+
+ZONE = "Asia/Seoul"
+#: How long before its clock a daily run may start, and the clock of days whose message is switched off.
+LEAD_MINUTES, NOON = 25, "12:00"
+
+
+def instant(text: Column) -> Column:
+    """The instant of an ISO text with an offset or Z; null for texts without one, whose place on the clock of the world is not known."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})$"), F.regexp_replace(F.regexp_replace(text, r"^(.{16})(?=\s*[Z+-])", "$1:00"), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+
+
+def zoned_instant(day: Column, clock: Column, zone: Column, ambiguous: Column) -> Column:
+    """The instant of a day (yyyy-MM-dd) and a clock (HH:MM[:SS], or 24:00) in a named zone of the tz database; without a zone in Korea's.
+
+    Null where a part is missing, impossible or ambiguous, or the zone is unknown or a bare offset. A clock that a zone skips in spring counts as the same time by the offset before; of a clock
+    that a zone has twice in autumn the first counts.
+    """
+    date = valid_day(day)
+    midnight = clock.rlike(r"^24:00(:00)?$")
+    plain = F.when(midnight, F.date_add(date, 1)).otherwise(date).cast("string")
+    time = F.when(midnight, "00:00:00").when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock)
+    named = F.coalesce(zone, F.lit(ZONE))
+    usable = date.isNotNull() & ~F.coalesce(ambiguous, F.lit(False)) & clock.rlike(r"^(([01]\d|2[0-3]):[0-5]\d(:[0-5]\d)?|24:00(:00)?)$") & named.rlike(r"^(UTC|GMT|[A-Za-z_]+(/[A-Za-z0-9_+-]+)+)$")
+    return F.when(usable, F.concat_ws(" ", plain, time, named).try_cast("timestamp"))
+
+
+def due(now: Column, clock: Column, enabled: Column, claimed: Column) -> Column:
+    """struct(run, day, target, reason): whether the daily run of the day of `now` (an instant) is due in Korea.
+
+    It is from 25 minutes before the clock on, once a day; where messages are switched off the data are still read, at noon.
+    """
+    local = F.to_timestamp_ntz(F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.convert_timezone(F.current_timezone(), F.lit("UTC"), now.cast("timestamp_ntz"))), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    at = F.when(F.coalesce(enabled, F.lit(True)), F.coalesce(clock, F.lit(NOON))).otherwise(F.lit(NOON))
+
+    def told(x: Column) -> Column:
+        target = F.timestamp_add("MINUTE", clock_minutes(at), x.cast("date").cast("timestamp_ntz"))
+        open_ = x >= F.timestamp_add("MINUTE", F.lit(-LEAD_MINUTES), target)
+        taken = F.coalesce(claimed, F.lit(False))
+        reason = F.when(taken, "already_attempted").when(open_, "due").otherwise("before_window")
+        return F.struct((open_ & ~taken).alias("run"), x.cast("date").alias("day"), F.when(~taken, target).alias("target"), reason.alias("reason"))
+
+    return let(local, told)

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..plans import digest
 from ..tables import NOTICES_SQL, NOW, OBSERVATIONS_SQL, VERDICTS_SQL, Tables, notices, observations, verdicts
 from .timing import STATUS_SQL, with_status
 
@@ -106,3 +107,12 @@ def field_new_count(spark, d):
     fields = F.split("p_name", " ")
     wanted = F.array(F.lit("widget"), F.lit("ring"))
     return Tables(spark, d).part.groupBy("p_brand").agg(F.count_if(F.arrays_overlap(fields, wanted)).alias("matching"))
+
+
+@query("""with l as (select l_suppkey as who, 'Line ' || l_orderkey || '/' || l_linenumber || ' at ' || cast(l_extendedprice::decimal(12,2) as varchar) as line, l_orderkey, l_linenumber from lineitem)
+ select who, left(string_agg(line, chr(10) order by l_orderkey, l_linenumber, line), 2600) as message from l group by 1""")
+def digest_message(spark, d):
+    """The message of each supplier: its lines in order, cut at 2,600 bytes."""
+    line = F.concat(F.lit("Line "), F.col("l_orderkey"), F.lit("/"), F.col("l_linenumber"), F.lit(" at "), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
+    lines = Tables(spark, d).lineitem.select(F.col("l_suppkey").alias("who"), "l_orderkey", "l_linenumber", line.alias("line"))
+    return digest.clipped(lines, ["who"], ["l_orderkey", "l_linenumber", "line"])

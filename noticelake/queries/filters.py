@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions.requests import broken_rules
 from ..functions import urls as U
 from ..tables import NOTICES_SQL, NOW, VERDICTS_SQL, Tables, notices, verdicts
 from .timing import STATUS_SQL, with_status
@@ -74,11 +75,21 @@ def due_7d(spark, d):
     return with_status(notices(Tables(spark, d))).where((F.col("status") != "closed") & F.col("deadline").between(now, F.date_add(now, 7))).select("id", "deadline")
 
 
-@query(f"with {NOTICES_SQL} select id, case when priority = '5-LOW' then 'kind' when deadline > date '{NOW}' + 365 then 'future' when length(title) > 10 then 'title' else 'ok' end as verdict from notices")
+@query(f"""with {NOTICES_SQL} select id, concat_ws(',', case when id % 11 = 0 then 'kind' end, case when id % 7 = 0 and id % 11 <> 0 then 'fields' end, case when id % 5 = 0 and id % 11 <> 0 then 'url' end,
+ case when id % 11 <> 0 and deadline > date '{NOW}' then 'future' end, case when id % 11 <> 0 and id % 13 = 0 then 'title' end, case when id % 11 <> 0 and id % 3 = 0 then 'order' end,
+ case when id % 11 <> 0 and deadline_time is not null and id % 17 = 0 then 'deadline_time' end) as broken from notices where deadline is not null""")
 def payload_quarantine(spark, d):
-    """Closed-world validation: the first broken rule of each payload, or ok."""
-    broken = F.when(~F.col("priority").isin("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"), "kind").when(F.col("deadline") > F.date_add(F.lit(NOW).cast("date"), 365), "future").when(F.length("title") > 10, "title")
-    return notices(Tables(spark, d)).select("id", F.coalesce(broken, F.lit("ok")).alias("verdict"))
+    """The rules of the closed world of requests that each payload breaks."""
+    id_, day = F.col("id"), F.col("deadline").cast("string")
+    fields = {
+        "url": F.when(id_ % 5 == 0, F.concat(F.lit("https://board.internal/"), id_)).otherwise(F.concat(F.lit("https://x.org/"), id_)), "title": F.when(id_ % 13 == 0, "").otherwise(F.col("title")), "summary": F.lit("as stated"),
+        "evidence_url": F.lit("https://x.org/e"), "checked_at": day, "registration_start": F.when(id_ % 3 == 0, F.date_add("deadline", 1).cast("string")).otherwise(F.col("opened").cast("string")), "deadline": day,
+        "deadline_time": F.when(F.col("deadline_time").isNotNull() & (id_ % 17 == 0), "25:00").otherwise(F.col("deadline_time")), "memo": F.when(id_ % 7 == 0, "x"),
+    }
+    payload = F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
+    kind = F.when(id_ % 11 == 0, "delete_notice").otherwise("add_notice")
+    rows = notices(Tables(spark, d)).where("deadline is not null").select("id", kind.alias("kind"), payload.alias("payload"))
+    return rows.select("id", F.array_join(broken_rules(F.col("kind"), F.col("payload"), F.lit(NOW).cast("date")), ",").alias("broken"))
 
 
 @query("select conv_id, turn, turn + 1 as number from conversations where role = 'user' and turn % 4 = 0")

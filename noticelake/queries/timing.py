@@ -87,12 +87,28 @@ def d_day(spark, d):
     return notices(Tables(spark, d)).select("id", F.date_diff("deadline", _now().cast("date")).alias("days"))
 
 
-@query("""select day, due from (select cast(ts as date) as day, max(hour(ts)) >= 12 and (row_number() over (order by cast(ts as date))) % 3 <> 0 as due from events group by 1)""")
+@query("""with runs as (select event_id, ts + interval 9 hours as local, cast(ts + interval 9 hours as date) as day, lpad(cast(event_id % 24 as varchar), 2, '0') || ':30' as clock, event_id % 4 <> 0 as enabled from events),
+ claims as (select distinct cast(ts + interval 9 hours as date) as day from events where event_id % 400 = 0),
+ told as (select event_id, r.day, local, c.day is not null as taken, cast(r.day as timestamp) + case when enabled then to_minutes((event_id % 24) * 60 + 30) else interval 12 hours end as target from runs r left join claims c on r.day = c.day)
+ select event_id, day, local >= target - interval 25 minutes and not taken as run, case when taken then 'already_attempted' when local >= target - interval 25 minutes then 'due' else 'before_window' end as reason from told""")
 def due_gate(spark, d):
-    """Whether a day's trigger is due: its clock has come and the day was not claimed before (every third day was)."""
-    from pyspark.sql import Window
-
-    days = Tables(spark, d).events.groupBy(F.col("ts").cast("date").alias("day")).agg(F.max(F.hour("ts")).alias("hour"))
-    numbered = days.withColumn("nth", F.row_number().over(Window.orderBy("day")))  # one row a day
-    claims = numbered.where("nth % 3 = 0").select("day", F.lit(True).alias("claimed"))
-    return numbered.join(claims, "day", "left").select("day", ((F.col("hour") >= 12) & F.col("claimed").isNull()).alias("due"))
+    """Whether the daily run is due at each trigger: from 25 minutes before the day's clock in Korea, once a day."""
+    events = Tables(spark, d).events
+    local = F.timestamp_add("HOUR", F.lit(9), F.col("ts").cast("timestamp_ntz")).cast("date")
+    claims = events.where("event_id % 400 = 0").select(local.alias("claim_day"), F.lit(True).alias("claimed")).distinct()
+    clock = F.concat(F.lpad((F.col("event_id") % 24).cast("string"), 2, "0"), F.lit(":30"))
+    runs = events.select("event_id", local.alias("claim_day"), F.col("ts").cast("timestamp").alias("now"), clock.alias("clock"), (F.col("event_id") % 4 != 0).alias("enabled")).join(claims, "claim_day", "left")
+    told = runs.select("event_id", M.due(F.col("now"), F.col("clock"), F.col("enabled"), F.col("claimed")).alias("d"))
+    return told.select("event_id", "d.day", "d.run", "d.reason")
+
+
+@query("""select o_orderkey, case when o_orderkey % 6 = 4 then null else case when o_orderkey % 6 = 5 then cast(cast(o_orderdate as date) + 1 as timestamp) else cast(cast(o_orderdate as date) as timestamp) + to_minutes((o_orderkey % 24) * 60) end
+ - case when o_orderkey % 6 in (0, 5) then interval 9 hours when o_orderkey % 6 = 1 then interval 0 hours when o_orderkey % 6 = 2 then interval 7 hours else interval 8 hours end end as at from orders""")
+def zoned_instants(spark, d):
+    """Instants of days and clocks in named zones without summer time, in UTC."""
+    which, day = F.col("o_orderkey") % 6, F.col("o_orderdate").cast("date").cast("string")
+    zone = F.when(which == 1, "UTC").when(which == 2, "Asia/Bangkok").when(which == 3, "Asia/Singapore").when(which == 4, "Mars/Base")
+    clock = F.when(which == 5, "24:00").otherwise(F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":00")))
+    at = M.zoned_instant(day, clock, zone, F.lit(False))
+    utc = F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss"))
+    return Tables(spark, d).orders.select("o_orderkey", utc.alias("at"))
