@@ -13,8 +13,8 @@ paraphrased copies are found and chance similarity is not. An item is found wher
 
 Most windows need no projection. A copy keeps at least `LCS_WITH_ANSWER` of a passage's words, so it
 can miss only the rest of them: of that many of the rarest words of the passage and `WITNESSES` more, it
-holds at least `WITNESSES`. Where no stretch as long as the passage and a window holds so many, no
-window is looked at; copies with more than a window's words put between theirs are not looked for.
+holds at least `WITNESSES`. Where no stretch of twice the passage and a window holds so many, no window is looked at; that is
+as far as the words around a candidate are read, so nothing that would be settled as a copy is passed over for its witnesses.
 
 Items of fewer than `MIN_ITEM` words are too short for a subsequence to mean anything; they are found
 where all their words follow each other in a text, by exact hashes of runs of words.
@@ -224,7 +224,7 @@ class Index:
         last = np.arange(len(passage)) + self.least[passage] - 1
         inside = last < len(passage)
         last = np.where(inside, last, 0)
-        held = np.flatnonzero(inside & (passage[last] == passage) & (doc[place[last]] == doc[place]) & (place[last] - place <= self.length[passage] + WINDOW))
+        held = np.flatnonzero(inside & (passage[last] == passage) & (doc[place[last]] == doc[place]) & (place[last] - place <= 2 * self.length[passage] + WINDOW))
         of = doc[place[held]]
         low = base[of] + np.maximum(place[held] - WINDOW + 1 - bounds[of], 0) // RUN
         n = base[of] + (place[last[held]] - bounds[of]) // RUN + 1 - low
