@@ -12,7 +12,7 @@ That is one decision after the other, but few notices take part in any. They are
 * notices with one year and an official id (or where everything that keys connect has at most one official id) always end together if they share a
   key: whatever has joined one of them has that year and id, or leaves them open.
 
-What remains is a table of classes by key, decided by component of keys, one group of `applyInPandas` each. Its size follows the different facts and key sets of a component,
+What remains is a table of classes by key, decided by component of keys, some `DEAL` rows of whole components at a time. The size of a component follows the different facts and key sets of a component,
 not its notices: a key of a million equal notices is one row.
 """
 
@@ -26,6 +26,8 @@ from ..workspace import discard, stored
 from .graph import components
 
 _BIRTH = ["unseen", "first_seen", "id"]
+#: Rows of components that one group of `applyInPandas` takes; a larger component is a group of its own size.
+DEAL = 20_000
 
 
 def _linked(tokens: DataFrame, by: list[str]) -> DataFrame:
@@ -41,9 +43,9 @@ def _agree(a: tuple[set, str | None], b: tuple[set, str | None]) -> bool:
     return all(x & y for x in a[0] for y in b[0])
 
 
-def _decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Groups of one component from rows(node, years, official, key, order of the bucket, order inside it)."""
-    rows = rows.sort_values(["key_unseen", "key_first_seen", "key_id", "key_pos", "key", *_BIRTH], kind="stable")
+def _decide(rows: pd.DataFrame) -> pd.DataFrame:
+    """Groups of whole components from rows(component, node, years, official, key, order of the bucket, order inside it)."""
+    rows = rows.sort_values(["component", "key_unseen", "key_first_seen", "key_id", "key_pos", "key", *_BIRTH], kind="stable")
     into: dict[int, int] = {}
     facts: dict[int, tuple[set, str | None]] = {}
     for node, years, official in zip(rows["node"], rows["years"], rows["official"]):
@@ -57,7 +59,7 @@ def _decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return x
 
     bucket, groups = None, []
-    for token, node in zip(rows["key"], rows["node"]):
+    for token, node in zip(zip(rows["component"], rows["key"]), rows["node"]):
         if token != bucket:
             bucket, groups = token, []
         mine = root(node)
@@ -113,7 +115,9 @@ def grouped(notices: DataFrame) -> DataFrame:
     places = stored(tokens.groupBy("component", "node", "years", "official", "key", "opened").agg(F.min(birth).alias("born")), "group-places")
     open_keys = places.groupBy("component", "key").agg(F.count("*").alias("holders")).where("holders > 1").drop("holders")
     left = places.join(open_keys, ["component", "key"], "left_semi").select("component", "node", "years", "official", "key", "born.*", *[F.col(f"opened.{n}").alias(f"key_{n}") for n in (*_BIRTH, "pos")])
-    decided = stored(left.groupBy("component").applyInPandas(_decide, "node long, cluster long"), "group-decided")
+    deals = -(-places.count() // DEAL)
+    deal = F.pmod(F.xxhash64("component"), F.lit(max(1, deals))).alias("deal")
+    decided = stored(left.groupBy(deal).applyInPandas(_decide, "node long, cluster long"), "group-decided")
     out = rows.select("id", *_BIRTH, "node").join(classes, "node", "left").withColumn("node", F.coalesce("class", "node"))
     out = stored(out.join(decided, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")).select("cluster", "id", *_BIRTH[:2]), "group-clusters")
     discard(rows, held, placed, connected, settled_tokens, classes, places, decided)
