@@ -123,3 +123,8 @@ REPORTED_REASONS = (
     "manual_date", "manual_review", "not_requested", "budget_deferred", "network_error", "robots_disallowed", "robots_unavailable", "http_401", "http_403", "http_404", "http_429", "access_blocked",
     "browser_failed", "browser_denied", "render_unconfirmed", "no_explicit_date", "date_conflict", "schedule_error", "parser_error", "confirmed", "partial_date", "stale_evidence", "cached_date",
 )
+#: Fields that a correction may set, what is kept of the automatic reading beside them, how many corrections there may be, and what a corrected notice says.
+CORRECTED = ("registration_start", "deadline", "registration_start_time", "deadline_time")
+KEPT_BESIDE = ("registration_ambiguous", "registration_time_ambiguous", "date_status", "date_note", "date_evidence", "date_source_url")
+MAX_CORRECTIONS, MAX_REASON = 500, 300
+CORRECTION_NOTE, CORRECTION_REVIEW = "관리자 근거 확인 보정", " · 자동 수집 내용이 달라져 재검토 필요"
