@@ -1,4 +1,4 @@
-"""Canonical JSON of nested columns, the text from which content hashes are made."""
+"""JSON of nested columns: the canonical text from which content hashes are made, and the indented one of exports."""
 
 from __future__ import annotations
 
@@ -86,3 +86,25 @@ def canonical_json(value: Column, kind: T.DataType) -> Column:
 def content_hash(value: Column, kind: T.DataType, digits: int = 20) -> Column:
     """The first hexadecimal digits of the SHA-256 of the canonical JSON."""
     return F.left(F.sha2(canonical_json(value, kind), 256), F.lit(digits))
+
+
+def indented_json(value: Column, kind: T.DataType, depth: int = 0, step: int = 2) -> Column:
+    """JSON over lines, `step` blanks a level, fields of structs as they stand and entries of maps by key; empty structs, maps and arrays are `{}` and `[]`, null is `null`."""
+    inner, outer = "\n" + " " * step * (depth + 1), "\n" + " " * step * depth
+
+    def block(parts: Column, brackets: str) -> Column:
+        body = F.concat(F.lit(brackets[0] + inner), F.array_join(parts, "," + inner), F.lit(outer + brackets[1]))
+        return F.when(F.size(parts) == 0, brackets).otherwise(body)
+
+    below = lambda x, of: indented_json(x, of, depth + 1, step)
+    if isinstance(kind, T.StructType):
+        named = [F.concat(F.lit('"' + f.name.replace("\\", "\\\\").replace('"', '\\"') + '": '), below(value[f.name], f.dataType)) for f in kind.fields]
+        text = F.concat(F.lit("{" + inner), F.concat_ws("," + inner, *named), F.lit(outer + "}")) if named else F.lit("{}")
+    elif isinstance(kind, T.ArrayType):
+        text = let(F.transform(value, lambda x: below(x, kind.elementType)), lambda parts: block(parts, "[]"))
+    elif isinstance(kind, T.MapType):
+        entry = lambda e: F.concat(json_text(e["key"]), F.lit(": "), below(e["value"], kind.valueType))
+        text = let(F.transform(F.array_sort(F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), entry), lambda parts: block(parts, "{}"))
+    else:
+        return canonical_json(value, kind)
+    return F.when(value.isNull(), "null").otherwise(text)

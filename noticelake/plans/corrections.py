@@ -28,7 +28,7 @@ _TEXTS = T.MapType(T.StringType(), T.StringType())
 
 
 def judged_entries(entries: DataFrame, today: Column) -> DataFrame:
-    """entries with their canonical addresses, day and reason, and `broken`: the names of the rules that each breaks, in order.
+    """entries with their canonical addresses, day and reason, and `broken`: the names of the rules that each breaks, in order; a sound one has its `digest`.
 
     url, evidence_url: no address; checked_at: no day, or one after today; reason: none; nothing: no field is set; unknown: a field that cannot be set; then the fields that are neither null nor a day or a clock.
     """
@@ -46,7 +46,10 @@ def judged_entries(entries: DataFrame, today: Column) -> DataFrame:
         valid = M.clock_minutes(given(name)) if name.endswith("_time") else M.valid_day(given(name))
         rules[name] = given(name).isNotNull() & valid.isNull()
     broken = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
-    return entries.select("place", target.alias("url"), evidence.alias("evidence_url"), day.alias("checked_at"), reason.alias("reason"), fields.alias("fields"), broken.alias("broken"))
+    literal = lambda *names: [x for name, value in names for x in (F.lit(name), value)]
+    whole = F.map_concat(fields, F.create_map(*literal(("evidence_url", evidence), ("checked_at", day), ("reason", reason))))
+    digest = F.when(F.size(broken) == 0, content_hash(whole, _TEXTS))
+    return entries.select("place", target.alias("url"), evidence.alias("evidence_url"), day.alias("checked_at"), reason.alias("reason"), fields.alias("fields"), broken.alias("broken"), digest.alias("digest"))
 
 
 def restored(items: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def patched(items: DataFrame, entries: DataFrame, tracking: DataFrame, now: str)
 
     broken: clock_alone (a clock without its day), order (a start day after the last day), clock_order (a start instant after the last instant).
     """
-    hit = items.withColumn("target", U.canonical_url(F.coalesce("url", F.lit("")))).join(F.broadcast(entries.select(F.col("url").alias("target"), F.struct("evidence_url", "checked_at", "reason", "fields").alias("entry"))), "target")  # at most MAX_CORRECTIONS rows
+    hit = items.withColumn("target", U.canonical_url(F.coalesce("url", F.lit("")))).join(F.broadcast(entries.select(F.col("url").alias("target"), F.struct("evidence_url", "checked_at", "reason", "fields", "digest").alias("entry"))), "target")  # at most MAX_CORRECTIONS rows
     new = hit.withColumn("new", F.struct(*[_combined(name).alias(name) for name in P.CORRECTED]))
     said = lambda name: F.coalesce(F.col(f"new.{name}"), F.lit("")) != ""
     instant = lambda day: M.exact_instant(M.valid_day(F.col(f"new.{day}")), F.col(f"new.{day}_time"), F.lit(False))
@@ -80,13 +83,11 @@ def patched(items: DataFrame, entries: DataFrame, tracking: DataFrame, now: str)
         "order": said("registration_start") & said("deadline") & (F.col("new.registration_start") > F.col("new.deadline")),
         "clock_order": F.coalesce(instant("registration_start") > instant("deadline"), F.lit(False)),
     }
-    literal = lambda *names: [x for name in names for x in (F.lit(name), F.col(f"entry.{name}"))]
-    whole = F.map_concat("entry.fields", F.create_map(*literal("evidence_url", "checked_at", "reason")))
-    before = F.create_map(*[x for name in P.CORRECTED for x in (F.lit(name), F.col(name))])
+    before = T.StructType([T.StructField(name, T.StringType()) for name in P.CORRECTED])
     keyed = new.withColumns({
         "broken": F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()])),
-        "key": F.concat(F.col("id").cast("string"), F.lit(":"), content_hash(whole, _TEXTS)), "signature": content_hash(before, _TEXTS),
-    })
+        "key": F.concat_ws(":", F.col("id").cast("string"), "entry.digest"), "old": F.struct(*P.CORRECTED),
+    }).withColumn("signature", content_hash(F.col("old"), before))
     known = tracking.select("key", F.col("automatic_signature").alias("known_signature"), F.col("first_applied_at").alias("known_at"))
     tracked = F.struct("key", F.coalesce("known_signature", "signature").alias("automatic_signature"), F.coalesce("known_at", F.lit(now)).alias("first_applied_at"))
     return keyed.join(known, "key", "left").withColumn("tracked", tracked)

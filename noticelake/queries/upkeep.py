@@ -7,6 +7,7 @@ from ..functions import patterns as P
 from ..plans import corrections as C
 from ..plans.refresh import deferred, refresh_plan
 from ..tables import NOTICES_SQL, NOW, Tables, notices
+from ..workspace import stored
 
 
 def _items(t):
@@ -32,7 +33,7 @@ def _applied_twice(spark, d):
     t = Tables(spark, d)
     entries, empty = _entries(t), spark.createDataFrame([], C.TRACKING)
     first, tracking = C.corrected(_items(t), entries, empty, f"{NOW}T00:00:00+09:00")
-    again = C.restored(first).withColumn("deadline", F.when(F.col("id") % 7 == 0, F.date_add("deadline", 1).cast("string")).otherwise(F.col("deadline")))
+    again = C.restored(stored(first, "items")).withColumn("deadline", F.when(F.col("id") % 7 == 0, F.date_add("deadline", 1).cast("string")).otherwise(F.col("deadline")))
     return C.corrected(again, entries, tracking, f"{NOW}T12:00:00+09:00")
 
 
