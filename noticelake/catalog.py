@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ["text", "urls", "timing", "filters", "joins", "entities", "aggregates", "windows", "feed", "pages", "twins", "extras", "upkeep"]
+_MODULES = ["text", "urls", "timing", "filters", "joins", "entities", "aggregates", "windows", "feed", "pages", "twins", "extras", "upkeep", "exports"]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
 
 
