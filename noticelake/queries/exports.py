@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import public as V
 from ..sources import onefile as O
 from ..tables import NOTICES_SQL, NOW, Tables, notices
 from ..workspace import own_folder
@@ -46,3 +47,16 @@ def export_json(spark, d):
     lines = spark.read.option("lineSep", "\n    {\n").text(path)  # items stand four blanks in
     items = lines.where(F.col("value").startswith('      "id"')).select(F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", r"\n    \}[\s\S]*$", "}")), "id long, title string, deadline string, deadline_time string, status_label string").alias("item"))
     return items.select("item.*", F.lit(NOW).alias("generated_at"))
+
+
+@query("""select event_id, array_to_string(list_transform(range(0, least(8, event_id % 11 + 1)), lambda x: 'step' || x || ':' || 2 * x), ',') as steps,
+ case event_id % 4 when 0 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+09:00' when 1 then strftime(ts, '%Y-%m-%dT%H:%M') || ':00+00:00' end as stamp from events""")
+def public_steps(spark, d):
+    """Steps of a reading and stamps with an offset, as far as they may be shown."""
+    number = F.col("event_id") % 11
+    step = lambda i: F.create_map(F.lit("stage"), F.concat(F.lit("step"), i), F.lit("code"), (2 * i).cast("string"), F.lit("token"), F.lit("secret"))
+    shown = F.transform(V.public_trace(F.transform(F.sequence(F.lit(0).cast("long"), number), step)), lambda s: F.array_join(F.map_values(s), ":"))
+    at = lambda form: F.date_format("ts", form)
+    which = F.col("event_id") % 4
+    text = F.when(which == 0, F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit("+09:00"))).when(which == 1, F.concat(at("yyyy-MM-dd'T'HH:mm"), F.lit("Z"))).when(which == 2, at("yyyy-MM-dd'T'HH:mm:ss")).otherwise("yesterday")
+    return Tables(spark, d).events.select("event_id", F.array_join(shown, ",").alias("steps"), V.zoned_stamp(text).alias("stamp"))
