@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -450,6 +451,31 @@ def test_toxicity_of_a_few_hundred_labels(spark):
     assert 2 * hits / (sum(r["predicted"] for r in scores) + sum(r["toxic"] for r in scores)) >= 0.7
 
 
+def test_every_labelled_document_is_learnt_from(spark):
+    """The toxic documents beyond the 2,000 with the lowest hashes are the only ones with their word."""
+    docs = spark.range(7200).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"), F.xxhash64("id").alias("hash")).orderBy("hash").collect()
+    later = {r["doc_id"] for r in [r for r in docs if r["toxic"]][2000:]}
+    rows = [(r["doc_id"], prose(12, r["doc_id"]) + (" zzlate" if r["doc_id"] in later else " zzbad" if r["toxic"] else "")) for r in docs] + [(10000 + i, prose(12, 10000 + i) + " zzlate" * (i % 2)) for i in range(200)]
+    marked = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in docs], "doc_id long, toxic int")
+    found = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), marked).where("doc_id >= 10000").collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in found]) >= 0.95
+
+
+def test_changes_of_blocks_are_averaged_over_those_that_move_a_row():
+    parts = [(np.array([0, 5]), 2.0, 10), (np.array([5, toxicity.SLICE + 1]), 4.0, 30)]
+    rows = pd.concat([toxicity._changes(1, k, moved, np.column_stack([np.full((len(moved), toxicity.DIM), x * n), np.full(len(moved), n)])) for k, (moved, x, n) in enumerate(parts)])
+    moved, sums = toxicity._opened(*toxicity._add(rows[rows["slice"] == 0]).loc[0, ["moved", "sums"]])
+    assert moved.tolist() == [0, 5] and np.allclose((sums[:, :-1] / sums[:, -1:])[:, 0], [2.0, (20 + 120) / 40])
+    assert rows["slice"].tolist() == [0, 0, 1]
+
+
+def test_counted_logits_give_the_thresholds_of_the_rows():
+    r = np.random.default_rng(3)
+    cell, y, lang = r.integers(-50, 50, 400), r.integers(0, 2, 400), r.integers(0, 5, 400)
+    few, times = np.unique(np.stack([cell, y, lang]), axis=1, return_counts=True)
+    assert np.allclose(toxicity._thresholds(few[0] / toxicity.GRID, few[1], few[2], times), toxicity._thresholds(cell / toxicity.GRID, y, lang))
+
+
 def test_rare_languages_are_learnt_beside_common_ones(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_PER_LANGUAGE", 30)
     rows = [(i, "text", f"l{i % 22}") for i in range(6600)] + [(9000 + i, "text", f"r{i % 3}") for i in range(90)]
