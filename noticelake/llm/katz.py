@@ -8,8 +8,7 @@ begins after `ORDER` - 1 marks that are contexts only. For an n-gram of a contex
 
 down to P(w) = (c(w) + 1/2) / (N + (V + 1) / 2), which leaves room for one class of unknown words.
 alpha(h) makes the probabilities of every context sum to one: what its kept followers lose goes to the
-others. n-grams of two and more words that occur once are left to back-off, as the method's author
-proposes; all words and all n-grams take part, whatever the size of the corpus.
+others. All words and all n-grams take part, those that occur once included, whatever the size of the corpus.
 
 Each order has a plain table, keyed by a 64-bit hash of the n-gram: key, count, log10 P(w | h), log10
 alpha as a context. The recursion is a sum of what each level changes,
@@ -34,8 +33,9 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,7 +45,9 @@ from pyspark.sql import functions as F
 from ..workspace import discard, input_partitions, stored
 from .textarrays import BLANKS, LOWER_ASCII, blocks, mix64, tokens
 
-ORDER, KEEP, GOOD_TURING = 2, 2, 5
+ORDER, KEEP, GOOD_TURING = 2, 1, 5
+#: Tables of n-grams are joined in so many parts, one after the other, so that one part is exchanged at a time.
+PASSES = 4
 HOT = 1 << 17
 CHUNK_TOKENS, TALLY = 1_500_000, 1_000_000
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -239,6 +241,12 @@ def _attach(rows: DataFrame, table: DataFrame, on: str, value: str, name: str, h
     return first.where(F.col(name).isNotNull()).unionByName(first.where(F.col(name).isNull()).drop(name).join(cold.hint("shuffle_hash"), on))
 
 
+def _attached(rows: DataFrame, label: str, attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `attach` makes of rows with a key, stored in PASSES parts by key."""
+    parts = [stored(attach(rows.where(F.pmod("key", F.lit(PASSES)) == i)), label) for i in range(PASSES)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def train(training: DataFrame, order: int = ORDER, buckets: int = 12) -> Model:
     """The model of training(text)."""
     spark = training.sparkSession
@@ -259,7 +267,7 @@ def train(training: DataFrame, order: int = ORDER, buckets: int = 12) -> Model:
         counted = stored(gram_counts(training, n, buckets), f"katz-counts-{n}")
         levels = {r["suffix"]: r["sum(count)"] for r in counted.where("key is null").groupBy("suffix").sum("count").collect()}  # GOOD_TURING + 1 rows
         factor = F.element_at(F.array(*[F.lit(x) for x in good_turing(levels)]), (F.least(F.col("count"), F.lit(GOOD_TURING + 1)) + 1).cast("int"))
-        kept = stored(_attach(counted.where("key is not null"), table, "suffix", "lp", "below", model.hot_count).drop("suffix"), f"katz-kept-{n}")
+        kept = _attached(counted, f"katz-kept-{n}", lambda part, t=table: _attach(part, t, "suffix", "lp", "below", model.hot_count).drop("suffix"))
         discard(counted)
         by_context = kept.withColumn("mass", factor * F.col("count")).groupBy("context").agg(F.sum("mass").alias("mass"), F.sum(F.pow(F.lit(10.0), "below")).alias("low"))
         contexts = by_context.hint("shuffle_hash").join(table.select(F.col("key").alias("context"), "count"), "context")
@@ -270,8 +278,8 @@ def train(training: DataFrame, order: int = ORDER, buckets: int = 12) -> Model:
         valued = table.join(contexts.select("key", F.col("of.alpha").alias("alpha")).hint("shuffle_hash"), "key", "left")
         model.levels.append(_level(valued.select("key", "count", "lp", (F.col("step") + F.coalesce("alpha", F.lit(0.0))).alias("value")), pad(n - 1), n - 1))
         lp = F.log10(factor * F.col("count") / F.col("c.whole"))
-        done = _attach(kept, contexts, "context", "of", "c", model.hot_count).select("key", "count", lp.alias("lp"), (lp - F.col("c.alpha") - F.col("below")).alias("step"))
-        done = stored(done, f"katz-steps-{n}")
+        columns = "key", "count", (lp if n < order else F.lit(0.0)).alias("lp"), (lp - F.col("c.alpha") - F.col("below")).alias("step")  # no order is left to read the last lp
+        done = _attached(kept, f"katz-steps-{n}", lambda part, c=contexts, own=columns: _attach(part, c, "context", "of", "c", model.hot_count).select(*own))
         discard(kept, contexts, written)
         table, written = with_marks(done, n), done
     model.levels.append(_level(table.select("key", "count", "lp", F.col("step").alias("value")), pad(order), order))

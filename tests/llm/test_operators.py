@@ -297,6 +297,16 @@ def test_katz_equals_the_recursion(spark, monkeypatch, order, hot):
             assert math.isclose(sum(p(w, context) for (w,) in words) + p("unknown", context), 1, rel_tol=1e-9)
 
 
+def test_katz_keeps_pairs_that_occur_once(spark):
+    """Pairs seen once have their discounted share of the context, not what back-off leaves."""
+    r = random.Random(9)
+    texts = [" ".join(WORDS[int(40 * r.random() ** 2)] for _ in range(40)) for _ in range(60)] + ["u1 u2 u3 u4"]
+    found = katz.score(spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean")).where("doc_id = 60").first()
+    pairs = collections.Counter(p for t in texts for p in zip(["<s>", *t.lower().split()], [*t.lower().split(), "</s>"]))
+    once = katz.good_turing(collections.Counter(pairs.values()))[1]
+    assert math.isclose(found["score"], 5 * math.log10(once) - math.log10(len(texts)), abs_tol=1e-9)
+
+
 def test_discounts_of_irregular_counts():
     assert katz.good_turing({})[1:-1] == [r / (r + 1) for r in range(1, 6)]
     for levels in ({1: 5, 2: 9}, {2: 4}, {r: 7 for r in range(1, 7)}, {1: 900, 2: 300, 3: 140, 4: 90, 5: 60, 6: 45}):
