@@ -10,19 +10,22 @@ down to P(w) = (c(w) + 1/2) / (N + (V + 1) / 2), which leaves room for one class
 alpha(h) makes the probabilities of every context sum to one: what its kept followers lose goes to the
 others. All words and all n-grams take part, those that occur once included, whatever the size of the corpus.
 
-Each order has a plain table, keyed by a 64-bit hash of the n-gram: key, count, log10 P(w | h), log10
-alpha as a context. The recursion is a sum of what each level changes,
+The recursion is a sum of what each level changes,
 
-    log P(w | h) = log alpha(h) + log P(w | h') + step(hw),
-    step(hw) = log(d * c(hw) / c(h)) - log alpha(h) - log P(w | h')    for kept hw, else 0,
+    log P(w | h) = log P(w | h') - whole(h) + (log(d * c(hw)) - log P(w | h') for kept hw, else free(h)),
 
-so a text is scored level by level: each level sums the values found for the text's n-grams, and
-`value` = step + alpha as the context of the next token.
+whole(h) being the logarithm of c(h) and free(h) = whole(h) + log alpha(h), so a text is scored level by level.
 
-n-grams are counted in every task before they are exchanged. To score, the few with at least 1 / `HOT` of
-all tokens (so at most `HOT`) are looked up where the text is; the others go, packed, to the bucket of
-their hash, and sums by text come back. A frequent n-gram is therefore never one group, and rows are at
-most as many as tokens.
+The n-grams of a level, n >= 2, are exchanged once, packed, in all texts that are scored or learnt from, and are
+counted and looked up in the same bucket. An n-gram goes to the bucket of its last n - 1 words (suffix), where
+log P(w | h') is; if these are frequent, and so known everywhere, to that of its context; if both are, to that of
+the whole n-gram. Each bucket gives sums by text, sums by context (of what its followers take), and the contexts
+of n-grams that are not kept, whose free(h) is looked up when all contexts are known. whole(h) is looked up
+by the context's own occurrences, together with the probabilities of words.
+
+Frequent means at least 1 / `HOT` of all tokens, so at most `HOT` keys are, which every task holds. An n-gram that
+recurs in a chunk of texts is sent once, with its count, and the sums of its texts are made up from its value
+there. A frequent word, context or n-gram is therefore never one group, and rows are at most as many as tokens.
 
 Defined cases: a null text is empty and has only its end token; equal rows get equal results; texts of
 any length are scored whole; with no training rows every probability is that of an unknown word of an
@@ -33,9 +36,8 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,10 +48,8 @@ from ..workspace import discard, input_partitions, stored
 from .textarrays import BLANKS, LOWER_ASCII, blocks, mix64, tokens
 
 ORDER, KEEP, GOOD_TURING = 2, 1, 5
-#: Tables of n-grams are joined in so many parts, one after the other, so that one part is exchanged at a time.
-PASSES = 4
-HOT = 1 << 17
-CHUNK_TOKENS, TALLY = 1_500_000, 1_000_000
+HOT = 1 << 20
+CHUNK_TOKENS, TALLY = 1_000_000, 2_000_000
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 LOW48 = np.uint64((1 << 48) - 1)
 NO_ID = np.iinfo(np.int64).min
@@ -95,26 +95,30 @@ def keys_of(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 # --- counting --------------------------------------------------------------------------------------
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(key, count) of every training token, the end token included."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(key, count, total) of every token, the end token included: in the rows to learn from, and in all."""
+
+    def counted(learnt: list[np.ndarray], other: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        for held, of in ((learnt, 1), (other, 0)):
+            key, total = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pd.DataFrame({"key": key.view(np.int64), "count": total * of, "total": total})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        learnt, other, size = [], [], 0
         for batch in batches:
-            for _, _, (key,), _ in grams(batch["text"].tolist(), 1):
-                held.append(key)
+            learn = batch["learn"].to_numpy(dtype=bool)
+            for first, _, (key,), text in grams(batch["text"].tolist(), 1):
+                mine = learn[first + text]
+                learnt.append(key[mine])
+                other.append(key[~mine])
                 size += len(key)
                 if size >= TALLY:
-                    yield _counted(held)
-                    held, size = [], 0
-        yield _counted(held)
-
-    return training.select("text").mapInPandas(count, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+                    yield from counted(learnt, other)
+                    learnt, other, size = [], [], 0
+        yield from counted(learnt, other)
 
-
-def _counted(held: list[np.ndarray]) -> pd.DataFrame:
-    key, count = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
-    return pd.DataFrame({"key": key.view(np.int64), "count": count.astype(np.int64)})
+    found = rows.select("text", "learn").mapInPandas(count, "key long, count long, total long")
+    return found.groupBy("key").agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -135,53 +139,6 @@ def bucket_column(key: Column, buckets: int) -> Column:
     return (F.shiftrightunsigned(key, 40) % buckets).cast("int")
 
 
-def gram_counts(training: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(key, context, suffix, count) of the n-grams with at least KEEP occurrences, and rows (null, null, r, number of n-grams that occur r times)."""
-
-    def pack(held: list[list[np.ndarray]]) -> pd.DataFrame:
-        words = [np.concatenate(x) for x in zip(*held)]
-        key, at, count = np.unique(keys_of(words)[0], return_index=True, return_counts=True)
-        bucket = _bucket_of(key, buckets)
-        by_bucket = np.argsort(bucket, kind="stable")
-        rows = []
-        for own in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
-            names, number = np.unique(np.concatenate([x[at[own]] for x in words]), return_inverse=True)
-            number = number.reshape(order, -1)
-            sorted_ = np.lexsort(number[::-1])  # sorted numbers compress well
-            rows.append((int(bucket[own[0]]), len(own), names.tobytes(), _narrow(number[:, sorted_].ravel()), _narrow(count[own[sorted_]])))
-        return pd.DataFrame(rows, columns=["bucket", "n", "names", "numbers", "counts"])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for batch in batches:
-            for _, _, words, text in grams(batch["text"].tolist(), order):
-                held.append(words)
-                size += len(text)
-                if size >= TALLY:
-                    yield pack(held)
-                    held, size = [], 0
-        if size:
-            yield pack(held)
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        parts, counts = [], []
-        for n, names, numbers, raw in zip(rows["n"], rows["names"], rows["numbers"], rows["counts"]):
-            parts.append(keys_of(list(np.frombuffer(names, dtype=np.uint64)[_wide(numbers, n * order)].reshape(order, n))))
-            counts.append(_wide(raw, n))
-        (key, context, suffix), count = (np.concatenate(x) for x in zip(*parts)), np.concatenate(counts)
-        by_key = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[by_key], prepend=~key[by_key[:1]]) != 0)
-        total, at = np.add.reduceat(count[by_key], first), by_key[first]
-        r, n = np.unique(total[total <= GOOD_TURING + 1], return_counts=True)
-        kept = total >= KEEP
-        found = pd.DataFrame({"key": key[at[kept]].view(np.int64), "context": context[at[kept]].view(np.int64), "suffix": suffix[at[kept]].view(np.int64), "count": total[kept]})
-        levels = pd.DataFrame({"key": pd.NA, "context": pd.NA, "suffix": r, "count": n})
-        return pd.concat([found.astype("Int64"), levels.astype("Int64")])
-
-    schema = "bucket int, n int, names binary, numbers binary, counts binary"
-    return training.select("text").mapInPandas(count, schema).groupBy("bucket").applyInPandas(merge, "key long, context long, suffix long, count long")
-
-
 def good_turing(levels: dict[int, int]) -> list[float]:
     """Discount factors of the counts 0 .. GOOD_TURING + 1 (the last stands for all larger counts) from the numbers of n-grams by count.
 
@@ -206,7 +163,7 @@ def good_turing(levels: dict[int, int]) -> list[float]:
 
 @dataclass
 class Level:
-    """One order of the model: table(key, count, lp, value), with what its begin marks add to every text."""
+    """What the n-grams of one order add to a text: table(key, total, value, lp, known), with what the begin marks add to every text."""
 
     table: DataFrame
     begin: float
@@ -214,9 +171,9 @@ class Level:
 
 @dataclass
 class Model:
-    levels: list[Level]
     tokens: int
     distinct: int
+    all_tokens: int
 
     @property
     def unknown(self) -> float:
@@ -225,76 +182,389 @@ class Model:
 
     @property
     def hot_count(self) -> int:
-        """Count of an n-gram from which it is looked up where the text is; at most HOT n-grams of an order have it."""
-        return max(1, -(-self.tokens // HOT))
+        """Count of an n-gram from which every task holds it; at most HOT n-grams of an order have it."""
+        return max(1, -(-self.all_tokens // HOT))
 
 
-def _attach(rows: DataFrame, table: DataFrame, on: str, value: str, name: str, hot_count: int) -> DataFrame:
-    """rows with `value` of the table's row whose key is in column `on`, as `name`; every row has one.
+def word_model(rows: DataFrame) -> tuple[Model, DataFrame]:
+    """The totals and (key, count, total, lp) of the words of rows(text, learn)."""
+    words = stored(word_counts(rows), "katz-words")
+    known = F.when(F.col("count") > 0, 1)
+    sums = words.agg(F.sum("count"), F.count(known), F.sum("total")).first()
+    model = Model(*(int(x or 0) for x in sums))
+    lp = F.log10((F.col("count") + 0.5) / F.lit(model.tokens + 0.5 * (model.distinct + 1)))
+    return model, words.withColumn("lp", lp)
 
-    Rows of the at most HOT frequent keys are resolved by a broadcast of that bound, so no key is a large group.
+
+# --- n-grams of two and more words -----------------------------------------------------------------
+
+
+@dataclass
+class Frequent:
+    """The frequent keys of the order below, by falling count after the begin marks. A key's code is its place here, or else the key itself."""
+
+    names: np.ndarray
+    below: np.ndarray
+
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        by_key = np.argsort(self.names)
+        ordered = self.names[by_key]
+        at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+        return np.where(ordered[at] == keys, by_key[at].astype(np.uint64), keys)
+
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        hot = codes < len(self.names)
+        out = codes.copy()
+        out[hot] = self.names[codes[hot].astype(np.int64)]
+        return out
+
+
+def frequent(lower: DataFrame, order: int, model: Model) -> Frequent:
+    """The at most HOT frequent keys of lower(key, total, lp)."""
+    hot = lower.where(F.col("total") >= model.hot_count).select("key", "total", "lp").toArrow()
+    by_total = np.argsort(-hot["total"].to_numpy(), kind="stable")
+    names, below = hot["key"].to_numpy().astype(np.int64).view(np.uint64)[by_total], hot["lp"].to_numpy().astype(np.float64)[by_total]
+    return Frequent(np.concatenate([[padding(order)], names]).astype(np.uint64), np.concatenate([[0.0], np.nan_to_num(below)]))
+
+
+def _places(code: np.ndarray) -> bytes:
+    """Codes of frequent keys; the second part is mostly zeros and shrinks."""
+    return code.astype(np.uint16).tobytes() + (code >> np.uint64(16)).astype(np.uint8).tobytes()
+
+
+def _codes(raw: bytes, n: int, hot: bool) -> np.ndarray:
+    if not hot:
+        return np.frombuffer(raw, np.uint64)
+    return np.frombuffer(raw, np.uint16, n).astype(np.uint64) | (np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.uint64) << np.uint64(16))
+
+
+def _gaps(target: np.ndarray) -> bytes:
+    return _narrow(np.diff(target, prepend=0))
+
+
+def _targets(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_wide(raw, n))
+
+
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.diff(sorted_, prepend=~sorted_[:1]) != 0)
+
+
+def _recurring(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, number of the key at each place) of the keys that occur at least `least` times."""
+    part = (key >> np.uint64(44)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(part, minlength=1 << 20)[part] >= least)
+    _, of, count = np.unique(key[maybe], return_inverse=True, return_counts=True)
+    often = count >= least
+    mine = often[of]
+    return maybe[mine], (np.cumsum(often) - 1)[of[mine]]
+
+
+def _gram_pieces(order: int, hot: Frequent, buckets: int):
+    """Map side: for each chunk of texts one row of its texts, and one row of n-grams for each bucket that has some.
+
+    An n-gram's target is the number of its text, or one after those for an n-gram that recurs in the chunk.
     """
-    wanted = table.select(F.col("key").alias(on), F.col(value).alias(name), "count")
-    hot = wanted.where(F.col("count") >= hot_count).drop("count")
-    cold = wanted.where(F.col("count") < hot_count).drop("count")
-    first = rows.join(F.broadcast(hot), on, "left")
-    return first.where(F.col(name).isNotNull()).unionByName(first.where(F.col(name).isNull()).drop(name).join(cold.hint("shuffle_hash"), on))
 
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        chunk, part = 0, TaskContext.get().partitionId()
+        names = "id", "digest", "learn", "context", "suffix", "target"
+        held = {k: [] for k in names}
+        size = docs = 0
+
+        def flush() -> pd.DataFrame:
+            name = (part << 24) + chunk
+            info = {k: np.concatenate(held.pop(k)) for k in ("id", "digest", "learn")}
+            learn, target = info["learn"], np.concatenate(held.pop("target"))
+            context, suffix = hot.codes(np.concatenate(held.pop("context"))), hot.codes(np.concatenate(held.pop("suffix")))
+            key, n_hot = joined(context, suffix), len(hot.names)
+            bucket = _bucket_of(np.where(suffix >= n_hot, suffix, np.where(context >= n_hot, context, key)), buckets)
+            at, number = _recurring(key, max(16, len(key) // (4 * buckets)))
+            n = int(number.max()) + 1 if len(number) else 0
+            texts, times = np.unique(target[at].astype(np.int64) * n + number, return_counts=True)
+            info |= {"text": (texts // max(n, 1)).astype(np.int32), "number": (texts % max(n, 1)).astype(np.int32), "times": times.astype(np.int32), "recurring": n}
+            one = at[np.unique(number, return_index=True)[1]]
+            again = bucket[one], context[one], suffix[one], np.bincount(number, weights=learn[target[at]], minlength=n).astype(np.int64)
+            left = np.ones(len(key), dtype=bool)
+            left[at] = False
+            left = np.flatnonzero(left)
+            kind = 4 * ~learn[target[left]] + 2 * (context[left] >= n_hot) + (suffix[left] >= n_hot)
+            slot = bucket[left] * 8 + kind
+            by_slot = np.argsort(slot.astype(np.uint16 if buckets * 8 < 1 << 16 else np.int32), kind="stable")
+            slot, left = slot[by_slot], left[by_slot]
+            context, suffix, target = context[left], suffix[left], target[left]
+            rows = {}
+            for own in np.split(np.arange(len(slot)), _runs(slot)[1:]):
+                if len(own):
+                    here, kind = slice(own[0], own[-1] + 1), int(slot[own[0]]) % 8
+                    c, s = (x[here].tobytes() if cold else _places(x[here]) for x, cold in ((context, kind & 2), (suffix, kind & 1)))
+                    rows.setdefault(int(slot[own[0]]) // 8, []).append((kind, len(own), c, s, _gaps(target[here]), None))
+            for b in np.unique(again[0]):
+                own = np.flatnonzero(again[0] == b)
+                rows.setdefault(int(b), []).append((3, len(own), again[1][own].tobytes(), again[2][own].tobytes(), _gaps(own + docs), _narrow(again[3][own])))
+            out = [(b, name, sum(part[1] for part in x), pickle.dumps(x), None) for b, x in rows.items()] + [(name % buckets, name, 0, None, pickle.dumps(info))]
+            return pd.DataFrame(out, columns=["bucket", "chunk", "n", "data", "info"])
+
+        for batch in batches:
+            ids = _ids(batch)
+            digest, learn = batch["digest"].to_numpy(dtype=np.int64), batch["learn"].to_numpy(dtype=bool)
+            for first, n, words, doc in grams(batch["text"].tolist(), order):
+                _, context, suffix = keys_of(words)
+                here = slice(first, first + n)
+                for k, x in zip(names, (ids[here], digest[here], learn[here], context, suffix, (doc + docs).astype(np.int32))):
+                    held[k].append(x)
+                docs += n
+                size += len(doc)
+                if size >= CHUNK_TOKENS:
+                    yield flush()
+                    held = {k: [] for k in names}
+                    chunk, size, docs = chunk + 1, 0, 0
+        if docs:
+            yield flush()
 
-def _attached(rows: DataFrame, label: str, attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What `attach` makes of rows with a key, stored in PASSES parts by key."""
-    parts = [stored(attach(rows.where(F.pmod("key", F.lit(PASSES)) == i)), label) for i in range(PASSES)]
-    return reduce(DataFrame.unionByName, parts)
+    return split
 
 
-def train(training: DataFrame, order: int = ORDER, buckets: int = 12) -> Model:
-    """The model of training(text)."""
-    spark = training.sparkSession
-    words = stored(word_counts(training), "katz-words")
-    sums = words.agg(F.sum("count"), F.count("*"), F.max(F.when(F.col("key") == int(END.view(np.int64)), F.col("count")))).first()
-    model = Model([], int(sums[0] or 0), int(sums[1]))
-    texts = int(sums[2] or 0)
-    half = F.lit(model.tokens + 0.5 * (model.distinct + 1))
-    pad = lambda n: int(padding(n).view(np.int64))
+GRAM_SCHEMA = "chunk long, info binary, sums binary, bucket int, contexts binary, asked binary, levels binary, grams binary"
 
-    def with_marks(table: DataFrame, n: int) -> DataFrame:
-        """The table with its row of begin marks, which are contexts and never words."""
-        return table.unionByName(spark.createDataFrame([(pad(n), texts, 0.0, 0.0)], "key long, count long, lp double, step double"))
 
-    lp = F.log10((F.col("count") + 0.5) / half)
-    table, written = with_marks(words.select("key", "count", lp.alias("lp"), lp.alias("step")), 1), words
-    for n in range(2, order + 1):
-        counted = stored(gram_counts(training, n, buckets), f"katz-counts-{n}")
-        levels = {r["suffix"]: r["sum(count)"] for r in counted.where("key is null").groupBy("suffix").sum("count").collect()}  # GOOD_TURING + 1 rows
-        factor = F.element_at(F.array(*[F.lit(x) for x in good_turing(levels)]), (F.least(F.col("count"), F.lit(GOOD_TURING + 1)) + 1).cast("int"))
-        kept = _attached(counted, f"katz-kept-{n}", lambda part, t=table: _attach(part, t, "suffix", "lp", "below", model.hot_count).drop("suffix"))
-        discard(counted)
-        by_context = kept.withColumn("mass", factor * F.col("count")).groupBy("context").agg(F.sum("mass").alias("mass"), F.sum(F.pow(F.lit(10.0), "below")).alias("low"))
-        contexts = by_context.hint("shuffle_hash").join(table.select(F.col("key").alias("context"), "count"), "context")
+def _gram_counter(hot: Frequent, buckets: int, with_grams: bool):
+    """Reduce side: counts of one bucket's n-grams, with the part of the order below that has their suffixes.
+
+    Rows have either sums by target of a chunk (with the frequent contexts of n-grams that are not kept), sums by
+    context for the context's bucket, other contexts asked for by targets, numbers of n-grams by count, or n-grams.
+    """
+    n_hot, ranks = len(hot.names), GOOD_TURING + 2
+
+    def evaluate(pieces: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        out = [{"chunk": c, "info": x} for c, x in zip(pieces["chunk"], pieces["info"]) if x is not None]
+        size = int(pieces["n"].sum())
+        if not size:
+            return _frame(out)
+        context, suffix = np.empty(size, dtype=np.uint64), np.empty(size, dtype=np.uint64)
+        target, weight = np.empty(size, dtype=np.int32), np.empty(size, dtype=np.int32)
+        spans, end = [], 0
+        for chunk, data in zip(pieces["chunk"], pieces["data"]):
+            if data is None:
+                continue
+            spans.append([chunk, end])
+            for kind, n, c, s, t, w in pickle.loads(data):
+                own = slice(end, end + n)
+                context[own], suffix[own], target[own] = _codes(c, n, not kind & 2), _codes(s, n, not kind & 1), _targets(t, n)
+                weight[own] = kind < 4 if w is None else _wide(w, n)
+                end += n
+            spans[-1].append(end)
+        key = joined(context, suffix)
+        by_key = np.argsort(key)
+        key = key[by_key]
+        new = np.ones(size, dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        del key
+        first = np.flatnonzero(new)
+        number = np.empty(size, dtype=np.int32)
+        number[by_key] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        count, at = np.add.reduceat(weight[by_key], first, dtype=np.int64), by_key[first]
+        del by_key, weight, new
+        own_context, own_suffix = context[at], suffix[at]
+        del suffix
+        below = _below(own_suffix, table)
+        kept = count >= KEEP
+        rank = np.where(kept, np.minimum(count, GOOD_TURING + 1), 0).astype(np.int8)
+        value = np.where(kept, np.log10(np.maximum(count, 1)) - below, 0.0)
+        asks = []
+        for chunk, begin, stop in spans:
+            of, t, c = number[begin:stop], target[begin:stop], context[begin:stop]
+            r, n = rank[of], int(t.max()) + 1
+            tally = np.bincount(t.astype(np.int64) * ranks + r, minlength=n * ranks).reshape(n, ranks)
+            has = np.flatnonzero(tally[:, 1:].any(axis=1))
+            sums = np.bincount(t, weights=value[of], minlength=n)[has]
+            not_kept = r == 0
+            near, far = np.flatnonzero(not_kept & (c < n_hot)), np.flatnonzero(not_kept & (c >= n_hot))
+            near = near[np.argsort(t[near], kind="stable")]
+            asks.append((np.full(len(far), chunk), c[far], t[far]))
+            packed = len(has), _gaps(has), sums.tobytes(), [_narrow(tally[has, k]) for k in range(1, ranks - 1)], len(near), _places(c[near]), _gaps(t[near])
+            out.append({"chunk": chunk, "sums": pickle.dumps(packed)})
+        del number, target, context
+        chunk, c, t = (np.concatenate(x) for x in zip(*asks))
+        for b, own in _by_bucket(c, buckets):
+            out.append({"bucket": b, "asked": pickle.dumps((c[own].tobytes(), chunk[own], t[own]))})
+        trained = np.flatnonzero(count > 0)
+        if len(trained):
+            trained = trained[np.argsort(own_context[trained])]
+            run = _runs(own_context[trained])
+            name, times = hot.keys(own_context[trained][run]), count[trained]
+            low = np.add.reduceat(np.where(kept[trained], 10.0 ** below[trained], 0.0), run)
+            parts = [np.add.reduceat((times == r).astype(np.int64), run) for r in range(1, GOOD_TURING + 1)] + [np.add.reduceat(np.where(times > GOOD_TURING, times, 0), run)]
+            for b, own in _by_bucket(name, buckets):
+                out.append({"bucket": b, "contexts": pickle.dumps((name[own].tobytes(), low[own].tobytes(), [_narrow(x[own]) for x in parts]))})
+            out.append({"levels": np.bincount(times[times <= GOOD_TURING + 1], minlength=ranks).tobytes()})
+            if with_grams:
+                own = hot.keys(own_context[trained])
+                out.append({"grams": pickle.dumps((joined(own, hot.keys(own_suffix[trained])), own, times))})
+        return _frame(out)
+
+    def _below(suffix: np.ndarray, table: pd.DataFrame) -> np.ndarray:
+        known, lp = table["key"].to_numpy(dtype=np.int64).view(np.uint64), table["lp"].to_numpy(dtype=np.float64)
+        by_key = np.argsort(known)
+        known, lp = known[by_key], lp[by_key]
+        near = suffix < n_hot
+        out = np.zeros(len(suffix))
+        out[near] = hot.below[suffix[near].astype(np.int64)]
+        if len(known):
+            far = np.flatnonzero(~near)
+            at = np.minimum(np.searchsorted(known, suffix[far]), len(known) - 1)
+            out[far] = np.where(known[at] == suffix[far], lp[at], 0.0)  # others are not kept
+        return out
+
+    return evaluate
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    columns = [x.split()[0] for x in GRAM_SCHEMA.split(", ")]
+    return pd.DataFrame(rows, columns=columns, dtype=object).astype({"chunk": "Int64", "bucket": "Int64"})
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = _bucket_of(keys, buckets)
+    by_bucket = np.argsort(bucket, kind="stable")
+    for own in np.split(by_bucket, _runs(bucket[by_bucket])[1:]):
+        if len(own):
+            yield int(bucket[own[0]]), own
+
+
+def _context_values(factor: list[float]):
+    """What the sums of contexts, gathered from all buckets, give: log10 of the whole, and with log10 alpha."""
+
+    def evaluate(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, lows, parts = [], [], []
+        for data in rows["contexts"]:
+            key, low, part = pickle.loads(data)
+            keys.append(np.frombuffer(key, np.uint64))
+            lows.append(np.frombuffer(low))
+            parts.append(np.stack([_wide(x, len(keys[-1])) for x in part]))
+        key, low, part = np.concatenate(keys), np.concatenate(lows), np.concatenate(parts, axis=1)
+        by_key = np.argsort(key)
+        run = _runs(key[by_key])
+        low, part = np.add.reduceat(low[by_key], run), np.add.reduceat(part[:, by_key], run, axis=1)
+        times = np.array([*range(1, GOOD_TURING + 1), 1])
+        count = times @ part
+        mass = (times * np.where(np.minimum(np.arange(1, GOOD_TURING + 2), KEEP) == KEEP, factor[1:], 0.0)) @ part
         # a context whose followers lose nothing gets one more count, which goes to the others
-        whole = F.when(F.col("mass") >= F.col("count") * (1 - 1e-12), F.col("mass") + 1).otherwise(F.col("count")).cast("double")
-        alpha = F.log10((whole - F.col("mass")) / whole / F.greatest(1 - F.col("low"), F.lit(1e-12)))
-        contexts = stored(contexts.select(F.col("context").alias("key"), "count", F.struct(whole.alias("whole"), alpha.alias("alpha")).alias("of")), f"katz-contexts-{n}")
-        valued = table.join(contexts.select("key", F.col("of.alpha").alias("alpha")).hint("shuffle_hash"), "key", "left")
-        model.levels.append(_level(valued.select("key", "count", "lp", (F.col("step") + F.coalesce("alpha", F.lit(0.0))).alias("value")), pad(n - 1), n - 1))
-        lp = F.log10(factor * F.col("count") / F.col("c.whole"))
-        columns = "key", "count", (lp if n < order else F.lit(0.0)).alias("lp"), (lp - F.col("c.alpha") - F.col("below")).alias("step")  # no order is left to read the last lp
-        done = _attached(kept, f"katz-steps-{n}", lambda part, c=contexts, own=columns: _attach(part, c, "context", "of", "c", model.hot_count).select(*own))
-        discard(kept, contexts, written)
-        table, written = with_marks(done, n), done
-    model.levels.append(_level(table.select("key", "count", "lp", F.col("step").alias("value")), pad(order), order))
-    discard(written)
-    return model
-
-
-def _level(table: DataFrame, mark: int, order: int) -> Level:
-    table = stored(table, f"katz-table-{order}")
-    row = table.where(F.col("key") == mark).select("value").first()
-    return Level(table.where(F.col("key") != mark), float(row[0]))
+        whole = np.where(mass >= count * (1 - 1e-12), mass + 1, count)
+        free = np.log10((whole - mass) / np.maximum(1 - low, 1e-12))
+        return pd.DataFrame({"key": key[by_key][run].view(np.int64), "total": count, "whole": np.log10(whole), "free": free})
+
+    return evaluate
+
+
+def _asked(asks: pd.DataFrame, contexts: pd.DataFrame) -> pd.DataFrame:
+    """Sums by target of what the contexts of one bucket leave to others, where that was asked for."""
+    key, value = contexts["key"].to_numpy(dtype=np.int64).view(np.uint64), contexts["free"].to_numpy(dtype=np.float64)
+    if not len(key) or not len(asks):
+        return pd.DataFrame({"chunk": [], "sums": []})
+    by_key = np.argsort(key)
+    key, value = key[by_key], value[by_key]
+    wanted, chunk, target = zip(*map(pickle.loads, asks["asked"]))
+    wanted, chunk, target = np.concatenate([np.frombuffer(x, np.uint64) for x in wanted]), np.concatenate(chunk), np.concatenate(target)
+    at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    known = np.flatnonzero(key[at] == wanted)  # contexts that were never seen leave everything to the order below
+    known = known[np.lexsort((target[known], chunk[known]))]
+    out = []
+    for own in np.split(known, _runs(chunk[known])[1:]):
+        if len(own):
+            first = _runs(target[own])
+            out.append((int(chunk[own[0]]), pickle.dumps((len(first), _gaps(target[own][first]), np.add.reduceat(value[at[own]], first).tobytes(), None, 0, b"", b""))))
+    return pd.DataFrame(out, columns=["chunk", "sums"])
+
+
+def _gram_documents(factor: list[float], free: np.ndarray):
+    """All sums of one chunk, one row for each text."""
+    discount = np.log10(factor)
+
+    def evaluate(rows: pd.DataFrame) -> pd.DataFrame:
+        info = pickle.loads(next(x for x in rows["info"] if x is not None))
+        n = len(info["id"])
+        total = np.zeros(n + info["recurring"])
+        for data in rows["sums"]:
+            if data is None:
+                continue
+            m, target, sums, tally, asked, context, by = pickle.loads(data)
+            target = _targets(target, m)
+            total[target] += np.frombuffer(sums)
+            for k, x in enumerate(tally or (), 1):
+                total[target] += discount[k] * _wide(x, m)
+            if asked:
+                total += np.bincount(_targets(by, asked), weights=free[_codes(context, asked, True).astype(np.int64)], minlength=len(total))
+        total[:n] += np.bincount(info["text"], weights=total[n + info["number"]] * info["times"], minlength=n)
+        ids = info["id"]
+        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64").mask(ids == NO_ID), "digest": info["digest"], "total": total[:n]})
+
+    return evaluate
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for data in batch["grams"]:
+            key, context, count = pickle.loads(data)
+            yield pd.DataFrame({"key": key.view(np.int64), "context": context.view(np.int64), "count": count})
+
+
+def gram_sums(rows: DataFrame, lower: DataFrame, n: int, model: Model, buckets: int, with_grams: bool) -> tuple[DataFrame, DataFrame, float, DataFrame | None]:
+    """What the n-grams of rows(doc_id, digest, learn, text) change in each row's score but for the wholes of its contexts.
+
+    lower(key, total, lp) has the order below. Returned are (doc_id, digest, total); contexts(key, total, whole, free)
+    and the whole of the begin marks; and, if asked for, the n-grams as lower of the next order.
+    """
+    hot, buckets = frequent(lower, n - 1, model), 2 * buckets  # each holds all occurrences of its n-grams
+    pieces = rows.mapInPandas(_gram_pieces(n, hot, buckets), "bucket int, chunk long, n int, data binary, info binary")
+    cold = lower.where(F.col("total") < model.hot_count).select(bucket_column(F.col("key"), buckets).alias("bucket"), "key", "lp")
+    found = stored(pieces.groupBy("bucket").cogroup(cold.groupBy("bucket")).applyInPandas(_gram_counter(hot, buckets, with_grams), GRAM_SCHEMA), f"katz-counts-{n}")
+    levels = np.zeros(GOOD_TURING + 2, dtype=np.int64)
+    for (data,) in found.where("levels is not null").select("levels").collect():  # GOOD_TURING + 2 numbers from each bucket
+        levels += np.frombuffer(data, dtype=np.int64)
+    factor = good_turing(dict(enumerate(levels.tolist())))
+    by_bucket = found.where("contexts is not null").select("bucket", "contexts").groupBy("bucket")
+    contexts = stored(by_bucket.applyInPandas(_context_values(factor), "key long, total long, whole double, free double"), f"katz-contexts-{n}")
+    mark = int(hot.names[:1].view(np.int64)[0])
+    near = contexts.where(F.col("key") == mark).unionByName(contexts.join(F.broadcast(lower.where(F.col("total") >= model.hot_count).select("key")), "key", "left_semi")).select("key", "whole", "free").toArrow()
+    by_name = dict(zip(near["key"].to_pylist(), near["free"].to_pylist()))  # at most HOT, and the begin marks
+    free = np.array([by_name.get(k, 0.0) for k in hot.names.view(np.int64).tolist()])
+    begin = next((w for k, w in zip(near["key"].to_pylist(), near["whole"].to_pylist()) if k == mark), 0.0)
+    values = contexts.select(bucket_column(F.col("key"), buckets).alias("bucket"), "key", "free")
+    asks = found.where("asked is not null").select("bucket", "asked").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInPandas(_asked, "chunk long, sums binary")
+    by_chunk = found.where("chunk is not null").select("chunk", "info", "sums").unionByName(asks, allowMissingColumns=True).groupBy("chunk")
+    sums = stored(by_chunk.applyInPandas(_gram_documents(factor, free), "doc_id long, digest long, total double"), f"katz-grams-{n}")
+    table = None
+    if with_grams:
+        grams_ = found.where("grams is not null").select("grams").mapInPandas(_unpacked, "key long, context long, count long")
+        discounts = F.element_at(F.array(*[F.lit(x) for x in factor]), (F.least(F.col("count"), F.lit(GOOD_TURING + 1)) + 1).cast("int"))
+        valued = _attach(grams_.where(F.col("count") >= KEEP), contexts, "context", "whole", model.hot_count)
+        table = stored(valued.select("key", F.col("count").alias("total"), (F.log10(discounts * F.col("count")) - F.col("whole")).alias("lp")), f"katz-table-{n}")
+    discard(found)
+    return sums, contexts, begin, table
+
+
+def _attach(rows: DataFrame, table: DataFrame, on: str, name: str, hot_count: int) -> DataFrame:
+    """rows with `name` of the table's row whose key is in column `on`; every row has one.
+
+    Rows of the at most HOT frequent keys are resolved by a broadcast of that bound, so no key is a large group.
+    """
+    wanted = table.select(F.col("key").alias(on), name, "total")
+    hot = wanted.where(F.col("total") >= hot_count).drop("total")
+    cold = wanted.where(F.col("total") < hot_count).drop("total")
+    first = rows.join(F.broadcast(hot), on, "left")
+    return first.where(F.col(name).isNotNull()).unionByName(first.where(F.col(name).isNull()).drop(name).join(cold.hint("shuffle_hash"), on))
 
 
 # --- scoring ---------------------------------------------------------------------------------------
 
+def _ids(batch: pd.DataFrame) -> np.ndarray:
+    return np.array([int(i) if isinstance(i, str) else NO_ID for i in batch["doc_id"].tolist()], dtype=np.int64)
+
+
 SUMS = 3  # of values, of unigram log probabilities and of known words
 
 
@@ -331,7 +601,7 @@ def _pieces(order: int, hot_keys: np.ndarray, hot_values: np.ndarray, buckets: i
             return pd.DataFrame(rows, columns=["bucket", "chunk", "low", "high", "gaps", "info"])
 
         for batch in batches:
-            ids = np.array([int(i) if isinstance(i, str) else NO_ID for i in batch["doc_id"].tolist()], dtype=np.int64)
+            ids = _ids(batch)
             digest, learn = batch["digest"].to_numpy(dtype=np.int64), batch["learn"].to_numpy(dtype=bool)
             for first, n, words, doc in grams(batch["text"].tolist(), order):
                 key = keys_of(words)[0]
@@ -359,7 +629,7 @@ def _evaluator(missing: np.ndarray):
         keys = table["key"].to_numpy(dtype=np.int64).view(np.uint64) & LOW48
         order = np.argsort(keys)
         keys = keys[order]
-        values = np.stack([table["value"].to_numpy(dtype=np.float64)[order], table["lp"].to_numpy(dtype=np.float64)[order], np.ones(len(order))], axis=1)
+        values = np.stack([table["value"].to_numpy(dtype=np.float64)[order], table["lp"].to_numpy(dtype=np.float64)[order], table["known"].to_numpy(dtype=np.float64)[order]], axis=1)
         out = []
         for row in pieces.itertuples(index=False):
             if row.info is not None:
@@ -392,18 +662,16 @@ def _documents(rows: pd.DataFrame) -> pd.DataFrame:
 
 def level_sums(rows: DataFrame, level: Level, order: int, model: Model, buckets: int) -> DataFrame:
     """(doc_id, digest, learn, n_tokens, total, base, known): the sums of one order over the n-grams of every row of rows(doc_id, digest, learn, text)."""
-    hot = level.table.where(F.col("count") >= model.hot_count).select("key", "value", "lp").toArrow()  # at most HOT rows
+    hot = level.table.where(F.col("total") >= model.hot_count).select("key", "value", "lp", "known").toArrow()  # at most HOT rows
     keys = hot["key"].to_numpy().astype(np.int64).view(np.uint64)
     by_key = np.argsort(keys)
-    values = np.stack([hot["value"].to_numpy()[by_key], hot["lp"].to_numpy()[by_key], np.ones(len(keys))], axis=1)
+    values = np.stack([hot[x].to_numpy().astype(np.float64)[by_key] for x in ("value", "lp", "known")], axis=1)
     missing = np.array([model.unknown, model.unknown, 0.0]) if order == 1 else np.zeros(SUMS)
     pieces = rows.mapInPandas(_pieces(order, keys[by_key], values, buckets), "bucket int, chunk long, low binary, high binary, gaps binary, info binary")
-    cold = level.table.where(F.col("count") < model.hot_count).select(bucket_column(F.col("key"), buckets).alias("bucket"), "key", "value", "lp")
+    cold = level.table.where(F.col("total") < model.hot_count).select(bucket_column(F.col("key"), buckets).alias("bucket"), "key", "value", "lp", "known")
     sums = pieces.groupBy("bucket").cogroup(cold.groupBy("bucket")).applyInPandas(_evaluator(missing), "chunk long, info binary, docs binary, sums binary")
     found = sums.groupBy("chunk").applyInPandas(_documents, "doc_id long, digest long, learn boolean, n_tokens long, total double, base double, known long")
-    out = stored(found.withColumn("total", F.col("total") + F.lit(level.begin)), f"katz-sums-{order}")
-    discard(level.table)
-    return out
+    return stored(found.withColumn("total", F.col("total") + F.lit(level.begin)), f"katz-sums-{order}")
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -412,10 +680,27 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     buckets = max(12, input_partitions(spark, docs))
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), F.coalesce("learn", F.lit(False)).alias("learn"))
-    model = train(rows.where("learn").select("text"), order, buckets)
+    model, words = word_model(rows)
+    lower, below, wholes, changes = words, words, [], []
+    for n in range(2, order + 1):
+        sums, contexts, begin, table = gram_sums(rows, lower, n, model, buckets, n < order)
+        if n > 2:
+            discard(lower)
+        changes.append(sums)
+        wholes.append((contexts, begin))
+        lower = table
+    word = below.select("key", "total", "lp", F.when(F.col("count") > 0, 1.0).otherwise(0.0).alias("known"))
+    word = word.join(wholes[0][0].select("key", "whole").hint("shuffle_hash"), "key", "left") if wholes else word.withColumn("whole", F.lit(0.0))
+    levels = [Level(stored(word.select("key", "total", (F.col("lp") - F.coalesce("whole", F.lit(0.0))).alias("value"), "lp", "known"), "katz-values"), -wholes[0][1] if wholes else 0.0)]
+    levels += [Level(c.select("key", "total", (-F.col("whole")).alias("value"), F.lit(0.0).alias("lp"), F.lit(0.0).alias("known")), -begin) for c, begin in wholes[1:]]
+    discard(words, *[c for c, _ in wholes[:1]])
+    out = level_sums(rows, levels[0], 1, model, buckets)
+    for n, level in enumerate(levels[1:], 2):
+        changes.append(level_sums(rows, level, n, model, buckets))
+    discard(*[level.table for level in levels])
     key = [F.coalesce("doc_id", F.lit(0)).alias("id_key"), F.col("doc_id").isNull().alias("id_null"), "digest"]
-    out = level_sums(rows, model.levels[0], 1, model, buckets).select("*", *key[:2])
-    for n, level in enumerate(model.levels[1:], 2):
-        more = level_sums(rows, level, n, model, buckets).select(*key, F.col("total").alias("more")).dropDuplicates(["id_key", "id_null", "digest"])
+    out = out.select("*", *key[:2])
+    for change in changes:
+        more = change.select(*key, F.col("total").alias("more")).dropDuplicates(["id_key", "id_null", "digest"])
         out = out.join(more, ["id_key", "id_null", "digest"]).withColumn("total", F.col("total") + F.col("more")).drop("more")
     return out.select("doc_id", "learn", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("total").alias("score"))

@@ -307,6 +307,33 @@ def test_katz_keeps_pairs_that_occur_once(spark):
     assert math.isclose(found["score"], 5 * math.log10(once) - math.log10(len(texts)), abs_tol=1e-9)
 
 
+def test_katz_stores_no_row_for_each_pair(spark, monkeypatch):
+    """Pairs are exchanged and kept packed, so that neither joins nor tables grow a row for each of them."""
+    rows, put = [], katz.stored
+    monkeypatch.setattr(katz, "stored", lambda df, label: (out := put(df, label), rows.append(out.count()))[0])
+    texts = [prose(400, i) for i in range(60)]
+    assert katz.score(spark.createDataFrame([(i, t, i % 5 != 1) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean")).count() == 60
+    pairs = {p for t in texts for p in zip(t.split(), t.split()[1:])}
+    assert len(pairs) > 20_000 and sum(rows) < len(pairs) / 2
+
+
+def test_katz_of_recurring_pairs_in_many_chunks(spark, monkeypatch):
+    """n-grams that recur in a chunk are sent once: known ones, ones learnt from some of its texts, and ones never learnt."""
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(katz, "HOT", 20)
+    r = random.Random(8)
+    texts = {i: " ".join(WORDS[int(40 * r.random() ** 2)] for _ in range(40)) for i in range(50)}
+    texts |= {60: "new1 new2 " * 40, 61: "new1 new2 " * 30, 66: "other words " * 40, 71: f"{WORDS[0]} {WORDS[39]} other " * 50, 72: f"{WORDS[1]} {WORDS[2]} " * 40}
+    tokens, learn = {i: t.lower().split() + ["</s>"] for i, t in texts.items()}, {i: i % 5 != 1 for i in texts}
+    docs = spark.createDataFrame([(i, t, learn[i]) for i, t in texts.items()], "doc_id long, text string, learn boolean").coalesce(1)
+    for order in (2, 3):
+        found = {x["doc_id"]: x["score"] for x in katz.score(docs, order).collect()}
+        p, _ = direct_katz(tokens, learn, order)
+        for i, t in tokens.items():
+            seq = ["<s>"] * (order - 1) + t
+            assert math.isclose(found[i], sum(math.log10(p(seq[k], tuple(seq[k - order + 1 : k]))) for k in range(order - 1, len(seq))), abs_tol=1e-9)
+
+
 def test_discounts_of_irregular_counts():
     assert katz.good_turing({})[1:-1] == [r / (r + 1) for r in range(1, 6)]
     for levels in ({1: 5, 2: 9}, {2: 4}, {r: 7 for r in range(1, 7)}, {1: 900, 2: 300, 3: 140, 4: 90, 5: 60, 6: 45}):
