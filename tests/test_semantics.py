@@ -249,6 +249,19 @@ def test_attachments():
     assert extract(b"x" * 5_000_001, "txt")[0] == "too_large"
 
 
+def test_long_attachments_are_read_whole():
+    import io
+    import zipfile
+
+    long = "가나 " * 50_000
+    assert extract(long.encode(), "txt") == ("ok", long)
+    assert extract((" " * 100_000 + "x").encode(), "txt")[0] == "ok"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("Contents/section0.xml", "<p>" + "나" * 150_000 + "</p>")
+    assert extract(out.getvalue(), "hwpx") == ("ok", "나" * 150_000)
+
+
 def test_schedule_links_stay_with_the_event():
     links = [("/e/1/schedule", "일정"), ("/e/2/schedule", "일정"), ("/e/1/prizes", "상금")]
     assert H.schedule_links(links, "https://x.org/e/1/overview") == ["https://x.org/e/1/schedule"]
