@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .text import let
 
 #: Query keys that carry no identity.
 TRACKING = ["jsessionid", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mode"]
@@ -60,19 +63,22 @@ def public_url(url: Column) -> Column:
     Hosts without a dot, with an inner ending, and numeric ones that are no public address are refused, as are addresses with blanks, quotes, brackets or backslashes.
     """
     authority = F.regexp_extract(url, r"^(?i:https)://([^/?#]+)", 1)
-    host = F.lower(F.regexp_replace(authority, r":(?:443)?$", ""))
-    number = _number(host)
-    inner = F.lit(False)
-    for first, bits in P.INNER_NETWORKS:
-        low = sum(int(x) << shift for x, shift in zip(first.split("."), (24, 16, 8, 0)))
-        inner = inner | number.between(low, low + (1 << (32 - bits)) - 1)
-    numeric = host.rlike(r"^[\d.]+$")
-    ending = F.lit(False)
-    for x in P.INNER_HOSTS:
-        ending = ending | host.endswith(x)
-    named = (host != "") & ~host.contains("@") & ~host.contains(":") & host.contains(".") & ~ending
+    ending = lambda host: reduce(Column.__or__, [host.endswith(x) for x in P.INNER_HOSTS])
+
+    def outside(host: Column, number: Column) -> Column:
+        """Whether a numeric host is a public address."""
+        inner = F.lit(False)
+        for first, bits in P.INNER_NETWORKS:
+            low = sum(int(x) << shift for x, shift in zip(first.split("."), (24, 16, 8, 0)))
+            inner = inner | number.between(low, low + (1 << (32 - bits)) - 1)
+        return number.isNotNull() & (~inner | host.isin(*P.PUBLIC_INSIDE))
+
+    def reachable(host: Column) -> Column:
+        named = (host != "") & ~host.contains("@") & ~host.contains(":") & host.contains(".") & ~ending(host)
+        return named & F.when(host.rlike(r"^[\d.]+$"), let(_number(host), lambda number: outside(host, number))).otherwise(True)
+
     spelled = (F.length(url) <= P.MAX_ADDRESS) & ~url.rlike(r'[\s\\<>"\x00-\x1f]')
-    return F.coalesce(spelled & named & (~numeric | (number.isNotNull() & (~inner | host.isin(*P.PUBLIC_INSIDE)))), F.lit(False))
+    return F.coalesce(spelled & let(F.lower(F.regexp_replace(authority, r":(?:443)?$", "")), reachable), F.lit(False))
 
 
 def platform_key(url: Column) -> Column:

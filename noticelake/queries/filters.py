@@ -88,7 +88,8 @@ def payload_quarantine(spark, d):
     }
     payload = F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
     kind = F.when(id_ % 11 == 0, "delete_notice").otherwise("add_notice")
-    rows = notices(Tables(spark, d)).where("deadline is not null").select("id", kind.alias("kind"), payload.alias("payload"))
+    dealt = notices(Tables(spark, d)).where("deadline is not null").repartition("id")  # a file of one row group would be judged by one task
+    rows = dealt.select("id", kind.alias("kind"), payload.alias("payload"))
     return rows.select("id", F.array_join(broken_rules(F.col("kind"), F.col("payload"), F.lit(NOW).cast("date")), ",").alias("broken"))
 
 

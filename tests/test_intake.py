@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import requests as R
 from noticelake.functions import timing as M
+from noticelake.functions import urls as U
 from noticelake.plans import digest
 from noticelake.plans.intake import take_in
 from noticelake.sources.versions import read_version, versions, write_version
@@ -40,6 +41,14 @@ def test_payloads_of_a_closed_world(spark):
     assert [(c, found[i]) for i, c in enumerate(CASES) if found[i] != c[2]] == [] and found[len(CASES)] == found[len(CASES) + 1] == ["payload"]
 
 
+def test_a_payload_is_parsed_once(spark):
+    frame = spark.createDataFrame([("report", "{}")], "kind string, payload string")
+    plan = frame.select(R.broken_rules(F.col("kind"), F.col("payload"), today()).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") == 1 and plan.count("json_object_keys") == 0
+    guarded = frame.select(U.public_url(F.col("payload")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert guarded.count("(?i:https)") == 1
+
+
 def test_requests_apply_once_and_bad_ones_write_nothing(spark, tmp_path):
     folder = f"{tmp_path}/state"
     batch = lambda *rows: spark.createDataFrame([(n, k, json.dumps(p)) for n, k, p in rows], "number long, kind string, payload string")
