@@ -1,7 +1,10 @@
 """Keyed state over many batches: the same log as merging batch by batch, claims given once, replays, and cost that does not grow."""
 
+import datetime
+import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +68,99 @@ def test_a_batch_reads_only_its_own_keys(spark, folder, monkeypatch):
     parts = [[(1000 * n + i, "a", "t", None, None, None) for i in range(200 if n == 0 else 5)] for n in range(6)]
     S.merge_stream(folder(parts), RULES, spark.createDataFrame([("a",)], "source string"), F.lit("2026-01-01").cast("timestamp_ntz"))
     assert [r["count"] for r in seen[0]] == [200, 5, 5, 5, 5, 5]
+
+
+class _Handle:
+    """State of one bucket in memory, which counts the calls of its store."""
+
+    def __init__(self):
+        self.values, self.maps, self.calls = {}, {}, 0
+
+    def getValueState(self, name, schema, ttl=None):
+        return _Value(self)
+
+    def getMapState(self, name, key, value, ttl=None):
+        return _Map(self)
+
+
+class _Value:
+    def __init__(self, handle):
+        self.handle = handle
+
+    def exists(self):
+        return "value" in self.handle.values
+
+    def get(self):
+        return self.handle.values.get("value")
+
+    def update(self, value):
+        self.handle.values["value"] = value
+
+
+class _Map(_Value):
+    def getValue(self, key):
+        self.handle.calls += 1
+        return self.handle.maps.get(key)
+
+    def updateValue(self, key, value):
+        self.handle.calls += 1
+        self.handle.maps[key] = value
+
+
+class _Now:
+    def __init__(self, now=0):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def bucket_of(processor, rows, now=0):
+    """What one call for a bucket gives for rows(key, title, at): (key, title, change, first seen, last changed)."""
+    frame = pd.DataFrame([(f"={k}", json.dumps(t), json.dumps({"id": k, "title": t}), True, at) for k, t, at in rows], columns=["key", "rank", "row", "ready", "at"])
+    found = [r for part in processor.handleInputRows((0,), iter([frame]), _Now(now)) for r in part.itertuples(index=False)]
+    return sorted((r.key, json.loads(r.row).get("title"), r.change, r.first_seen, r.last_changed) for r in found)
+
+
+def test_a_large_batch_takes_few_calls_of_the_store():
+    processor, handle = S._Merges(Rules("id", "source", ["title"], ["title"]), None), _Handle()
+    processor.init(handle)
+    assert len(bucket_of(processor, [(k, "t", "1") for k in range(20_000)])) == 20_000
+    assert handle.calls <= 2_000
+    handle.calls = 0
+    assert bucket_of(processor, [(7, "t", "2"), (8, "u", "2")]) == [("=7", "t", None, "1", "1"), ("=8", "u", "updated", "1", "2")]
+    assert handle.calls == 4 and max(len(json.loads(page)) for (page,) in handle.maps.values()) < 4 * S.PAGE
+
+
+def test_growing_buckets_are_dealt_anew(monkeypatch):
+    monkeypatch.setattr(S, "PAGE", 2)
+    r, processor, handle, known = random.Random(3), S._Merges(Rules("id", "source", ["title"], ["title"]), None), _Handle(), {}
+    processor.init(handle)
+    for at in "123456":
+        rows = [(k, r.choice("xy"), at) for k in r.sample(range(60), 12)]
+        want = []
+        for k, title, _ in rows:
+            old = known.get(k)
+            change = "new" if old is None else "updated" if old[0] != title else None
+            known[k] = title, old[1] if old else at, at if change else old[2]
+            want.append((f"={k}", title, change, *known[k][1:]))
+        assert bucket_of(processor, rows) == sorted(want)
+    held = [name for (page,) in handle.maps.values() for name in json.loads(page)]
+    assert sorted(held) == sorted(f"={k}" for k in known) and handle.values["value"][1] == len(known)
+
+
+def test_idle_keys_are_new_again():
+    processor, day = S._Merges(Rules("id", "source", ["title"], ["title"]), 2), 86_400_000
+    processor.init(_Handle())
+    assert [x[2] for x in bucket_of(processor, [(1, "t", "1"), (2, "t", "1")], 0)] == ["new", "new"]
+    assert bucket_of(processor, [(1, "t", "2")], day) == [("=1", "t", None, "1", "1")]
+    assert [x[2] for x in bucket_of(processor, [(1, "t", "3"), (2, "t", "3")], 2 * day)] == [None, "new"]
+
+
+def test_keys_of_any_type_come_back(spark, folder):
+    ready, now = spark.createDataFrame([("a",)], "source string"), F.lit("2026-01-01").cast("timestamp_ntz")
+    keys = [datetime.datetime(2026, 1, 2, 3, 4, 5, 678901), None, datetime.datetime(1969, 1, 1)]
+    schema = "id timestamp, source string, title string"
+    _, log = S.merge_stream(folder([[(k, "a", "x") for k in keys], [(keys[0], "a", "x"), (None, "a", "y")]], schema), Rules("id", "source", ["title"], ["title"]), ready, now)
+    found = sorted(((r["id"], r["title"], r["change"]) for r in log.collect()), key=repr)
+    assert found == sorted([*((k, "x", "new") for k in keys), (None, "y", "updated")], key=repr)
