@@ -12,15 +12,26 @@ That is one decision after the other, but few notices take part in any. They are
 * notices with one year and an official id (or where everything that keys connect has at most one official id) always end together if they share a
   key: whatever has joined one of them has that year and id, or leaves them open.
 
-What remains is a table of classes by key, decided by component of keys, some `DEAL` rows of whole components at a time. The size of a component follows the different facts and key sets of a component,
+Most keys need none of that: where all notices of a key have that key alone, and they are no more than `HOT`, the key is a component of its own. These are sorted in one
+exchange and decided as they stream by; notices with equal facts go the same way, so a key costs its different facts. Only the rest takes part in the contraction.
+
+What remains of it is a table of classes by key, decided by component of keys, some `DEAL` rows of whole components at a time. The size of a component follows the different facts and key sets of a component,
 not its notices: a key of a million equal notices is one row.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..workspace import discard, stored
 from .graph import components
@@ -28,6 +39,8 @@ from .graph import components
 _BIRTH = ["unseen", "first_seen", "id"]
 #: Rows of components that one group of `applyInPandas` takes; a larger component is a group of its own size.
 DEAL = 20_000
+#: Notices of a key that are held in memory together, rows of a sorted partition, and cells in which keys are counted together.
+HOT, PART_ROWS, CELLS = 50_000, 1_000_000, 1 << 20
 
 
 def _linked(tokens: DataFrame, by: list[str]) -> DataFrame:
@@ -77,6 +90,76 @@ def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "cluster": [root(x) for x in nodes]}, dtype="int64")
 
 
+class _Facts:
+    """Facts of notices (years and official id, as JSON) by number, and which of them agree."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.parsed: list[tuple[frozenset, str | None]] = []
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def number(self, text: str) -> int:
+        if text not in self.numbers:
+            found = json.loads(text)
+            self.numbers[text] = len(self.parsed)
+            self.parsed.append((frozenset(found["years"]), found.get("official")))
+        return self.numbers[text]
+
+    def agree(self, a: int, b: int) -> bool:
+        if (a, b) not in self.known:
+            (x, p), (y, q) = self.parsed[a], self.parsed[b]
+            self.known[a, b] = (not x or not y or bool(x & y)) and (p is None or q is None or p == q)
+        return self.known[a, b]
+
+
+def _groups(codes: list[int], starts: list[int], facts: _Facts) -> tuple[np.ndarray, np.ndarray]:
+    """For every row the place of the first row of its group, and the size of the group; rows of a key are in order, keys begin at `starts`."""
+    leader = np.arange(len(codes))
+    for low, high in zip(starts, [*starts[1:], len(codes)]):
+        if high - low == 1:
+            continue
+        groups: list[tuple[int, list[int]]] = []
+        joined: dict[int, int] = {}  # what has the facts of a notice before it joins the same group: groups before that disagree with it still
+        for i in range(low, high):
+            code = codes[i]
+            if code not in joined:
+                for first, held in groups:
+                    if all(facts.agree(code, other) for other in held):
+                        held.append(code)
+                        joined[code] = first
+                        break
+                else:
+                    groups.append((i, [code]))
+                    joined[code] = i
+            leader[i] = joined[code]
+    return leader, np.bincount(leader, minlength=len(codes))[leader]
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, grp, members) of rows(id, scope, key, facts) sorted by key and then by age; a key may reach over batches."""
+    facts, rest = _Facts(), None
+
+    def decided(table: pa.Table, starts: np.ndarray) -> list[pa.RecordBatch]:
+        told = table.column("facts").combine_chunks().dictionary_encode()
+        numbers = np.array([facts.number(x) for x in told.dictionary.to_pylist()], dtype=np.int64)
+        leader, members = _groups(numbers[told.indices.to_numpy()].tolist(), starts.tolist(), facts)
+        ids = table.column("id").combine_chunks()
+        return pa.table({"id": ids, "grp": ids.take(pa.array(leader)), "members": pa.array(members, pa.int64())}).to_batches()
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if table.num_rows == 0:
+            continue
+        columns = [table.column(name).combine_chunks() for name in ("scope", "key")]
+        new = np.logical_or.reduce([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in columns])
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if len(starts) > 1:
+            yield from decided(table.slice(0, starts[-1]), starts[:-1])
+        rest = table.slice(starts[-1])
+    if rest is not None:
+        yield from decided(rest, np.array([0]))
+
+
 def grouped(notices: DataFrame) -> DataFrame:
     """(id, grp, members) of notices(id, first_seen, scope, years array, keys array[, official]); grp is the oldest member's id.
 
@@ -85,11 +168,43 @@ def grouped(notices: DataFrame) -> DataFrame:
     an empty result.
     """
     official = F.col("official").cast("string") if "official" in notices.columns else F.lit(None).cast("string")
-    text_list = lambda name: F.array_distinct(F.filter(F.coalesce(F.col(name).cast("array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    texts = F.array().cast("array<string>")
+    text_list = lambda name: F.array_except(F.coalesce(F.col(name).cast("array<string>"), texts), F.array(F.lit(None).cast("string")))  # noqa: E731  (different ones, no nulls)
     rows = notices.select(
         "id", F.col("first_seen").isNull().alias("unseen"), "first_seen", F.coalesce(F.col("scope").cast("string"), F.lit("")).alias("scope"),
-        F.array_sort(text_list("years")).alias("years"), official.alias("official"), text_list("keys").alias("keys"),
+        F.sort_array(text_list("years")).alias("years"), official.alias("official"), text_list("keys").alias("keys"),
     )
+    # how many notices there are, and whether any have several keys or any key may have many notices: keys are counted by cells first, exactly only where that leaves it open
+    n = F.size("keys")
+    cells = rows.groupBy(F.pmod(F.xxhash64("scope", F.get("keys", F.lit(0))), F.lit(CELLS))).agg(F.count("*").alias("rows"), *[F.count(F.when(x, 1)).alias(name) for name, x in {"keyless": n == 0, "single": n == 1, "several": n > 1}.items()])
+    found = cells.agg(F.sum("rows").alias("rows"), F.sum("keyless").alias("keyless"), F.sum("single").alias("single"), F.max("single").alias("crowd"), F.sum("several").alias("several")).first()
+    if not found["rows"]:
+        return rows.select("id", F.col("id").alias("grp"), F.lit(0).cast("long").alias("members"))
+    parts = [rows.where(n == 0).select("id", F.col("id").alias("grp"), F.lit(1).cast("long").alias("members"))] if found["keyless"] else []
+    several, single = rows.where(n > 1), rows.where(n == 1).withColumn("key", F.col("keys")[0])
+    if not found["single"]:
+        parts.append(_contracted(several))
+    elif found["several"] or found["crowd"] > HOT:  # keys whose notices need more than themselves; a key counts in all scopes, as its turn is the same in all of them
+        sharers = rows.select(n.alias("n"), F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("sharers"), F.max("n").alias("n"))
+        wide = stored(sharers.where((F.col("n") > 1) | (F.col("sharers") > HOT)).select("key"), "group-wide")
+        parts.append(_contracted(several.unionByName(single.join(wide, "key", "left_semi").select(rows.columns))))
+        parts.append(_streamed(single.join(wide, "key", "left_anti"), found["single"]))
+    else:
+        parts.append(_streamed(single, found["single"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _streamed(single: DataFrame, count: int) -> DataFrame:
+    """Groups of notices that have one key each, a key being no larger than what a task may hold."""
+    told = single.select("id", "unseen", "first_seen", "scope", "key", F.to_json(F.struct("years", "official")).alias("facts"), F.xxhash64("scope", "key").alias("bucket"))
+    parts = max(int(single.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // PART_ROWS))
+    ordered = told.repartition(parts, "bucket").sortWithinPartitions("bucket", "scope", "key", "unseen", "first_seen", "id")
+    kind = single.schema["id"].dataType
+    return ordered.select("id", "scope", "key", "facts").mapInArrow(_settle, T.StructType().add("id", kind).add("grp", kind).add("members", "long"))
+
+
+def _contracted(rows: DataFrame) -> DataFrame:
+    """Groups of notices by contraction, as the module says."""
     rows = stored(rows.withColumn("node", F.monotonically_increasing_id()), "group-rows")
     birth: Column = F.struct(*_BIRTH)
     tokens = rows.select("node", "scope", *_BIRTH, "years", "official", F.posexplode("keys").alias("pos", "key"))
@@ -119,7 +234,7 @@ def grouped(notices: DataFrame) -> DataFrame:
     deal = F.pmod(F.xxhash64("component"), F.lit(max(1, deals))).alias("deal")
     decided = stored(left.groupBy(deal).applyInPandas(_decide, "node long, cluster long"), "group-decided")
     out = rows.select("id", *_BIRTH, "node").join(classes, "node", "left").withColumn("node", F.coalesce("class", "node"))
-    out = stored(out.join(decided, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")).select("cluster", "id", *_BIRTH[:2]), "group-clusters")
+    out = stored(out.join(decided, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")).select("cluster", *_BIRTH), "group-clusters")
     discard(rows, held, placed, connected, settled_tokens, classes, places, decided)
     groups = out.groupBy("cluster").agg(F.min(birth)["id"].alias("grp"), F.count("*").alias("members"))
     return out.join(groups, "cluster").select("id", "grp", "members")

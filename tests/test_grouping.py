@@ -75,3 +75,47 @@ def test_years_overlap_and_open_years(spark):
     found = {r["id"]: (r["grp"], r["members"]) for r in grouped(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {"a": ("a", 2), "b": ("a", 2), "c": ("c", 2), "d": ("c", 2)}
     assert grouped(spark.createDataFrame([], re.sub("id string", "id long", SCHEMA, count=1))).count() == 0
+
+
+def found_in(spark, rows, parts=1):
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(parts) if parts > 1 else spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    return sorted(tuple(r) for r in grouped(frame).collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keys_of_their_own_are_decided_as_they_stream_by(spark, seed, monkeypatch):
+    """One key a notice, keys longer than a batch, some larger than a task holds, some beside notices of several keys."""
+    from noticelake.operators import grouping
+
+    monkeypatch.setattr(grouping, "HOT", 25)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        r = random.Random(seed)
+        rows = [(i, s, c, y, r.choice([None, [], ["hot"], *[[f"k{r.randrange(12)}"]] * 9]), o) for i, s, c, y, _, o in rows_of(seed, 130, ["x", "y", "z"], [None, None, "x", "y"], ["", "", "b"])]
+        for several in ([], [("several", D(2026, 1, 3), "", [2026], ["k1", "k2"], None)]):
+            assert {r[0]: r[1:] for r in found_in(spark, rows + several, 3)} == direct(rows + several)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ids_keep_their_type(spark):
+    schema = "id struct<a: long, b: timestamp>, first_seen date, scope string, years array<int>, keys array<string>, official string"
+    at, day = datetime.datetime(2026, 1, 1, 2, 3, 4, 567890), D(2026, 1, 1)
+    rows = [((1, at), day, "", [2026], ["k"], None), ((2, None), day, "", [], ["k", None, "k"], None), ((3, at), None, None, None, None, None)]
+    assert sorted((tuple(r["id"]), tuple(r["grp"]), r["members"]) for r in grouped(spark.createDataFrame(rows, schema)).collect()) == [((1, at), (1, at), 2), ((2, None), (1, at), 2), ((3, at), (3, at), 1)]
+
+
+def test_one_key_a_notice_takes_no_contraction(spark, monkeypatch):
+    from noticelake.operators import grouping
+
+    monkeypatch.setattr(grouping, "components", lambda edges: pytest.fail("no components to find"))
+    day = D(2026, 1, 1)
+    assert found_in(spark, [("a", day, "", [2026], ["k"], None), ("b", day, "", [2026], ["k"], None), ("c", day, "", [2026], ["l"], None)]) == [("a", "a", 2), ("b", "a", 2), ("c", "c", 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_key_has_one_turn_in_all_scopes(spark, seed):
+    """Keys that notices of one scope have alone may come first, and turn the order, in another scope."""
+    r = random.Random(seed)
+    rows = [(i, s, c, y, r.sample([f"k{n}" for n in range(9)], 1 if c == "a" else r.choice([1, 2, 3])), o) for i, s, c, y, _, o in rows_of(seed + 20, 60, ["x", "y", "z"], [None, None, "x", "y"], ["a", "b"])]
+    assert {r[0]: r[1:] for r in found_in(spark, rows)} == direct(rows)
