@@ -36,7 +36,8 @@ from pyspark.sql import types as T
 from ..workspace import discard, stored
 from .graph import components
 
-_BIRTH = ["unseen", "first_seen", "id"]
+#: The order of notices. Notices of one instant and id are told apart by all that is known of them, so that the result doesn't depend on how rows arrive.
+_BIRTH = ["unseen", "first_seen", "id", "tie"]
 #: Rows of components that one group of `applyInPandas` takes; a larger component is a group of its own size.
 DEAL = 20_000
 #: Notices of a key that are held in memory together, rows of a sorted partition, and cells in which keys are counted together.
@@ -198,13 +199,14 @@ def _streamed(single: DataFrame, count: int) -> DataFrame:
     """Groups of notices that have one key each, a key being no larger than what a task may hold."""
     told = single.select("id", "unseen", "first_seen", "scope", "key", F.to_json(F.struct("years", "official")).alias("facts"), F.xxhash64("scope", "key").alias("bucket"))
     parts = max(int(single.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // PART_ROWS))
-    ordered = told.repartition(parts, "bucket").sortWithinPartitions("bucket", "scope", "key", "unseen", "first_seen", "id")
+    ordered = told.repartition(parts, "bucket").sortWithinPartitions("bucket", "scope", "key", "unseen", "first_seen", "id", "facts")
     kind = single.schema["id"].dataType
     return ordered.select("id", "scope", "key", "facts").mapInArrow(_settle, T.StructType().add("id", kind).add("grp", kind).add("members", "long"))
 
 
 def _contracted(rows: DataFrame) -> DataFrame:
     """Groups of notices by contraction, as the module says."""
+    rows = rows.withColumn("tie", F.to_json(F.struct("scope", "years", "official", "keys")))
     rows = stored(rows.withColumn("node", F.monotonically_increasing_id()), "group-rows")
     birth: Column = F.struct(*_BIRTH)
     tokens = rows.select("node", "scope", *_BIRTH, "years", "official", F.posexplode("keys").alias("pos", "key"))

@@ -82,6 +82,15 @@ def found_in(spark, rows, parts=1):
     return sorted(tuple(r) for r in grouped(frame).collect())
 
 
+@pytest.mark.parametrize("beside", [[], [("z", D(2026, 1, 1), "", [2026], ["k", "other"], None), ("y", D(2026, 1, 2), "", [2026], ["other"], None)]])
+def test_notices_of_one_instant_and_id_do_not_depend_on_how_they_arrive(spark, beside):
+    """By facts, not by place: of two notices that an order by instant and id leaves open the same one is first."""
+    day = D(2026, 2, 1)
+    twins = [("a", day, "", [1998, 1997], ["k"], "0"), ("a", day, "", [1999, 1997], ["k"], "1")]
+    rest = [("b", D(2026, 1, 1), "", [1997, 1995], ["k"], None), ("a", D(2026, 3, 1), "", [1999, 1997], ["k"], None), ("b", D(2026, 4, 1), "", [2001, 1999], ["k"], None)]
+    assert found_in(spark, [*twins, *rest, *beside]) == found_in(spark, [*beside, *rest, *reversed(twins)])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_keys_of_their_own_are_decided_as_they_stream_by(spark, seed, monkeypatch):
     """One key a notice, keys longer than a batch, some larger than a task holds, some beside notices of several keys."""
