@@ -58,6 +58,11 @@ def restored(items: DataFrame) -> DataFrame:
     return items.withColumns(back | {"automatic": F.lit(None).cast(AUTOMATIC), "manual_correction": F.lit(None).cast(MANUAL)})
 
 
+def _target(url: Column) -> Column:
+    """The canonical address of a notice, never null: a join by it then needs no test for null, for which it would be worked out a second time."""
+    return F.coalesce(U.canonical_url(F.coalesce(url, F.lit(""))), F.lit(""))
+
+
 def _combined(name: str) -> Column:
     """What a field is after an entry: its own value or the entry's; a clock goes with the day that it belonged to."""
     entry, item = F.col("entry.fields"), F.col(name)
@@ -74,7 +79,7 @@ def patched(items: DataFrame, entries: DataFrame, tracking: DataFrame, now: str)
 
     broken: clock_alone (a clock without its day), order (a start day after the last day), clock_order (a start instant after the last instant).
     """
-    hit = items.withColumn("target", U.canonical_url(F.coalesce("url", F.lit("")))).join(F.broadcast(entries.select(F.col("url").alias("target"), F.struct("evidence_url", "checked_at", "reason", "fields", "digest").alias("entry"))), "target")  # at most MAX_CORRECTIONS rows
+    hit = items.withColumn("target", _target(F.col("url"))).join(F.broadcast(entries.select(F.col("url").alias("target"), F.struct("evidence_url", "checked_at", "reason", "fields", "digest").alias("entry"))), "target")  # at most MAX_CORRECTIONS rows
     new = hit.withColumn("new", F.struct(*[_combined(name).alias(name) for name in P.CORRECTED]))
     said = lambda name: F.coalesce(F.col(f"new.{name}"), F.lit("")) != ""
     instant = lambda day: M.exact_instant(M.valid_day(F.col(f"new.{day}")), F.col(f"new.{day}_time"), F.lit(False))
@@ -120,6 +125,6 @@ def corrected(items: DataFrame, entries: DataFrame, tracking: DataFrame, now: st
     } | {name: F.col(f"new.{name}") for name in P.CORRECTED}
     done = hit.select(*[values[name].alias(name) if name in values else F.col(name) for name in plain.columns])
     addresses = F.broadcast(last.select(F.col("url").alias("target")))  # at most MAX_CORRECTIONS rows
-    others = plain.join(addresses, U.canonical_url(F.coalesce(plain["url"], F.lit(""))) == F.col("target"), "left_anti")
+    others = plain.join(addresses, _target(plain["url"]) == F.col("target"), "left_anti")
     fresh = hit.select("tracked.*").dropDuplicates(["key"]).join(tracking, "key", "left_anti")
     return others.unionByName(done), tracking.select("key", "automatic_signature", "first_applied_at").unionByName(fresh)

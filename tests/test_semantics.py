@@ -78,6 +78,19 @@ def test_canonical_url(spark):
         assert one(spark, U.canonical_url(F.lit(url))) == expected
 
 
+def test_addresses_that_are_canonical_stay_as_they_are(spark):
+    plain = ["https://e.org/", "http://e.org:8080/A/b.do", "https://e.org//a%20b/~c,(d)!$'*+:@=-_", "https://1.2.3.4/competitionsx/a", "https://../."]
+    odd = ["https://e.org", "HTTPS://e.org/", "https://E.org/a", "https://e.org/a#b", "https://e.org/a?b", "https://e.org/a?", "https://e.org/a;jsessionid=b", "https://e.org/a;b", "https://e.org/a&enc=b", " https://e.org/a", "https://e.org/a ", "https://e.org/a\n", "https://e.org/a\u0085", "https://e.org/a<b",
+           "https://e.org/competitions/open/1/x", "https://e.org/competitions/", "https://u@e.org/a", "https:///a", "ftp://e.org/a", "https://e.org/한글", "", None]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(plain + odd)], "i int, u string")
+    found = [tuple(r[1:]) for r in rows.select("i", F.col("u").rlike(U.CANONICAL), U.canonical_url(F.col("u")), U.canonical_url(F.concat("u", F.lit("#x")))).orderBy("i").collect()]
+    assert found[: len(plain)] == [(True, u, u) for u in plain]  # with a fragment, which is dropped, they are taken apart
+    assert not any(r[0] for r in found[len(plain) :])
+    wanted = ["https://e.org/", "https://e.org/", "https://e.org/a", "https://e.org/a", "https://e.org/a?b", "https://e.org/a", "https://e.org/a", "https://e.org/a;b", "https://e.org/a&enc=b", "https://e.org/a", "https://e.org/a", "", "https://e.org/a\u0085", "",
+              "https://e.org/competitions/open/1/overview/", "https://e.org/competitions/", "", "", "", "https://e.org/한글", "", ""]
+    assert [r[1] for r in found[len(plain) :]] == wanted
+
+
 def test_upsert_keeps_missing_values_and_tells_new_from_initial(spark):
     schema = "id long, source string, title string, price double"
     state = spark.createDataFrame([(1, "a", "one", 1.0), (2, "a", "two", 2.0)], schema)
