corrections_restored, corrections_tracked: tracking is met in one join, entries are numbered once

Symptom: corrections_restored spends 1394 and 1353 JVM and 72 and 60 GC seconds per GB over 11 exchanges, corrections_tracked needs 14 exchanges and 15 sorts; with plain addresses passed on it is 852 and 975 JVM, 60 and 58 GC.
Evidence: corrected notices that have already met tracking by key are joined with it again to find new keys, the window over the entries runs for each of their three uses, and old fields, fields worked out from the entry and its map cross the exchange and are stored.
Fix: the row that a notice has in tracking stays beside it and new keys are those without one; the window runs before the entries are stored; fields of an entry are worked out behind the exchange; replacements of a JSON text are bound by let, as generated code of that size is not compiled by the JVM.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 814 -> 370 s, shuffle 1.40 -> 1.73 GB, spill 0.00 -> 0.00 GB, read 1.09 -> 1.12 GB, longest task 28 -> 5 s, most memory of a task 403 -> 436 MB; at 6 GB of input CPU 3132 -> 1404 s, shuffle 8.41 -> 10.36 GB, spill 0.00 -> 0.00 GB, read 6.65 -> 6.79 GB, longest task 100 -> 20 s, most memory of a task 369 -> 369 MB.

@@ -20,7 +20,7 @@ def json_text(text: Column) -> Column:
             x = F.replace(x, F.lit(sign), F.lit(written))
         return x
 
-    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), escaped(text)).otherwise(text), F.lit('"'))
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), let(text, escaped)).otherwise(text), F.lit('"'))  # let keeps the replacements, which few texts need, out of the generated code
 
 
 def json_double(x: Column) -> Column:

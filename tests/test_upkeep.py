@@ -90,6 +90,22 @@ def test_the_address_of_a_notice_is_worked_out_once(spark):
     assert sum("artclView" in line for line in hit._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
 
 
+def test_tracking_is_met_once_and_keeps_one_row_a_key(spark):
+    items = [item("a"), item("a"), item("b", end="2026-10-02"), item("n", 'https://x.org/q', end='say "now"\n', end_time=None), item("o", None), item(None), item("c")]
+    rows, given, none = frames(spark, items, [entry(0, {"deadline_time": "18:30"}), entry(1, {"registration_start": None}, "https://x.org/q")])
+    key = lambda r: r["key"].rpartition(":")[0]
+    tracked = C.corrected(rows, given, none, NOW)[1].collect()
+    assert sorted(map(key, tracked)) == ["", "a", "b", "c", "n"]
+    marks = {key(r): r["automatic_signature"] for r in tracked}
+    assert marks["n"] == digest(dict(zip(FIELDS, ("2026-09-01", 'say "now"\n', None, None)))) and marks["a"] == marks["c"] == marks[""]
+    # a row that knows neither signature nor instant is a row all the same; one without a key is of no notice
+    known = spark.createDataFrame([(next(r["key"] for r in tracked if key(r) == "b"), None, None), (None, "x", "y"), (next(r["key"] for r in tracked if key(r) == "c"), "other", "before")], C.TRACKING)
+    now, kept = C.corrected(rows, given, known, "2026-09-23T00:00:00+09:00")
+    assert sorted((key(r) if r["key"] else None, r["first_applied_at"]) for r in kept.where("key is not null").collect()) == [("", "2026-09-23T00:00:00+09:00"), ("a", "2026-09-23T00:00:00+09:00"), ("b", None), ("c", "before"), ("n", "2026-09-23T00:00:00+09:00")]
+    assert kept.count() == 6 and sorted((str(r["id"]), r["manual_correction"] and r["manual_correction"]["needs_review"]) for r in now.collect()) == [("None", False), ("a", False), ("a", False), ("b", False), ("c", True), ("n", False), ("o", None)]
+    assert "LeftAnti" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def direct_plan(rows, sources, current, today, whole, budget):
     queues, due_ids, level = {s: [] for s, _, on in sorted(sources, key=lambda x: x[1]) if on}, set(), {}
     for i, s, status, tried, checked, version, start, end in rows:
