@@ -1,11 +1,14 @@
 """Labelled fields, dates and clocks of notice texts, case by case."""
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from noticelake.functions import fields as L
+from noticelake.functions import patterns as P
 from noticelake.functions import text as X
 from noticelake.functions import timing as M
 
@@ -66,6 +69,30 @@ def test_registration_windows(spark):
     assert found[12]["c"]["ambiguous"] and not found[0]["c"]["ambiguous"]
 
 
+def test_spaced_headings_are_joined_in_one_pass(spark):
+    rng, letters = random.Random(4), sorted(set("".join(P.FIELD_WORDS)))
+    texts = ["접 수\t마 감 일 시", "대 상문 의", "가주 최 주 관", "접 수\n기 간", "일\u00a0정", "주\u200b \ufeff최", "문 의 $1 \\\\", "", None]
+    texts += ["".join(rng.choice([rng.choice(letters), " ".join(rng.choice(P.FIELD_WORDS))]) + rng.choice(["", " ", "\t", " \t", ".", ":", "\u00a0"]) for _ in range(8)) for _ in range(400)]
+
+    def joined(text):
+        text = re.sub("[\u200b-\u200d\ufeff]", "", text.replace("\u00a0", " "))
+        for word in P.FIELD_WORDS:
+            text = re.sub(r"(?<![가-힣])" + r"[ \t]*".join(word) + r"(?![가-힣])", word, text)
+        return text
+
+    assert [r["n"] for r in each(spark, texts, n=X.normalize(F.col("t")))] == [t if t is None else joined(t) for t in texts]
+    plan = spark.createDataFrame([("",)], "t string").select(X.normalize(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 3
+
+
+def test_labels_begin_where_they_are_looked_for(spark):
+    anywhere = L.LABEL.replace(r"(?=[가-힣A-Za-z]|\d+차)", "")
+    assert anywhere != L.LABEL
+    texts = ["2026.9.1 접수기간: 9/1", "2차 평가 자료 제출 마감: 9/1", "12차 평가 자료 제출", "- 2차평가자료제출", "\u017fubmission period: 9/1", "REGI\u017fTRATION Opens 9/1", "(주최/주관: 가)", "1. 대상: 나", "① 문의처", "·총 상금: 1", "9/1 ~ 9/3 event dates"]
+    found = each(spark, texts, here=F.regexp_replace("t", L.LABEL, "<$0>"), anywhere=F.regexp_replace("t", anywhere, "<$0>"))
+    assert all(r["here"] == r["anywhere"] for r in found) and sum("<" in r["here"] for r in found) == 10
+
+
 def test_fields_of_a_notice(spark):
     text = "AI 경진대회\n주최: 가나 대학교\n주최 측 안내\n참가 대상: 대학생\n\n다른 문단\n총 상금: 500만원\n■ 유의\n주제: 데이터 분석\n평가 방법: 심사\n접수기간: 2026.9.1 ~ 2026.9.9"
     found = each(spark, [text], e=L.entries(F.col("t")))[0]["e"]
